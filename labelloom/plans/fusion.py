@@ -156,11 +156,11 @@ BOX_SQL = f"""{POST_SQL}, mean AS (SELECT item_id, lead_annotator, lead_seq, cou
 
 
 @query("fuse_boxes", f"{BOX_SQL} SELECT item_id, lead_annotator, lead_seq, votes, " + ", ".join(
-    f"round(f_{c}, 7) AS f_{c}, m_{c}" for c in ("x1", "y1", "x2", "y2")) + ", round(mean_iou, 6) AS mean_iou FROM boxes")
+    f"round(f_{c} + 1e-9, 6) AS f_{c}, m_{c}" for c in ("x1", "y1", "x2", "y2")) + ", round(mean_iou, 6) AS mean_iou FROM boxes")
 def fuse_boxes(t):
     sides = ("x1", "y1", "x2", "y2")
     return U.fuse_boxes(votes_of(t), ITEM).select(
-        *KEY, "votes", *[F.round("f_" + c, 7).alias("f_" + c) for c in sides], *["m_" + c for c in sides], R6("mean_iou"))
+        *KEY, "votes", *[F.round(F.col("f_" + c) + 1e-9, 6).alias("f_" + c) for c in sides], *["m_" + c for c in sides], R6("mean_iou"))
 
 
 GATE_SQL = f"""{BOX_SQL}, nv AS (SELECT item_id, count(*) AS n_voters FROM voters GROUP BY 1),
@@ -197,11 +197,11 @@ CREDIT_SQL = f"""{GATE_SQL}, backing AS (SELECT v.item_id, v.annotator_id, v.wei
  credit AS (SELECT item_id, annotator_id, s / sum(s) OVER (PARTITION BY item_id) AS contribution FROM summed)"""
 
 
-@query("contributions", f"{CREDIT_SQL} SELECT item_id, annotator_id, round(contribution, 6) AS contribution FROM credit")
+@query("contributions", f"{CREDIT_SQL} SELECT item_id, annotator_id, round(contribution + 1e-9, 6) AS contribution FROM credit")
 def contributions(t):
     parts = fused(t)
     return U.contributions(parts["votes"], parts["objects"], t.reliabilities, ITEM).select(
-        "item_id", "annotator_id", R6("contribution"))
+        "item_id", "annotator_id", F.round(F.col("contribution") + 1e-9, 6).alias("contribution"))
 
 
 def _items_sql(fallback: bool) -> str:

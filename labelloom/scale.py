@@ -81,10 +81,10 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     placed = cut(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_task", F.shiftright("_pos", 33))
+        .withColumn("_seat", F.monotonically_increasing_id())
+        .withColumn("_task", F.shiftright("_seat", 33))
     )
-    pieces = placed.groupBy(*group, "_task").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    pieces = placed.groupBy(*group, "_task").agg(F.min("_seat").alias("_first"), F.count("*").alias("_n"))
     # One row per task of a group, at most the number of tasks.
     earlier = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
@@ -92,8 +92,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     ) if group else _global_offsets(pieces)
     return (
         placed.join(offsets, [*group, "_task"])
-        .withColumn(name, (F.col("_pos") + F.col("_shift")).cast("bigint"))
-        .drop("_pos", "_task", "_shift")
+        .withColumn(name, (F.col("_seat") + F.col("_shift")).cast("bigint"))
+        .drop("_seat", "_task", "_shift")
     )
 
 
@@ -121,18 +121,18 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     placed = cut(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_task", F.shiftright("_pos", 33))
+        .withColumn("_seat", F.monotonically_increasing_id())
+        .withColumn("_task", F.shiftright("_seat", 33))
     )
     pieces = placed.groupBy(*group, "_task").agg(F.sum(value).alias("_sum"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = w.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*group, "_task", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     # A piece is what one range task held, so this window never holds a whole large group.
-    inside = Window.partitionBy(*group, "_task").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group, "_task").orderBy("_seat").rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn("_in", F.sum(value).over(inside))
         .join(offsets, [*group, "_task"])
         .withColumn(name, F.col("_in") + F.col("_before"))
-        .drop("_pos", "_task", "_in", "_before")
+        .drop("_seat", "_task", "_in", "_before")
     )
