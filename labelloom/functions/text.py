@@ -89,10 +89,12 @@ def source_spec(spec: Column, default_split: str = "train") -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Human size with binary steps, one decimal."""
-    step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).when(n < 1024**4, 3).otherwise(4)
-    units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")])
-    return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), step), F.get(units, step))
+    """Human size in steps of 1024 with two decimals."""
+    step = F.lit(5)
+    for i in range(4, -1, -1):
+        step = F.when(n < 1024.0 ** (i + 1), i).otherwise(step)
+    units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")])
+    return F.trim(F.format_string("%.2f %s", n / F.pow(F.lit(1024.0), step), F.get(units, step)))
 
 
 def strip_ansi(line: Column) -> Column:

@@ -132,7 +132,7 @@ def cap_weights(t):
 
 
 @query("process_weights", f"""WITH {WEIGHT_SQL}, st AS (SELECT round, count(*) AS na, count(*) FILTER (weight > 0) AS np FROM w GROUP BY 1),
-  q AS (SELECT round, quantile_cont(weight, CASE WHEN round < 0 THEN 0 ELSE 0.1 END) AS low FROM w WHERE weight > 0 GROUP BY round),
+  q AS (SELECT round, quantile_cont(weight, 0.1) AS low FROM w WHERE weight > 0 GROUP BY round),
   kept AS (SELECT w.* FROM w JOIN st USING (round) JOIN q USING (round) WHERE weight > 0 AND np >= 48 AND na >= 48
      AND weight >= CASE WHEN (np - 48) / np >= 0.1 THEN low ELSE 0 END
     UNION ALL SELECT round, annotator_id, weight + 1e-5 FROM w JOIN st USING (round) WHERE na >= 48 AND np > 0 AND np < 48),
