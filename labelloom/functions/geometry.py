@@ -435,7 +435,7 @@ def raster_iou(df: DataFrame, grid: int = 256) -> DataFrame:
                 out.append(float((masks[0] & masks[1]).sum() / union) if union else 0.0)
             yield pdf.assign(_drawn=pd.Series(out, index=pdf.index, dtype="float64"))
 
-    schema = df.schema.add("_drawn", "double")
+    schema = StructType([*df.schema.fields, StructField("_drawn", DoubleType())])
     drawn = df.mapInPandas(draw, schema)
     drawn_ok = F.col("_drawn").isNotNull() & ~F.isnan("_drawn")
     return drawn.withColumn("raster_iou", F.when(drawn_ok, F.col("_drawn")).otherwise(iou("a_", "b_"))).drop("_drawn")

@@ -80,7 +80,7 @@ SQL = {
     "averages": """SELECT s_suppkey AS annotator_id, CAST((s_suppkey * 17 % 100) / 100.0 AS DOUBLE) AS avg_fidelity
         FROM supplier""",
     "round_scores": """SELECT user_id AS annotator_id, CAST(ts AS DATE) AS round,
-        least(1.0, greatest(0.0, avg(value) / 200.0)) AS reward FROM events GROUP BY 1, 2""",
+        least(1.0, greatest(0.0, avg(value) / (64 * pi()))) AS reward FROM events GROUP BY 1, 2""",
     "points": """SELECT l_partkey AS item_id, CAST((l_orderkey * 37) % 500 AS DOUBLE) AS x,
         CAST((l_suppkey * 53) % 500 AS DOUBLE) AS y FROM lineitem""",
     "pixels": """SELECT p_partkey AS item_id, y, x, (p_partkey * 7 + x * 3 + y) % 256 AS r,
@@ -164,7 +164,7 @@ class Tables:
     @cached_property
     def round_scores(self) -> DataFrame:
         return self.raw("events").groupBy(F.col("user_id").alias("annotator_id"), F.to_date("ts").alias("round")).agg(
-            F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("value") / 200.0)).alias("reward"))
+            F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("value") / (64 * F.pi()))).alias("reward"))
 
     @cached_property
     def points(self) -> DataFrame:

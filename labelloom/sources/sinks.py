@@ -20,3 +20,175 @@ def export_row(rows: DataFrame, column: str = "value") -> DataFrame:
 def export_json(rows: DataFrame, column: str = "value") -> DataFrame:
     """Rows ready for the text sink."""
     return rows.withColumn(column, F.col(column).cast("string"))
+
+
+def export_records(items: DataFrame, objects: DataFrame, votes: DataFrame, base_url: str, version: str) -> DataFrame:
+    """Nested export rows (root, objects, votes) as JSON with audit hash: (item_id, dataset, batch, value).
+
+    ``items``: one row per accepted item; ``objects`` and ``votes`` carry the
+    keys ``item_id`` and ``cluster_id``. Nested lists are sorted, so a row hashes
+    the same on every run.
+    """
+    vote = F.struct(
+        F.col("annotator_id").alias("miner_uid"), F.col("identity").alias("miner_hotkey"), F.col("label").alias("class_voted"),
+        F.col("severity").alias("severity_voted"), F.col("weight").alias("confidence"), F.array("x1", "y1", "x2", "y2").alias(
+            "bounding_box"), F.col("weight").alias("reliability_weight_at_aggregation"))
+    # Votes of a cluster are bounded by the voters of an item, objects by the object limit of an item.
+    ballots = votes.groupBy("item_id", "cluster_id").agg(F.array_sort(F.collect_list(vote)).alias("miner_votes"))
+    one = F.lit(1.0)
+    obj = F.struct(
+        F.col("cluster_id").alias("object_cluster_id"), F.lit("bayesian_dawid_skene_v1").alias("aggregation_method"),
+        F.col("label").alias("accepted_hazard_class"), F.col("severity").alias("accepted_severity"), "confidence",
+        one.alias("severity_confidence"), F.map_from_entries("posterior").alias("class_posterior_distribution"),
+        F.create_map("severity", one).alias("severity_posterior_distribution"),
+        F.array("f_x1", "f_y1", "f_x2", "f_y2").alias("fused_bounding_box"),
+        F.col("mean_iou").alias("spatial_mean_iou_to_median"), "miner_votes", F.lit(None).cast("string").alias("escalation_reason"))
+    packed = objects.join(ballots, ["item_id", "cluster_id"]).select(
+        "item_id", F.col("cluster_id").alias("_c"), F.to_json(obj, {"ignoreNullFields": "false"}).alias("_o")).groupBy("item_id").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_o"))), lambda e: e["_o"]), ","),
+                 F.lit("]")).alias("_objects"))
+    root = F.struct(
+        F.col("item_id").cast("string").alias("image_id"), F.col("method").alias("aggregation_method"),
+        F.col("thresholds").alias("acceptance_thresholds"), F.col("window").alias("reliability_window"),
+        F.lit(False).alias("escalation_required"), F.lit(None).cast("string").alias("escalation_reason"),
+        F.lit(version).alias("validator_version"), F.col("contributions").alias("miner_contribution_scores"), "score",
+        F.col("chosen").alias("chosen_uid"), F.concat(F.lit(base_url + "/images/"), F.col("image_name")).alias("image_url"),
+        F.concat(F.lit(base_url + "/annotated-images/"), F.col("image_name")).alias("annotated_image_url"), "width", "height",
+        F.lit(False).alias("is_golden"), "timestamp")
+    flat = items.join(packed, "item_id").withColumn("_root", F.to_json(root, {"ignoreNullFields": "false"}))
+    value = F.concat(F.expr("substring(_root, 1, length(_root) - 1)"), F.lit(',"objects":'), F.col("_objects"), F.lit("}"))
+    return export_row(flat.select("item_id", "dataset", "batch", value.alias("value")))
+
+
+def export_dataset(rows: DataFrame, path: str) -> None:
+    """Write export rows as JSON lines, one folder per dataset and batch; a re-run replaces its own folders only."""
+    rows.select("dataset", "batch", "value").write.partitionBy("dataset", "batch").option(
+        "partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
+
+
+def build_manifest(items: DataFrame, by: Sequence[str] = ("dataset", "batch")) -> DataFrame:
+    """Manifest rows: position of each item inside its batch with a neutral name."""
+    from labelloom.scale import ranked
+
+    return ranked(items, list(by), [F.col("item_id")], "position")
+
+
+def build_receipts(manifest: DataFrame, exported: DataFrame, by: Sequence[str] = ("dataset", "batch")) -> DataFrame:
+    """Verified counts per batch."""
+    planned = manifest.groupBy(*by).agg(F.count("*").alias("verified_images"))
+    labelled = exported.groupBy(*by).agg(F.count("*").alias("verified_annotation_records"))
+    return planned.join(labelled, list(by), "left").fillna({"verified_annotation_records": 0}).withColumn(
+        "status", F.when(F.col("verified_annotation_records") > 0, "verified").otherwise("unverified"))
+
+
+def build_batch_summary(manifest: DataFrame, exported: DataFrame) -> DataFrame:
+    """Batches of each dataset in numeric order of their suffix, with counts and status."""
+    receipts = build_receipts(manifest, exported)
+    number = F.regexp_extract("batch", r"_(\d+)$", 1)
+    return receipts.select(
+        "dataset", "batch", F.when(number == "", 999).otherwise(number.cast("int")).alias("number"),
+        (F.col("verified_annotation_records") > 0).alias("labeled"), F.col("verified_images").alias("public_images"),
+        F.col("status").alias("upload_status"))
+
+
+def current_round(summary: DataFrame, order: str = "number") -> DataFrame:
+    """Latest batch per dataset."""
+    rest = [c for c in summary.columns if c not in ("dataset", order)]
+    best = summary.groupBy("dataset").agg(F.max_by(F.struct(*rest), order).alias("r"), F.max(order).alias(order))
+    return best.select("dataset", order, "r.*")
+
+
+def dump_golden(golden: DataFrame, items: DataFrame) -> DataFrame:
+    """Golden manifest rows: item, size, label-only class and its boxes as JSON.
+
+    One row per item keeps the manifest distributed; the header (version, count)
+    is the separate ``golden_header``.
+    """
+    boxes = golden.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(
+        "gt", F.col("label").alias("hazard_class"), F.array("x1", "y1", "x2", "y2").alias("bounding_box")))).alias("b"))
+    scored = items.where("role <> 'public'").join(boxes, "item_id", "left")
+    listed = F.transform(F.coalesce("b", F.array().cast(boxes.schema["b"].dataType)), lambda e: F.struct(
+        e["hazard_class"].alias("hazard_class"), e["bounding_box"].alias("bounding_box")))
+    return scored.select("item_id", "width", "height", F.col("only_label").alias("classification_label"), F.size(listed).alias(
+        "boxes"), F.to_json(F.struct(listed.alias("annotations"))).alias("annotations"))
+
+
+def golden_header(manifest: DataFrame) -> DataFrame:
+    return manifest.agg(F.lit("golden_manifest.v1").alias("schema_version"), F.count("*").alias("image_count"))
+
+
+def receipts(rows: DataFrame, identity: str = "identity", by: str = "round") -> DataFrame:
+    """Receipt per identity and round as JSON, keyed by the identity hash."""
+    body = [c for c in rows.columns if c not in (identity,)]
+    return rows.select(F.sha2(F.col(identity).cast("string"), 256).alias("identity_hash"), F.col(by), F.to_json(F.struct(
+        F.lit("agentic.feedback.v1").alias("schema_version"), *sorted(body))).alias("value"))
+
+
+def latest_receipts(rows: DataFrame, by: str = "round") -> DataFrame:
+    return rows.groupBy("identity_hash").agg(F.max_by("value", by).alias("value"), F.max(by).alias(by))
+
+
+def write_receipts(rows: DataFrame, path: str, by: str = "round") -> None:
+    """``round_N`` and ``latest`` folders under the hash of each identity."""
+    made = receipts(rows, by=by)
+    named = made.withColumn("slot", F.concat(F.lit("round_"), F.col(by).cast("string"))).unionByName(
+        latest_receipts(made, by).withColumn("slot", F.lit("latest")))
+    named.select("identity_hash", "slot", "value").write.partitionBy("identity_hash", "slot").option(
+        "partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
+
+
+def digest_files(spark, path: str) -> DataFrame:
+    """SHA-256 of every file under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def class_ids(labels: DataFrame, taxonomy: Sequence[str] = (), order: str = "seq", item: str = "item_id") -> DataFrame:
+    """Class id per normalised label: taxonomy order first, then by first appearance (item, seq)."""
+    from labelloom.scale import ranked
+
+    name = F.trim(F.regexp_replace(F.lower("label"), r"[\s_\-]+", " "))
+    first = labels.groupBy(name.alias("name")).agg(F.min(F.struct(item, order)).alias("_f"))
+    fixed = {t.lower().replace("_", " ").replace("-", " "): i for i, t in enumerate(taxonomy)}
+    known = F.coalesce(*[F.when(F.col("name") == k, v) for k, v in fixed.items()], F.lit(None).cast("int")) if fixed else F.lit(
+        None).cast("int")
+    tagged = first.withColumn("_k", known)
+    fresh = ranked(tagged.where("_k IS NULL"), [], [F.col("_f"), F.col("name")], "_r")
+    return tagged.where("_k IS NOT NULL").select("name", F.col("_k").cast("bigint").alias("class_id")).unionByName(
+        fresh.select("name", (F.col("_r") - 1 + len(fixed)).alias("class_id")))
+
+
+def to_yolo_labels(labels: DataFrame, items: DataFrame, taxonomy: Sequence[str] = ()) -> DataFrame:
+    """Detector label lines: class id and centre, width, height relative to the frame; (item_id, seq, line)."""
+    name = F.trim(F.regexp_replace(F.lower("label"), r"[\s_\-]+", " "))
+    row = labels.withColumn("name", name).join(class_ids(labels, taxonomy), "name").join(
+        items.select("item_id", "width", "height"), "item_id")
+    w, h = F.col("width"), F.col("height")
+    return row.select("item_id", "annotator_id", "seq", F.format_string(
+        "%d %.6f %.6f %.6f %.6f", F.col("class_id"), *[F.bround(v, 6) for v in (
+            (F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h,
+            (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h)]).alias("line"))
+
+
+# Instruction texts of the fine-tuning rows.
+SYSTEM_TEXT = ("You are an object detection model. For each image, return a JSON array of objects with 'hazard_class' (string) "
+               "and 'bounding_box' ([x1, y1, x2, y2] in pixel coordinates).")
+USER_TEXT = "Detect all hazards in this image."
+
+
+def to_chat_corpus(labels: DataFrame, key: str = "item_id", url: Column | None = None) -> DataFrame:
+    """One fine-tuning conversation per labelled item, the labels as the JSON answer."""
+    answer = F.struct("seq", F.col("label").alias("hazard_class"), F.array("x1", "y1", "x2", "y2").alias("bounding_box"))
+    per = labels.groupBy(key).agg(F.array_sort(F.collect_list(answer)).alias("_a"))
+    text = F.to_json(F.transform("_a", lambda e: F.struct(e["hazard_class"].alias("hazard_class"), e["bounding_box"].alias(
+        "bounding_box"))))
+
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    image = url if url is not None else F.concat(F.lit("item:"), F.col(key).cast("string"))
+    user = F.to_json(F.array(F.struct(F.lit("image_url").alias("type"), image.alias("value")),
+                             F.struct(F.lit("text").alias("type"), F.lit(USER_TEXT).alias("value"))))
+    messages = F.array(message("system", F.lit(SYSTEM_TEXT)), message("user", user), message("assistant", text))
+    return per.select(key, F.size("_a").alias("labels"), text.alias("answer"), F.to_json(F.struct(messages.alias("messages"))).alias(
+        "value"))
