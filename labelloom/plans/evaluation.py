@@ -89,12 +89,12 @@ def log_lines(t):
 
 
 @query("parse_round_log", """SELECT CASE event_type WHEN 'signup' THEN 'round_start' WHEN 'purchase' THEN 'round_done' WHEN 'error' THEN
-   'invalid_response' ELSE 'assembled' END AS event, epoch_us(ts) AS us, CASE WHEN event_type IN ('signup', 'purchase') THEN event_id // 5 END AS step,
+   'invalid_response' ELSE 'assembled' END AS event, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at_time, CASE WHEN event_type IN ('signup', 'purchase') THEN event_id // 5 END AS step,
    CASE WHEN event_type = 'signup' THEN 3 END AS participants, CASE WHEN event_type = 'click' THEN user_id % 30 END AS images,
    CASE WHEN event_type = 'purchase' THEN round(0.5 + (user_id % 8) / 8.0, 6) END AS reward_total FROM events WHERE event_type <> 'view'""")
 def parse_log(t):
     got = parse_round_log(log_lines(t))
-    return got.select("event", F.unix_micros("time").alias("us"), "step", "participants", "images", F.round("reward_total", 6).alias("reward_total"))
+    return got.select("event", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at_time"), "step", "participants", "images", F.round("reward_total", 6).alias("reward_total"))
 
 
 PAIR_SQL = """WITH st AS (SELECT event_id // 5 AS step, max(ts) AS started FROM events WHERE event_type = 'signup' GROUP BY 1),

@@ -1 +1,119 @@
+"""Queries: streaming jobs, run as streams to the end of the test data."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelloom.plans import sqltext as Q
+from labelloom.plans.registry import query
+from labelloom.plans.scoring import R6
+from labelloom.streaming import jobs as J
+
+
+def events(t):
+    return J.open_stream(t.spark, t.path, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# Tasks start every 20 minutes; an event answers the task its user number points at.
+TASKS = """tasks AS (SELECT s_suppkey AS task_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (s_suppkey * 7) HOUR AS started FROM supplier)"""
+
+
+@query("response_window", f"""WITH {TASKS} SELECT event_id, e.user_id % 100 AS task_id, epoch_us(ts) >= epoch_us(started) + 600000000 AS late FROM events e
+   JOIN tasks ON task_id = e.user_id % 100""")
+def response_window(t):
+    tasks = t.raw("supplier").selectExpr("s_suppkey AS task_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, CAST(s_suppkey * 7 AS INT)) AS started")
+    responses = events(t).selectExpr("event_id", "user_id % 100 AS task_id", "ts AS arrived")
+    return J.drain(J.response_window(tasks, responses), "window").select("event_id", "task_id", "late")
+
+
+@query("first_records", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY ALL")
+def first_records(t):
+    rows = events(t).selectExpr("user_id", "event_type", "CAST(floor(value) AS BIGINT) AS v", "ts")
+    kept = J.drain(J.first_records(rows, ["user_id", "event_type", "v"], "ts", "40 days"), "dedup")
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("budget_breaker", """SELECT CAST(ts AS DATE) AS day, event_type AS role, count(*) AS calls FROM events GROUP BY ALL HAVING count(*) >= 70""")
+def budget_breaker(t):
+    calls = events(t).selectExpr("ts", "event_type AS role")
+    got = J.drain(J.budget_breaker(calls, 70), "budget", "complete")
+    return got.select(F.to_date("day").alias("day"), "role", "calls")
+
+
+@query("round_health", """SELECT epoch_us(date_trunc('hour', ts)) AS start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS value FROM events GROUP BY 1""")
+def round_health(t):
+    got = J.drain(J.round_health(events(t)), "health", "complete")
+    return got.select(F.unix_micros("start").alias("start"), "events", "errors", F.round("value", 4).alias("value"))
+
+
+@query("activity_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) >= epoch_us(lag(ts) OVER w) + 21600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS events FROM s GROUP BY user_id, n""")
+def activity_sessions(t):
+    got = J.drain(J.activity_sessions(events(t)), "sessions", "complete")
+    return got.select("user_id", F.unix_micros("start").alias("start"), "events")
+
+
+@query("ledger_totals", "SELECT user_id AS annotator_id, count(*) FILTER (event_type = 'purchase') AS adoptions, round(sum(value), 4) AS contribution FROM events GROUP BY 1")
+def ledger_totals(t):
+    credits = events(t).selectExpr("user_id AS annotator_id", "CAST(event_type = 'purchase' AS BIGINT) AS adopted", "value AS contribution")
+    got = J.drain(J.ledger_totals(credits), "ledger", "complete")
+    return got.select("annotator_id", "adoptions", F.round("contribution", 4).alias("contribution"))
+
+
+@query("streamed_counts", """SELECT user_id AS annotator_id, event_type AS label, round(sum((value > 50)::INT * power(0.95, 30 - day(ts))), 6) AS tp,
+   round(sum((value <= 50)::INT * power(0.95, 30 - day(ts))), 6) AS fn FROM events GROUP BY ALL""")
+def streamed_counts(t):
+    rows = events(t).selectExpr("user_id AS annotator_id", "event_type AS label", "day(ts) AS round_num", "CAST(value > 50 AS DOUBLE) AS tp",
+                                "0D AS fp", "CAST(value <= 50 AS DOUBLE) AS fn")
+    counts = J.drain(J.round_counts(rows), "counts", "complete")
+    age = F.pow(F.lit(0.95), 30 - F.col("round_num"))
+    return counts.groupBy("annotator_id", "label").agg(F.round(F.sum(F.col("tp") * age), 6).alias("tp"), F.round(F.sum(F.col("fn") * age), 6).alias("fn"))
+
+
+EMA_SQL = f"""{Q.with_tables('round_scores')}, grid AS (SELECT a.annotator_id, d.i, coalesce(r.reward, 0) AS v FROM (SELECT DISTINCT annotator_id FROM round_scores) a
+    CROSS JOIN (SELECT unnest(range(1, 31)) AS i) d LEFT JOIN round_scores r ON r.annotator_id = a.annotator_id AND day(r.round) = d.i)
+  SELECT annotator_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(v::DOUBLE ORDER BY i)), lambda s, v:
+    CASE WHEN 0.25 * v + 0.75 * s < 1e-4 THEN 0 ELSE 0.25 * v + 0.75 * s END), 6) AS ema FROM grid GROUP BY 1"""
+
+
+def _score_rows(t, reset="false"):
+    return t.round_scores.select("annotator_id", F.dayofmonth("round").alias("round"), "reward", F.expr(reset).alias("reset"))
+
+
+@query("ema_stream", EMA_SQL)
+def ema_stream(t):
+    rows = J.drain(J.score_stream(J.as_stream(_score_rows(t), "scores")), "ema", "update")
+    return J.ema_asof(rows, 30).select("annotator_id", R6("ema"))
+
+
+@query("score_delta_stream", f"""{Q.with_tables('round_scores')} SELECT annotator_id, day(round)::INT AS round, round(reward - coalesce(lag(reward) OVER (PARTITION BY annotator_id ORDER BY round), reward), 6) AS delta
+   FROM round_scores""")
+def score_delta_stream(t):
+    rows = J.drain(J.score_stream(J.as_stream(_score_rows(t), "scores")), "delta", "update")
+    return rows.select("annotator_id", "round", R6("delta"))
+
+
+@query("identity_reset_stream", f"""{Q.with_tables('round_scores')}, r AS (SELECT annotator_id, day(round) AS i, reward AS v FROM round_scores WHERE day(round) > CASE WHEN annotator_id % 3 = 0 THEN 15 ELSE 0 END),
+  grid AS (SELECT a.annotator_id, d.i, coalesce(r.v, 0) AS v FROM (SELECT DISTINCT annotator_id FROM r) a CROSS JOIN (SELECT unnest(range(1, 31)) AS i) d
+    LEFT JOIN r ON r.annotator_id = a.annotator_id AND r.i = d.i)
+  SELECT annotator_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(v::DOUBLE ORDER BY i)), lambda s, v: CASE WHEN 0.25 * v + 0.75 * s < 1e-4 THEN 0 ELSE 0.25 * v + 0.75 * s END), 6) AS ema
+  FROM grid GROUP BY 1""")
+def identity_reset_stream(t):
+    rows = _score_rows(t)
+    control = rows.where("annotator_id % 3 = 0").select("annotator_id").distinct().selectExpr(
+        "annotator_id", "15 AS round", "CAST(NULL AS DOUBLE) AS reward", "true AS reset")
+    got = J.drain(J.score_stream(J.as_stream(rows.unionByName(control), "scores")), "reset", "update")
+    after = got.where("annotator_id % 3 <> 0 OR round > 15")
+    return J.ema_asof(after, 30).select("annotator_id", R6("ema"))
+
+
+@query("resume_plan", """WITH l AS (SELECT o_custkey AS task, CASE o_orderkey % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'dispatched' ELSE 'closed' END AS status,
+   CAST(epoch(o_orderdate) AS BIGINT) * 10000000 + o_orderkey AS pos, CASE WHEN o_orderkey % 50 = 0 THEN 'new' ELSE 'old' END AS fp FROM orders),
+  s AS (SELECT task, arg_max(status, pos) AS status, arg_max(fp, pos) AS fp FROM l GROUP BY 1)
+  SELECT c_custkey AS task, CASE WHEN fp <> 'old' THEN 'refuse' WHEN status = 'closed' THEN 'done' WHEN status = 'dispatched' THEN 'skip' WHEN status = 'claimed' THEN 'rewind' ELSE 'run' END AS action
+  FROM customer LEFT JOIN s ON task = c_custkey""")
+def resume_plan(t):
+    log = t.raw("orders").selectExpr(
+        "o_custkey AS task", "CASE o_orderkey % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'dispatched' ELSE 'closed' END AS status",
+        "unix_seconds(CAST(o_orderdate AS TIMESTAMP)) * 10000000 + o_orderkey AS at", "CASE WHEN o_orderkey % 50 = 0 THEN 'new' ELSE 'old' END AS fingerprint")
+    return J.resume_plan(log, t.raw("customer").select(F.col("c_custkey").alias("task")), "old")
