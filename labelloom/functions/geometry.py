@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 POINTS = "array<struct<x:double,y:double>>"
+BOX = ("x1", "y1", "x2", "y2")
 
 
 def finite(c: Column) -> Column:
@@ -24,9 +25,15 @@ def finite(c: Column) -> Column:
 
 
 def box_ok(p: str = "") -> Column:
-    """Four finite coordinates with positive width and height."""
-    x1, y1, x2, y2 = (F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
-    return finite(x1) & finite(y1) & finite(x2) & finite(y2) & (x2 > x1) & (y2 > y1)
+    """Four finite coordinates with positive width and height.
+
+    A side length that is positive and below infinity proves both its ends
+    finite (NaN sorts above infinity), which keeps the predicate short enough to
+    be compiled with whatever it is pushed into.
+    """
+    w, h = F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1")
+    inf = F.lit(float("inf"))
+    return (w > 0) & (w < inf) & (h > 0) & (h < inf)
 
 
 def box_area(p: str = "") -> Column:
@@ -37,19 +44,18 @@ def box_area(p: str = "") -> Column:
 
 
 def iou_of(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
-    """Intersection over union of two boxes given as eight columns."""
+    """Intersection over union of two usable boxes given as eight columns."""
     zero = F.lit(0.0)
     inter = F.greatest(zero, F.least(ax2, bx2) - F.greatest(ax1, bx1)) * F.greatest(
         zero, F.least(ay2, by2) - F.greatest(ay1, by1))
-    union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
-    good = (ax2 > ax1) & (ay2 > ay1) & (bx2 > bx1) & (by2 > by1) & finite(ax1 + ay1 + ax2 + ay2 + bx1 + by1 + bx2 + by2)
-    return F.when(good & (union > 0), F.greatest(zero, F.least(F.lit(1.0), inter / union))).otherwise(zero)
+    return inter / ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter)
 
 
-def iou(pa: str, pb: str) -> Column:
-    """IoU of the boxes with column prefixes ``pa`` and ``pb``; 0 for unusable boxes."""
+def iou(pa: str, pb: str, checked: bool = False) -> Column:
+    """IoU of the boxes with column prefixes ``pa`` and ``pb``; 0 for unusable boxes unless ``checked``."""
     names = ("x1", "y1", "x2", "y2")
-    return iou_of(*[F.col(pa + c) for c in names], *[F.col(pb + c) for c in names])
+    value = iou_of(*[F.col(pa + c) for c in names], *[F.col(pb + c) for c in names])
+    return value if checked else F.when(box_ok(pa) & box_ok(pb), value).otherwise(0.0)
 
 
 def _next_points(poly: Column) -> Column:

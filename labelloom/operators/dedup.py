@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import taxonomy as T
 from labelloom.operators.prepare import pool_hash
-from labelloom.scale import ranked
+from labelloom.scale import hash_sums, ranked
 
 SUBMISSION = ("round_num", "item_id", "annotator_id")
 ROW = ("l", "b1", "b2", "b3", "b4")
@@ -48,7 +48,9 @@ def near_duplicates(anns: DataFrame, threshold: float = 0.95, item: Sequence[str
     cols = ("x1", "y1", "x2", "y2")
     bins = anns.select(*item, "annotator_id", T.canonical_label(F.col("label")).alias("l"), *[
         F.rint(F.col(c) / pixels).cast("bigint").alias(b) for c, b in zip(cols, ROW[1:])])
-    sigs = pool_hash(bins, ROW, [*item, "annotator_id"]).withColumnsRenamed({"rows": "n", "fingerprint": "sig"})
+    sums = bins.groupBy(*item, "annotator_id").agg(*hash_sums(ROW))
+    sigs = sums.select(*item, "annotator_id", F.col("_h4").alias("n"), F.concat_ws(
+        "-", *[F.col(f"_h{i}").cast("string") for i in range(5)]).alias("sig"))
     classes = sigs.groupBy(*item, "sig", "n").agg(F.min("annotator_id").alias("lead"))
     large = classes.where(F.col("n") >= smallest)
     counts = bins.join(large.select(*item, F.col("lead").alias("annotator_id"), "sig", "n"), [*item, "annotator_id"]).groupBy(

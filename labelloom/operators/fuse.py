@@ -258,7 +258,7 @@ def fuse(
     group sizes. The kept votes are checkpointed once, because clusters,
     posteriors and boxes all read them.
     """
-    voters = one_vote_per_owner(anns.select(*item, "annotator_id").distinct(), annotators, scores, item)
+    voters = cut(one_vote_per_owner(anns.select(*item, "annotator_id").distinct(), annotators, scores, item))
     kept = anns.join(voters, [*item, "annotator_id"], "left_semi")
     crowd = voters.groupBy(*item).agg(F.count("*").alias("n"))
     enough = crowd.where((F.col("n") >= 2) & (F.col("n") >= cfg.min_voters)).select(*item)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.geometry import box_area, box_ok, iou, iou_of
+from labelloom.functions.geometry import box_ok, iou
 from labelloom.scale import GROUP_LIMIT, first_rows, split_hot
 from labelloom.session import cut
 
@@ -38,7 +38,7 @@ def iou_join(
     parts = [_plain_pairs(cold, b, on, extra)]
     if hot is not None:
         parts.append(_grid_pairs(hot, b, on, min_iou, extra) if min_iou > 0 else _tile_pairs(hot, b, on, extra))
-    pairs = reduce(DataFrame.unionByName, parts).withColumn("iou", iou("a_", "b_"))
+    pairs = reduce(DataFrame.unionByName, parts).withColumn("iou", iou("a_", "b_", checked=True))
     return pairs.where(F.col("iou") >= min_iou if min_iou > 0 else F.col("iou") > 0)
 
 
@@ -193,8 +193,8 @@ def best_match(pred: DataFrame, truth: DataFrame, key: Sequence[str], item: Sequ
 
 # ---------------------------------------------------------------- anchors: clustering and suppression
 
-_ANCHOR_FOLD = """aggregate({rows}, CAST(array() AS ARRAY<{row}>),
-  (acc, e) -> IF(exists(acc, o -> {hit}), acc, concat(acc, array(e))))"""
+_ANCHOR_FOLD = """aggregate({rows}, CAST(array() AS ARRAY<{kind}>),
+  (acc, e) -> IF(exists(acc, o -> {hit}), acc, concat(acc, array({pick}))))"""
 
 
 def _lambda_iou(o: str, e: str) -> str:
@@ -204,25 +204,41 @@ def _lambda_iou(o: str, e: str) -> str:
     return f"(({inter}) / ({area.format(o)} + {area.format(e)} - {inter}))"
 
 
-def _anchor_lists(df: DataFrame, group: list[str], order: list, threshold: float, strict: bool) -> DataFrame:
-    """Per group, the boxes that no earlier anchor covers, as one sorted array."""
-    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *BOX)
-    listed = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+def _anchor_lists(df: DataFrame, group: list[str], order: list, threshold: float, strict: bool, columns: list[str]):
+    """Per group one sorted array ``_anchors`` of the boxes no earlier anchor covers, with ``columns``."""
+    marks = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    listed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*marks, *BOX, *columns))).alias("_r"))
     kind = listed.schema["_r"].dataType.elementType.simpleString()
-    test = f"{_lambda_iou('o', 'e')} {'>' if strict else '>='} {threshold}D"
-    return listed.select(*group, F.expr(_ANCHOR_FOLD.format(rows="_r", row=kind, hit=test)).alias("_anchors"))
+    hit = f"{_lambda_iou('o', 'e')} {'>' if strict else '>='} {threshold}D"
+    return listed.select(*group, F.expr(_ANCHOR_FOLD.format(rows="_r", kind=kind, hit=hit, pick="e")).alias("_anchors"))
 
 
-def _with_anchor(df: DataFrame, lists: DataFrame, group: list[str], order: list, threshold: float, strict: bool):
-    """Add ``_hit``: the earliest anchor that is the row itself or covers it, else null."""
-    own = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+def _rounds(hot: DataFrame, group: list[str], order: list, threshold: float, strict: bool, chunk: int):
+    """Anchor lists and decided rows (with ``_hit``) of groups of any size, round by round.
 
-    def covers(a):
-        mark = F.struct(*[a[f"o{i}"].alias(f"o{i}") for i in range(len(order))])
-        value = iou_of(*[F.col(c) for c in BOX], *[a[c] for c in BOX])
-        return (mark == own) | ((mark < own) & ((value > threshold) if strict else (value >= threshold)))
+    Each round folds the first ``chunk`` undecided boxes of every group, then
+    gives every box the new anchors cover to them, on all executors. A round
+    decides at least a chunk of every group, and dense groups need few rounds
+    because anchors cannot crowd.
+    """
+    left = cut(hot)
+    while not left.isEmpty():
+        head = first_rows(left, group, order, chunk, "_k").drop("_k")
+        lists = cut(_anchor_lists(head, group, order, threshold, strict, []))
+        got = cut(_with_hit(left, lists, group, threshold, strict))
+        yield got.where(F.col("_hit").isNotNull())
+        left = got.where(F.col("_hit").isNull()).drop("_hit")
 
-    return df.join(lists, group).withColumn("_hit", F.get(F.filter("_anchors", covers), 0)).drop("_anchors")
+
+def _with_hit(df: DataFrame, lists: DataFrame, group: list[str], threshold: float, strict: bool) -> DataFrame:
+    """Add ``_hit``: the first anchor of the group's list that covers the row.
+
+    The first one in order is always an earlier box or the row itself, so no
+    order test is needed.
+    """
+    test = f"{_lambda_iou('a', '_b')} {'>' if strict else '>='} {threshold}D"
+    boxed = df.withColumn("_b", F.struct(*BOX))
+    return boxed.join(lists, group).withColumn("_hit", F.expr(f"get(filter(_anchors, a -> {test}), 0)")).drop("_anchors", "_b")
 
 
 def anchor_assign(
@@ -236,34 +252,44 @@ def anchor_assign(
     anchors of a group are its suppression survivors and its cluster centres.
     Adds ``is_anchor`` and the anchor's order values ``_o0, _o1, ...``.
 
-    Groups above ``limit`` rows go through rounds: fold the first ``chunk``
-    undecided boxes, then give every box the new anchors cover to them, on all
-    executors. Each round decides at least a chunk of every large group, and
-    dense groups need few rounds because anchors cannot crowd.
+    Groups up to ``limit`` rows fold their boxes in one task; larger ones go
+    through ``_rounds``.
     """
     group, order = list(group), list(order)
     cold, hot = split_hot(df.where(box_ok()), group, limit, probe)
-    parts = [_with_anchor(cold, _anchor_lists(cold, group, order, threshold, strict), group, order, threshold, strict)]
-    left = None if hot is None else cut(hot)
-    while left is not None and not left.isEmpty():
-        head = first_rows(left, group, order, chunk, "_k").drop("_k")
-        lists = cut(_anchor_lists(head, group, order, threshold, strict))
-        got = cut(_with_anchor(left, lists, group, order, threshold, strict))
-        parts.append(got.where(F.col("_hit").isNotNull()))
-        left = got.where(F.col("_hit").isNull()).drop("_hit")
-    own = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    parts = [_with_hit(cold, _anchor_lists(cold, group, order, threshold, strict, []), group, threshold, strict)]
+    if hot is not None:
+        parts += list(_rounds(hot, group, order, threshold, strict, chunk))
     n = len(order)
     return reduce(DataFrame.unionByName, parts).select(
         *df.columns, *[F.col(f"_hit.o{i}").alias(f"_o{i}") for i in range(n)],
-        (F.struct(*[F.col(f"_hit.o{i}").alias(f"o{i}") for i in range(n)]) == own).alias("is_anchor"))
+        _same([F.col(f"_hit.o{i}") for i in range(n)], order).alias("is_anchor"))
+
+
+def anchors_only(df: DataFrame, group: Sequence[str], order: Sequence, threshold: float, strict: bool = False,
+                 limit: int = 1024, chunk: int = 1024, probe: DataFrame | None = None) -> DataFrame:
+    """The anchor rows of ``anchor_assign``; small groups need no second look at their rows."""
+    group, order = list(group), list(order)
+    cold, hot = split_hot(df.where(box_ok()), group, limit, probe)
+    rest = [c for c in df.columns if c not in group and c not in BOX]
+    lists = _anchor_lists(cold, group, order, threshold, strict, rest)
+    parts = [lists.select(*group, F.inline("_anchors")).select(*df.columns)]
+    if hot is not None:
+        n = len(order)
+        parts += [got.where(_same([F.col(f"_hit.o{i}") for i in range(n)], order)).select(*df.columns)
+                  for got in _rounds(hot, group, order, threshold, strict, chunk)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _same(a: list, b: list):
+    return reduce(lambda x, y: x & y, [p == q for p, q in zip(a, b)])
 
 
 def nms(df: DataFrame, group: Sequence[str] = ("item_id",), threshold: float = 0.45, strict: bool = False,
         tie: Sequence[str] = ("annotator_id", "seq"), **kw) -> DataFrame:
     """Non-maximum suppression: boxes by falling confidence, dropping those a kept box covers."""
     order = [-F.col("confidence"), *[F.col(c) for c in tie]]
-    kept = anchor_assign(df, group, order, threshold, strict, **kw).where("is_anchor")
-    return kept.drop("is_anchor", *[f"_o{i}" for i in range(len(order))])
+    return anchors_only(df, group, order, threshold, strict, **kw)
 
 
 def merge_tiles(tiles: DataFrame, whole: DataFrame, group: Sequence[str] = ("item_id",), threshold: float = 0.45,

@@ -12,6 +12,8 @@ from labelloom.config import FidelityConfig
 from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.operators.match import greedy_match, iou_join
+from labelloom.scale import hash_sums, split_hot
+from labelloom.session import cut
 
 SUBMISSION = ("round_num", "item_id", "annotator_id")
 
@@ -179,7 +181,7 @@ def label_matches(anns: DataFrame, truth: DataFrame, group: Sequence[str], min_i
 
 def score_consensus(
     anns: DataFrame, group: Sequence[str] = ("round_num", "item_id"), iou_weight: float = 0.6,
-    label_weight: float = 0.4,
+    label_weight: float = 0.4, limit: int = 256, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Agreement of each annotator with the peers on the same item.
 
@@ -187,42 +189,58 @@ def score_consensus(
     whether the annotator's first label is the most common label of those best
     peer boxes (ties: smallest label).
 
-    Annotators of an item with equal label and box sets are compared once and
-    weighted by their number, so copies add no pairs. Equality uses two
-    independent 64-bit hash sums and the count.
+    Items with up to ``limit`` boxes take one shuffle on the item; everything
+    after it stays in place. On larger items, annotators with equal label and
+    box sets are compared once and weighted by their number, so copies add no
+    pairs, and the pair join is spread over tiles.
     """
     group = list(group)
-    boxed = anns.select(*group, "annotator_id", "seq", T.canonical_label(F.col("label")).alias("label"),
-                        "x1", "y1", "x2", "y2")
-    fields = ["label", "x1", "y1", "x2", "y2"]
-    per = boxed.groupBy(*group, "annotator_id").agg(
-        F.sum(F.xxhash64(*fields).cast("decimal(38,0)")).alias("s1"),
-        F.sum(F.xxhash64(F.lit(7), *fields).cast("decimal(38,0)")).alias("s2"),
-        F.count("*").alias("s3"), F.min_by("label", "seq").alias("own_label"))
-    sig = ["s1", "s2", "s3"]
-    classes = per.groupBy(*group, *sig).agg(F.count("*").alias("members"), F.min("annotator_id").alias("rep"))
+    fields = ["label", *G.BOX]
+    boxed = anns.select(*group, "annotator_id", "seq", T.canonical_label(F.col("label")).alias("label"), *G.BOX)
+    small, large = split_hot(boxed, group, limit, probe)
+    placed = small.repartition(*[F.col(g) for g in group])
+    pairs = iou_join(placed.drop("seq"), placed.drop("seq"), group, 0.0,
+                     F.col("a_annotator_id") != F.col("b_annotator_id"), None)
+    best = pairs.groupBy(*group, F.col("a_annotator_id").alias("annotator_id"), F.col("b_annotator_id").alias("peer")).agg(
+        F.min(F.struct((-F.col("iou")).alias("n"), F.col("b_label").alias("label"))).alias("b"))
+    votes = best.select(*group, "annotator_id", F.col("b.label").alias("label"), F.lit(1).cast("bigint").alias("w"),
+                        (-F.col("b.n")).alias("v"))
+    firsts = placed.groupBy(*group, "annotator_id").agg(F.min_by("label", "seq").alias("own_label"))
+    rows = [_consensus_rows(firsts, _top_votes(votes, [*group, "annotator_id"]), group, [*group, "annotator_id"],
+                            iou_weight, label_weight)]
+    if large is not None:
+        sums = hash_sums(fields)
+        per = large.groupBy(*group, "annotator_id").agg(*sums, F.min_by("label", "seq").alias("own_label"))
+        sig = [f"_h{i}" for i in range(len(sums))]
+        classes = cut(per.groupBy(*group, *sig).agg(F.count("*").alias("members"), F.min("annotator_id").alias("rep")))
+        reps = cut(large.join(classes.select(*group, F.col("rep").alias("annotator_id"), "members"), [*group, "annotator_id"]).select(
+            *group, F.col("annotator_id").alias("rep"), "members", *fields).distinct())
+        pairs = iou_join(reps, reps, group, 0.0, F.col("a_rep") != F.col("b_rep"))
+        best = pairs.groupBy(*group, F.col("a_rep").alias("rep"), F.col("b_rep").alias("peer")).agg(
+            F.min(F.struct((-F.col("iou")).alias("n"), F.col("b_label").alias("label"), F.col("b_members").alias("m"))).alias("b"))
+        votes = best.select(*group, "rep", F.col("b.label").alias("label"), F.col("b.m").alias("w"),
+                            (-F.col("b.n") * F.col("b.m")).alias("v"))
+        # The other members of a class overlap its boxes completely.
+        selves = reps.where(G.box_ok() & (F.col("members") > 1)).groupBy(*group, "rep").agg(
+            F.min("label").alias("label"), (F.max("members") - 1).alias("w")).withColumn("v", F.col("w").cast("double"))
+        top = _top_votes(votes.unionByName(selves), [*group, "rep"])
+        rows.append(_consensus_rows(per.join(classes, [*group, *sig]), top, group, [*group, "rep"], iou_weight, label_weight))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _top_votes(votes: DataFrame, key: list[str]) -> DataFrame:
+    tally = votes.groupBy(*key, "label").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
+    return tally.groupBy(*key).agg(F.sum("v").alias("iou_sum"), F.min(
+        F.struct((-F.col("w")).alias("n"), "label")).getField("label").alias("major"))
+
+
+def _consensus_rows(per: DataFrame, top: DataFrame, group: list[str], key: list[str], iou_weight: float, label_weight: float):
     crowd = per.groupBy(*group).agg((F.count("*") - 1).alias("peers"))
-    reps = boxed.join(classes.select(*group, F.col("rep").alias("annotator_id"), "members"),
-                      [*group, "annotator_id"]).select(*group, F.col("annotator_id").alias("rep"), "members", *fields
-                                                       ).distinct()
-    pairs = iou_join(reps, reps, group, 0.0, F.col("a_rep") != F.col("b_rep"), probe=anns)
-    best = pairs.groupBy(*group, F.col("a_rep").alias("rep"), F.col("b_rep").alias("peer")).agg(
-        F.min(F.struct((-F.col("iou")).alias("n"), F.col("b_label").alias("label"), F.col("b_members").alias("m"))
-              ).alias("b"))
-    votes = best.select(*group, "rep", F.col("b.label").alias("label"), F.col("b.m").alias("w"),
-                        (-F.col("b.n") * F.col("b.m")).alias("v"))
-    # The other members of a class overlap its boxes completely.
-    selves = reps.where(G.box_ok() & (F.col("members") > 1)).groupBy(*group, "rep").agg(
-        F.min("label").alias("label"), (F.max("members") - 1).alias("w")).withColumn("v", F.col("w").cast("double"))
-    tally = votes.unionByName(selves).groupBy(*group, "rep", "label").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
-    top = tally.groupBy(*group, "rep").agg(
-        F.sum("v").alias("iou_sum"), F.min(F.struct((-F.col("w")).alias("n"), "label")).getField("label").alias("major"))
+    row = per.join(top, key, "left").join(crowd, group)
     mean = F.when(F.col("peers") > 0, F.coalesce("iou_sum", F.lit(0.0)) / F.col("peers")).otherwise(0.0)
     agree = F.when(F.col("own_label") == F.col("major"), 1.0).otherwise(0.0)
-    return (
-        per.join(classes, [*group, *sig]).join(top, [*group, "rep"], "left").join(crowd, group)
-        .select(*group, "annotator_id", "peers", mean.alias("mean_iou"), agree.alias("majority_match"),
-                F.least(F.lit(1.0), iou_weight * mean + label_weight * agree).alias("consensus")))
+    return row.select(*group, "annotator_id", "peers", mean.alias("mean_iou"), agree.alias("majority_match"),
+                      F.least(F.lit(1.0), iou_weight * mean + label_weight * agree).alias("consensus"))
 
 
 def fill_missing_golden(scores: DataFrame, expected: DataFrame, items: DataFrame,
@@ -275,7 +293,10 @@ def confusion_counts(
     truth = golden.select("item_id", "gt", T.canonical_label(F.col("label")).alias("label"), "x1", "y1", "x2", "y2")
     has_truth = truth.groupBy("item_id").agg(F.count("*").alias("gt_n"))
     subs = subs.join(has_truth, "item_id", "left").fillna({"gt_n": 0})
-    mine = anns.withColumn("label", T.canonical_label(F.col("label"))).join(subs, group)
+    # Detections and matches feed several event lists, and submissions on golden items are few: store them once.
+    subs = cut(subs)
+    keep = [c for c in ("seq", "label", *G.BOX) if c not in group]
+    mine = cut(anns.select(*group, *keep).withColumn("label", T.canonical_label(F.col("label"))).join(subs, group))
     only = F.col("role") == "class_only"
     zero = F.lit(0.0)
 
@@ -285,7 +306,7 @@ def confusion_counts(
 
     boxed = mine.where(~only)
     fair = boxed.where(~F.col("failed"))
-    pairs = label_matches(fair, truth, group, min_iou, anns)
+    pairs = cut(label_matches(fair, truth, group, min_iou))
     same = F.col("label") == F.col("gt_label")
     hit, miss = F.when(same, 1.0).otherwise(0.0), F.when(same, 0.0).otherwise(1.0)
     one = F.lit(1.0)

@@ -209,7 +209,7 @@ def annotator_average(t):
  FROM subs s LEFT JOIN m USING (round_num, item_id, annotator_id) LEFT JOIN top USING (round_num, item_id, annotator_id)""")
 def peer_consensus(t):
     public = t.annotations.join(t.items.where("role = 'public'").select("item_id"), "item_id", "left_semi")
-    return S.score_consensus(public).select(*SUB, "peers", R6("mean_iou"), "majority_match", R6("consensus"))
+    return S.score_consensus(public, probe=t.annotations).select(*SUB, "peers", R6("mean_iou"), "majority_match", R6("consensus"))
 
 
 COUNTS_SQL = f"""{AUDIT_SQL}, bad AS (SELECT round_num, item_id, annotator_id FROM audit WHERE NOT acceptable OR quality < 0.5),

@@ -136,3 +136,16 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         .withColumn(name, F.col("_in") + F.col("_before"))
         .drop("_seat", "_task", "_in", "_before")
     )
+
+
+def hash_sums(fields: Sequence[str]) -> list[Column]:
+    """Order-free signature of a group as five mergeable aggregates ``_h0.._h4``.
+
+    Two independent 64-bit row hashes are summed in 32-bit halves, next to the
+    row count; groups with equal rows have equal sums.
+    """
+    out = []
+    for salt in (0, 1):
+        h = F.xxhash64(F.lit(salt), *fields)
+        out += [F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return [c.alias(f"_h{i}") for i, c in enumerate([*out, F.count("*")])]

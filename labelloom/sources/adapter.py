@@ -126,12 +126,12 @@ class Tables:
 
     @cached_property
     def annotations(self) -> DataFrame:
-        return self.raw("lineitem").selectExpr(*ANNOTATION_EXPRS)
+        return spread(self.raw("lineitem").selectExpr(*ANNOTATION_EXPRS), "item_id")
 
     @cached_property
     def outlined(self) -> DataFrame:
         """Annotations with their polygon."""
-        return spread(self.annotations, "item_id").withColumn("polygon", F.expr(POLYGON))
+        return self.annotations.withColumn("polygon", F.expr(POLYGON))
 
     @cached_property
     def golden(self) -> DataFrame:

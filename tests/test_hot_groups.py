@@ -1,0 +1,236 @@
+"""The paths for large groups must give what the plain paths and direct walks give."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelloom.operators import dedup, match, prepare, reward, score
+from labelloom.operators.fuse import fuse_boxes
+from labelloom.scale import ranked, running_total, split_hot
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def overlap(a, b):
+    w = min(a[2], b[2]) - max(a[0], b[0])
+    h = min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(0.0, w) * max(0.0, h)
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+@pytest.fixture(scope="module")
+def boxes(spark):
+    """One item holds two thirds of all boxes, with copies among them."""
+    rng = random.Random(5)
+    data = []
+    for i in range(360):
+        item = 1 if i % 3 else 2 + i % 7
+        x, y = rng.randrange(0, 90), rng.randrange(0, 60)
+        if i % 5 == 0:
+            x, y = 10, 10
+        w, h = rng.randrange(20, 60), rng.randrange(20, 60)
+        data.append((item, i % 4, i, f"l{i % 3}", float(x), float(y), float(x + w), float(y + h), rng.random()))
+    return spark.createDataFrame(
+        data, "item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double, "
+              "confidence double").cache()
+
+
+@pytest.fixture(scope="module")
+def truth(spark):
+    rng = random.Random(9)
+    data = []
+    for item in range(1, 9):
+        for g in range(40 if item == 1 else 4):
+            x, y = rng.randrange(0, 90), rng.randrange(0, 60)
+            data.append((item, g, f"l{g % 3}", float(x), float(y), float(x + 40), float(y + 40)))
+    return spark.createDataFrame(data, "item_id bigint, gt bigint, label string, x1 double, y1 double, x2 double, y2 double").cache()
+
+
+def walk_match(pred, truth, drive, min_iou):
+    out = []
+    groups = {(r.item_id, r.annotator_id) for r in pred}
+    for item, who in groups:
+        p = sorted([r for r in pred if (r.item_id, r.annotator_id) == (item, who)], key=lambda r: r.seq)
+        t = sorted([r for r in truth if r.item_id == item], key=lambda r: r.gt)
+        used = set()
+        first, second = (t, p) if drive == "truth" else (p, t)
+        for a in first:
+            best, pick = 0.0, None
+            for b in second:
+                key = b.seq if drive == "truth" else b.gt
+                v = overlap(a[-4:] if False else (a.x1, a.y1, a.x2, a.y2), (b.x1, b.y1, b.x2, b.y2))
+                if key not in used and v >= min_iou and v > best:
+                    best, pick = v, b
+            if pick is not None:
+                used.add(pick.seq if drive == "truth" else pick.gt)
+                g, s = (a.gt, pick.seq) if drive == "truth" else (pick.gt, a.seq)
+                out.append((item, who, g, s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("drive", ["truth", "pred"])
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_greedy_match_equals_walk(spark, boxes, truth, drive, limit):
+    got = match.greedy_match(truth, boxes, ["item_id", "annotator_id"], min_iou=0.3, drive=drive, limit=limit)
+    assert rows(got.select("item_id", "annotator_id", "gt", "seq")) == walk_match(
+        boxes.collect(), truth.collect(), drive, 0.3)
+
+
+def test_greedy_match_in_chunks(spark, boxes, truth):
+    group = ["item_id", "annotator_id"]
+    pairs = match.iou_join(boxes, truth, ["item_id"], 0.3)
+    for d, c in (("b_gt", "a_seq"), ("a_seq", "b_gt")):
+        edges = pairs.select("item_id", F.col("a_annotator_id").alias("annotator_id"), F.col(d).alias("d"), F.col(c).alias("c"), "iou")
+        assert rows(match._fold_hot(edges, group, 3)) == rows(match._fold(edges, group))
+
+
+@pytest.mark.parametrize("min_iou", [0.0, 0.3, 0.5, 0.8])
+def test_spatial_join_paths_agree(spark, boxes, truth, min_iou):
+    keep = ["item_id", "a_seq", "b_gt", F.round("iou", 9)]
+    plain = rows(match.iou_join(boxes, truth, ["item_id"], min_iou, limit=10**6).select(*keep))
+    assert plain == rows(match.iou_join(boxes, truth, ["item_id"], min_iou, limit=3).select(*keep))
+    assert plain
+
+
+def walk_anchors(data, threshold):
+    kept = []
+    for r in sorted(data, key=lambda r: (-r.confidence, r.annotator_id, r.seq)):
+        if not any(overlap((r.x1, r.y1, r.x2, r.y2), (k.x1, k.y1, k.x2, k.y2)) >= threshold for k in kept):
+            kept.append(r)
+    return kept
+
+
+def test_nms_equals_walk(spark, boxes):
+    want = sorted((i, k.seq) for i in range(1, 9) for k in walk_anchors([r for r in boxes.collect() if r.item_id == i], 0.4))
+    for limit, chunk in ((10**6, 1024), (10, 7)):
+        assert rows(match.nms(boxes, threshold=0.4, limit=limit, chunk=chunk).select("item_id", "seq")) == want
+
+
+def test_cluster_assignment_in_rounds(spark, boxes):
+    order = [-F.col("confidence"), F.col("annotator_id"), F.col("seq")]
+    cols = ["item_id", "seq", "_o1", "_o2", "is_anchor"]
+    whole = rows(match.anchor_assign(boxes, ["item_id"], order, 0.4).select(*cols))
+    assert whole == rows(match.anchor_assign(boxes, ["item_id"], order, 0.4, limit=10, chunk=5).select(*cols))
+    assert len(whole) == boxes.count()
+
+
+def test_union_area_of_crowded_item(spark, boxes):
+    def brute(data):
+        cells = set()
+        for r in data:
+            cells |= {(x, y) for x in range(int(r.x1), int(r.x2)) for y in range(int(r.y1), int(r.y2))}
+        return float(len(cells))
+
+    want = [(i, brute([r for r in boxes.collect() if r.item_id == i])) for i in range(1, 9)]
+    assert rows(match.union_area(boxes)) == want
+    assert rows(match.union_area(boxes, tile=64.0, limit=20)) == want
+
+
+def test_merge_boxes_with_strips(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(120):
+        base = 200 * rng.randrange(4)
+        x, y = base + rng.randrange(60), 200 * rng.randrange(3) + rng.randrange(60)
+        data.append((1, i, float(x), float(y), float(x + 30), float(y + 30), 1))
+    df = spark.createDataFrame(data, "item_id bigint, seq bigint, x1 double, y1 double, x2 double, y2 double, n bigint")
+    assert rows(match.merge_boxes(df, limit=10)) == rows(match.merge_boxes(df))
+    assert sum(r.n for r in match.merge_boxes(df, limit=10).collect()) == 120
+
+
+def test_consensus_of_copies(spark):
+    data = []
+    for a in range(40):
+        x = 10.0 if a < 25 else 10.0 + a % 5
+        data += [(1, a, 1, "field" if a % 4 else "tree", x, 10.0, x + 50, 60.0), (1, a, 2, "plant", 200.0, 10.0, 250.0 + a % 2, 60.0)]
+    df = spark.createDataFrame(data, "item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double")
+    keep = ["annotator_id", "peers", F.round("mean_iou", 9), "majority_match", F.round("consensus", 9)]
+    small = rows(score.score_consensus(df, ["item_id"], limit=10**6).select(*keep))
+    assert small == rows(score.score_consensus(df, ["item_id"], limit=2).select(*keep))
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(11)
+    base = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    data = []
+    for a in range(12):
+        pts = list(base)
+        for k in range(a % 5):
+            pts[rng.randrange(60)] = (400 + a, 400 + k)
+        data += [(1, 1, a, i, "tree", 4.0 * x, 4.0 * y, 4.0 * x + 40, 4.0 * y + 40) for i, (x, y) in enumerate(pts)]
+    df = spark.createDataFrame(data, "round_num int, item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double")
+    from collections import Counter
+
+    sig = {a: Counter((r[5], r[6]) for r in data if r[2] == a) for a in range(12)}
+    want = []
+    for a in range(12):
+        near = [b for b in range(a) if sum((sig[a] & sig[b]).values()) / 60 >= 0.95]
+        if near:
+            want.append((1, 1, a, near[0]))
+    assert rows(dedup.near_duplicates(df)) == want
+
+
+def test_fused_median_of_large_cluster(spark):
+    rng = random.Random(2)
+    data = [(1, 1, 7, 7, a, float(rng.randrange(9)), float(rng.randrange(9)), 20.0 + rng.randrange(9), 20.0 + rng.randrange(9), 0.5)
+            for a in range(5001)]
+    df = spark.createDataFrame(data, "round_num int, item_id bigint, lead_annotator bigint, lead_seq bigint, annotator_id bigint, "
+                                     "x1 double, y1 double, x2 double, y2 double, weight double")
+    got = fuse_boxes(df).first()
+    for i, c in enumerate(("x1", "y1", "x2", "y2")):
+        assert got["m_" + c] == sorted(r[5 + i] for r in data)[len(data) // 2]
+
+
+def test_rank_and_running_total(spark):
+    rng = random.Random(1)
+    data = [(1 if i % 3 else 2, rng.randrange(10), i) for i in range(500)]
+    df = spark.createDataFrame(data, "g int, v int, id int").repartition(7)
+    want = []
+    for g in (1, 2):
+        total = 0
+        for k, r in enumerate(sorted([d for d in data if d[0] == g], key=lambda d: (-d[1], d[2])), 1):
+            total += r[1]
+            want.append((g, r[2], k, total))
+    got = running_total(ranked(df, ["g"], [F.desc("v"), F.col("id")]), ["g"], [F.col("rank")], "v", "total")
+    assert rows(got.select("g", "id", "rank", "total")) == sorted(want)
+
+
+def test_split_hot(spark):
+    df = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)], "k int, v int")
+    cold, hot = split_hot(df, ["k"], 10)
+    assert hot.count() == 60 and cold.count() == 30
+    assert split_hot(df, ["k"], 100)[1] is None
+
+
+def test_cluster_points_equals_walk(spark):
+    rng = random.Random(8)
+    pts = [(1, float(rng.randrange(300)), float(rng.randrange(300))) for _ in range(150)] + [(1, 50.0, 50.0)] * 40
+    df = spark.createDataFrame(pts, "item_id bigint, x double, y double")
+    left, sizes = list(range(len(pts))), []
+    while left:
+        todo, n = [left.pop()], 0
+        while todo:
+            i = todo.pop()
+            n += 1
+            near = [j for j in left if (pts[i][1] - pts[j][1]) ** 2 + (pts[i][2] - pts[j][2]) ** 2 <= 22 ** 2]
+            left = [j for j in left if j not in near]
+            todo += near
+        sizes.append(n)
+    assert sorted(r.n for r in prepare.cluster_points(df, 22.0).collect()) == sorted(sizes)
+
+
+def test_cap_weights_and_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    w = [(1, i, rng.random() * (30 if i < 3 else 1)) for i in range(60)]
+    df = spark.createDataFrame(w, "round int, annotator_id int, weight double")
+    got = {r.annotator_id: r.weight for r in reward.cap_weights(df, 0.1).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(got.values()) <= 0.1 + 1e-5
+    # the exclusion fraction is limited by the minimum count: (60 - 58) / 60
+    kept = reward.process_weights(df, 0.9, 58, 0.5)
+    low = np.quantile([x[2] for x in w], 2 / 60)
+    assert {r.annotator_id for r in kept.collect()} == {x[1] for x in w if x[2] >= low}
