@@ -275,11 +275,12 @@ def select_pseudo_labels(items: DataFrame, detections: DataFrame, min_confidence
     return items.join(sure, "item_id", "left").withColumn("labelled", F.col("seq").isNotNull())
 
 
-def complete_items(requested: DataFrame, answers: DataFrame, values: Sequence[str], key: str = "item_id") -> DataFrame:
-    """One row per requested item with its answers as an array, empty without detections."""
-    listed = answers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*values))).alias("answers"))
-    return requested.join(listed, key, "left").withColumn("answers", F.coalesce(
-        "answers", F.array().cast(listed.schema["answers"].dataType)))
+def complete_items(requested: DataFrame, answers: DataFrame, key: str = "item_id") -> DataFrame:
+    """Every requested item with its answer rows; one row of nulls (``answered`` false) for an item without any.
+
+    Answers stay rows, so an item with very many of them is never gathered.
+    """
+    return requested.join(answers.withColumn("answered", F.lit(True)), key, "left").fillna({"answered": False})
 
 
 def validate_selection_plan(plan: DataFrame, candidates: DataFrame, slots: DataFrame, images: DataFrame) -> DataFrame:

@@ -251,12 +251,10 @@ def pseudo_labels(t):
 
 
 @query("complete_items", f"""{Q.with_tables('annotations', 'items')}, s AS (SELECT * FROM annotations WHERE confidence >= 0.98)
-  SELECT i.item_id, count(s.seq) AS n, coalesce(string_agg(s.seq, ',' ORDER BY s.seq, s.annotator_id), '') AS seqs FROM items i
-  LEFT JOIN s USING (item_id) GROUP BY 1""")
+  SELECT i.item_id, s.annotator_id, s.seq, s.seq IS NOT NULL AS answered FROM items i LEFT JOIN s USING (item_id)""")
 def complete_items(t):
-    got = V.complete_items(t.items.select("item_id"), t.annotations.where("confidence >= 0.98"), ["seq", "annotator_id"])
-    return got.select("item_id", F.size("answers").cast("bigint").alias("n"), F.array_join(
-        F.transform("answers", lambda a: a["seq"].cast("string")), ",").alias("seqs"))
+    sure = t.annotations.where("confidence >= 0.98").select("item_id", "annotator_id", "seq")
+    return V.complete_items(t.items.select("item_id"), sure)
 
 
 @query("selection_plan_contract", """WITH plan AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 6 = 0 THEN NULL

@@ -48,10 +48,10 @@ def ingest_coco(images: DataFrame, anns: DataFrame, categories: DataFrame) -> Da
     """Annotation rows of a detection manifest: crowds and empty boxes dropped, xywh to rounded xyxy, names normalised.
 
     ``images``: id, width, height. ``anns``: image_id, category_id, iscrowd,
-    bbox. ``categories``: id, name (one row per class, broadcast).
+    bbox. ``categories``: id, name.
     """
-    names = F.broadcast(categories.select(
-        F.col("id").alias("category_id"), F.replace(F.lower(F.trim("name")), F.lit(" "), F.lit("_")).alias("label")))
+    names = categories.select(
+        F.col("id").alias("category_id"), F.replace(F.lower(F.trim("name")), F.lit(" "), F.lit("_")).alias("label"))
     box = [F.get("bbox", i) for i in range(4)]
     good = anns.where((F.coalesce(F.col("iscrowd"), F.lit(0)) == 0) & (F.size("bbox") == 4) & (box[2] > 0) & (box[3] > 0))
     return good.join(names, "category_id").join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id").select(
