@@ -328,30 +328,32 @@ def _parcel(p: str) -> Column:
     return F.array(*[point(F.bround(x, 2), F.bround(y, 2)) for x, y in corners])
 
 
-def sanitize_polygon(poly: Column, label: Column, p: str = "") -> Column:
-    """A simple outline inside the box.
+def sanitize_polygons(df: DataFrame, out: str = "outline", poly: str = "polygon", label: str = "label", p: str = "") -> DataFrame:
+    """Add ``out``: a simple outline inside the box.
 
     Finite points are clamped to the box at two decimals, made unique and put in
     angular order around their mean. When fewer than three remain or the area is
     at most half a pixel, a canopy outline (a parcel for field-like labels) or
-    the box itself is used.
+    the box itself is used. Each array step is a column of its own, so it is
+    computed once per row.
     """
     x1, y1, x2, y2 = (F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
     usable = F.filter(poly, lambda q: finite(q["x"]) & finite(q["y"]))
     inside = F.array_distinct(F.transform(usable, lambda q: point(
         F.greatest(x1, F.least(x2, F.bround(q["x"], 2))), F.greatest(y1, F.least(y2, F.bround(q["y"], 2))))))
-    n = F.size(inside)
-    mx = F.aggregate(inside, F.lit(0.0), lambda a, q: a + q["x"]) / n
-    my = F.aggregate(inside, F.lit(0.0), lambda a, q: a + q["y"]) / n
-    keyed = F.transform(inside, lambda q, i: F.struct(
-        F.atan2(q["y"] - my, q["x"] - mx).alias("t"), i.alias("i"), q["x"].alias("x"), q["y"].alias("y")))
-    around = F.transform(F.array_sort(keyed), lambda k: point(k["x"], k["y"]))
-    made = F.when(F.lower(F.coalesce(label, F.lit(""))).rlike(PARCEL_WORDS), _parcel(p)).otherwise(_canopy(p))
+    row = df.withColumn("_in", inside)
+    n = F.size("_in")
+    row = row.withColumn("_mx", F.aggregate("_in", F.lit(0.0), lambda a, q: a + q["x"]) / n).withColumn(
+        "_my", F.aggregate("_in", F.lit(0.0), lambda a, q: a + q["y"]) / n)
+    row = row.withColumn("_keyed", F.array_sort(F.transform("_in", lambda q, i: F.struct(
+        F.atan2(q["y"] - F.col("_my"), q["x"] - F.col("_mx")).alias("t"), i.alias("i"), q["x"].alias("x"), q["y"].alias("y")))))
+    row = row.withColumn("_around", F.transform("_keyed", lambda k: point(k["x"], k["y"]))).withColumn(
+        "_fits", F.col(poly).isNotNull() & (F.size(poly) >= 3) & (n >= 3) & (shoelace(F.col("_around")) > 0.5))
+    parcel = F.lower(F.coalesce(F.col(label), F.lit(""))).rlike(PARCEL_WORDS)
+    row = row.withColumn("_made", F.when(~F.coalesce("_fits", F.lit(False)), F.when(parcel, _parcel(p)).otherwise(_canopy(p))))
     box = F.array(*[point(F.bround(x, 2), F.bround(y, 2)) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))])
-    fallback = F.when(shoelace(made) > 0.5, made).otherwise(box)
-    return F.when(
-        poly.isNotNull() & (F.size(poly) >= 3) & (n >= 3) & (shoelace(around) > 0.5), around
-    ).otherwise(fallback)
+    done = F.when(F.col("_fits"), F.col("_around")).when(shoelace(F.col("_made")) > 0.5, F.col("_made")).otherwise(box)
+    return row.withColumn(out, done).drop("_in", "_mx", "_my", "_keyed", "_around", "_fits", "_made")
 
 
 def crossing_edges(df: DataFrame, key: list[str], poly: str = "polygon") -> DataFrame:

@@ -152,11 +152,11 @@ def validate_selected(
     # Equal rows collapse in the first aggregation, so a crowd of copies never meets in one task.
     distinct = sized.groupBy(*group, "label", "x1", "y1", "x2", "y2", F.hash("polygon").alias("_h"),
                              F.xxhash64("polygon").alias("_g")).agg(
-        F.count("*").alias("k"), F.max(F.coalesce(bad, F.lit(True)).cast("int")).alias("bad"),
+        F.count("*").alias("k"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"),
         F.max(full.cast("int")).alias("full"))
     per = distinct.groupBy(*group).agg(
         F.sum("k").alias("annotations"), F.max("k").alias("copies"),
-        F.sum(F.col("bad") * F.col("k")).alias("invalid"), F.max("full").alias("full"))
+        F.sum("bad").alias("invalid"), F.max("full").alias("full"))
     base = per.withColumn("policy_accepted", F.lit(True)) if selected is None else selected.join(per, group, "left")
     if audit is not None:
         base = base.join(audit.select(*group, "acceptable", F.col("reason").alias("audit_reason")), group, "left")

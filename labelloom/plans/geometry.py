@@ -57,7 +57,7 @@ def raster_iou(t):
 @query("sanitize_polygons", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, 8 AS points, round(x1, 2) AS left_x, round(x2, 2) AS right_x
    FROM annotations WHERE shape = 'octagon'""")
 def sanitize_polygons(t):
-    got = t.outlined.where("shape = 'octagon'").withColumn("p", G.sanitize_polygon(F.reverse("polygon"), F.col("label")))
+    got = G.sanitize_polygons(t.outlined.where("shape = 'octagon'").withColumn("polygon", F.reverse("polygon")), "p")
     xs = F.transform("p", lambda q: q["x"])
     return got.select(*KEY, F.size("p").alias("points"), F.array_min(xs).alias("left_x"), F.array_max(xs).alias("right_x"))
 
@@ -65,7 +65,7 @@ def sanitize_polygons(t):
 @query("synthetic_outlines", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, CASE WHEN label = 'field' THEN round_even(x1 + 0.08 * (x2 - x1), 2)
    ELSE round_even((x1 + x2) / 2 + (x2 - x1) / 2 * 0.94, 2) END AS first_x FROM annotations WHERE shape = 'none'""")
 def synthetic_outlines(t):
-    got = t.outlined.where("shape = 'none'").withColumn("p", G.sanitize_polygon(F.col("polygon"), F.col("label")))
+    got = G.sanitize_polygons(t.outlined.where("shape = 'none'"), "p")
     return got.select(*KEY, F.get("p", 0)["x"].alias("first_x"))
 
 

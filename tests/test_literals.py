@@ -67,7 +67,7 @@ def test_self_crossing(spark):
 
 def test_sanitized_polygon_stays_in_box(spark):
     df = polygon(spark, [(-5.0, 10.0), (120.0, 20.0), (60.0, 130.0), (60.0, 130.0), (float("nan"), 1.0)])
-    got = df.select(G.sanitize_polygon(F.col("polygon"), F.lit("tree")).alias("p")).first().p
+    got = G.sanitize_polygons(df.withColumn("label", F.lit("tree")), "p").first().p
     assert len(got) == 3 and all(0 <= q.x <= 100 and 0 <= q.y <= 100 for q in got)
 
 
