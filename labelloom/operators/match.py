@@ -352,7 +352,7 @@ def merge_boxes(df: DataFrame, group: Sequence[str] = ("item_id",), threshold: f
     schema = df.select(*group, *BOX, F.col("n").cast("bigint").alias("n")).schema
 
     def run(rows: DataFrame, keys: list[str]) -> DataFrame:
-        def one(_, pdf: pd.DataFrame) -> pd.DataFrame:
+        def one(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             merged = pd.DataFrame(_merge_group(pdf.sort_values(order), threshold), columns=[*BOX, "n"])
             for g in reversed(group):
                 merged.insert(0, g, pdf[g].iloc[0])
