@@ -402,11 +402,13 @@ def class_breakdown(anns: DataFrame, items: DataFrame, group: Sequence[str] = ("
     return per.join(top, group)
 
 
-def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("item_id", "seq")) -> DataFrame:
+def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("item_id", "seq"),
+                   coastal: bool = False) -> DataFrame:
     """Colour statistics of the pixels inside each box, the water and vegetation tests and a spectral label.
 
     Pixels meet the boxes of their item with the box range as join condition;
-    only sums leave the join, combined before the shuffle.
+    only sums leave the join, combined before the shuffle. ``coastal`` allows the
+    mangrove label, for verified coastal wetland only.
     """
     r, g, b = (F.col(c).cast("double") for c in "rgb")
     exg = 2 * g - r - b
@@ -432,6 +434,8 @@ def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("i
         F.when((area > 1100) | ((area > 450) & (e > 25.0) & (v > 200)), "dense_tree")
         .when(((long > 1.9) | (v < 100)) & (area > 100) & (e > 15.0), "field")
         .when((area < 75) | ((area < 150) & (e < 18.0)), "plant").otherwise("ordinary_tree"))
+    if coastal:
+        label = F.when((F.col("moisture") > 12.0) & (e > 20.0) & (area > 120) & (v > 150), "mangrove").otherwise(label)
     water = ((F.col("mean_b_minus_r") > 20.0) & (e < 0.0)) | (F.col("mean_b") > F.col("mean_r") + 30.0)
     return stats.select(*key, "n_pixels", "mean_exg", "mean_b_minus_r", "moisture", "vari", "luma_var",
                         "green_fraction", water.alias("is_water"), label.alias("spectral_label"))

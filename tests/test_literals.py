@@ -243,3 +243,15 @@ def test_reward_rows_void_the_round(spark):
         rows, fid, rows.selectExpr("round_num", "item_id", "chosen AS annotator_id"),
         rows.selectExpr("round_num", "chosen AS annotator_id", "1 AS cap")).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_spectral_rules(spark):
+    def stats(rgb, **kw):
+        px = spark.range(400).selectExpr("1 AS item_id", "CAST(id % 20 AS INT) AS x", "CAST(id DIV 20 AS INT) AS y",
+                                         f"{rgb[0]} AS r", f"{rgb[1]} + IF(id % 2 = 0, 60, 0) AS g", f"{rgb[2]} AS b")
+        box = spark.createDataFrame([(1, 1, 0., 0., 20., 20.)], "item_id int, seq int, x1 double, y1 double, x2 double, y2 double")
+        return score.spectral_stats(px, box, **kw).first()
+
+    assert stats((50, 60, 200)).is_water and not stats((40, 140, 50)).is_water
+    assert stats((40, 140, 50)).spectral_label == "ordinary_tree"
+    assert stats((40, 140, 50), coastal=True).spectral_label == "mangrove"
