@@ -143,7 +143,7 @@ def clean_detections(t):
       y2, CASE WHEN shape = 'none' THEN 'none' ELSE 'f' || shape || CASE WHEN seq % 31 = 0 THEN seq::VARCHAR ELSE '' END END,
       count(*) AS k FROM a GROUP BY ALL) GROUP BY ALL)
   SELECT round_num, item_id, annotator_id, annotations, invalid, nullif(array_to_string(list_sort(list_filter([
-     CASE WHEN annotator_id % 9 = 0 THEN 'selection_policy_not_accepted' END, CASE WHEN NOT acceptable THEN reason END,
+     CASE WHEN annotator_id % 9 = 0 THEN 'selection_policy_not_accepted' END, CASE WHEN NOT acceptable THEN coalesce(reason, 'geometric_quality_audit_failed') END,
      CASE WHEN fullf = 1 THEN 'full_frame_box_requires_review' END,
      CASE WHEN copies > 1 THEN 'duplicate_annotation_requires_review' END], lambda v: v IS NOT NULL)), ','), '') AS reason,
    annotator_id % 9 <> 0 AND acceptable AND fullf = 0 AND copies <= 1 AS selection_accepted
