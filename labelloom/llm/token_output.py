@@ -36,9 +36,44 @@ _MAGIC = b"PFB1"
 _SEGMENTS = "shard int, segment int, n_docs int, n_ids long, start_in_shard long, payload binary"
 
 
-def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    # frexp gives the exact exponent: values stay below 2**53.
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and turn of every element of lists with so many elements."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _squeeze(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2**w, w bits each, as rows of bytes: eight values fill w bytes."""
+    v = values.astype(np.uint64).reshape(len(values), -1, 8)
+    if w > 16:
+        bits = np.unpackbits(v.astype("<u4").view(np.uint8).reshape(len(values), -1, 4), axis=2, bitorder="little")
+        return np.packbits(bits[:, :, :w].reshape(len(values), -1), axis=1, bitorder="little")
+    u = np.uint64
+    low, high = (v[:, :, i] | v[:, :, i + 1] << u(w) | v[:, :, i + 2] << u(2 * w) | v[:, :, i + 3] << u(3 * w) for i in (0, 4))
+    if w < 16:
+        low = low | high << u(4 * w)
+        high = high >> u(64 - 4 * w)
+    return np.stack([low, high], axis=2).view(np.uint8)[:, :, :w].reshape(len(values), -1)
+
+
+def _spread(raw: np.ndarray, w: int) -> np.ndarray:
+    """Inverse of ``_squeeze``."""
+    if w > 16:
+        full = np.zeros((len(raw), BLOCK, 32), dtype=np.uint8)
+        full[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(raw), BLOCK, w)
+        return np.packbits(full, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    u = np.uint64
+    wide = np.zeros((len(raw), BLOCK // 8, 16), dtype=np.uint8)
+    wide[:, :, :w] = raw.reshape(len(raw), BLOCK // 8, w)
+    wide = wide.view("<u8")
+    low, high = wide[:, :, 0], wide[:, :, 1]
+    if w < 16:
+        high = low >> u(4 * w) | high << u(64 - 4 * w)
+    out = np.empty((len(raw), BLOCK // 8, 8), dtype=np.uint32)
+    for i in range(4):
+        out[:, :, i] = low >> u(i * w) & u((1 << w) - 1)
+        out[:, :, i + 4] = high >> u(i * w) & u((1 << w) - 1)
+    return out.reshape(len(raw), BLOCK)
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -53,56 +88,43 @@ def pack_ids(ids: np.ndarray) -> bytes:
     grid = grid.reshape(n_blocks, BLOCK)
     low = grid.min(axis=1)
     rest = grid - low[:, None]
-    bits = _bit_lengths(rest)
-    width = np.sort(bits, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
-    packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            unpacked = np.unpackbits(np.ascontiguousarray(rest[rows]).view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-            lines = np.packbits(unpacked[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-            for r, line in zip(rows, lines):
-                packed[r] = line.tobytes()
-    over = bits > width[:, None]
-    at, position = np.nonzero(over)
+    # The bit length grows with the value: that of the percentile is the percentile of the bit lengths.
+    middle = np.sort(rest, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
+    width = np.frexp(middle.astype(np.float64))[1].astype(np.int64)
+    at, position = np.nonzero(rest.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    n_over = np.bincount(at, minlength=n_blocks)
+    starts = np.r_[0, np.cumsum(6 + width * BLOCK // 8 + 5 * n_over)]
+    out = np.zeros(starts[-1], dtype=np.uint8)
+    head = starts[:-1]
+    out[head[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[head + 4], out[head + 5] = width, n_over
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        out[head[rows][:, None] + 6 + np.arange(BLOCK * w // 8)] = _squeeze(rest[rows] & np.uint32((1 << w) - 1), w)
+    tail = head + 6 + width * BLOCK // 8
+    turn = _ragged(n_over)[1]
+    out[tail[at] + turn] = position
     high = (rest[at, position].astype(np.uint64) >> width[at].astype(np.uint64)).astype("<u4")
-    position = position.astype(np.uint8)
-    n_over = over.sum(axis=1)
-    ends = np.cumsum(n_over)
-    starts = np.zeros(n_blocks + 1, dtype="<u4")
-    parts = []
-    for i in range(n_blocks):
-        a, b = int(ends[i] - n_over[i]), int(ends[i])
-        part = struct.pack("<IBB", int(low[i]), int(width[i]), b - a) + packed[i] + position[a:b].tobytes() + high[a:b].tobytes()
-        parts.append(part)
-        starts[i + 1] = starts[i] + len(part)
-    return struct.pack("<I", n_blocks) + starts.tobytes() + b"".join(parts)
+    out[((tail + n_over)[at] + 4 * turn)[:, None] + np.arange(4)] = high.view(np.uint8).reshape(-1, 4)
+    return struct.pack("<I", n_blocks) + starts.astype("<u4").tobytes() + out.tobytes()
 
 
 def unpack_ids(data: bytes, n: int) -> np.ndarray:
     """The first ``n`` ids of packed blocks."""
     (n_blocks,) = struct.unpack_from("<I", data)
-    starts = np.frombuffer(data, "<u4", n_blocks + 1, 4)
-    base = 4 + 4 * (n_blocks + 1)
-    heads = [struct.unpack_from("<IBB", data, base + int(s)) for s in starts[:-1]]
+    raw = np.frombuffer(data, np.uint8)
+    head = np.frombuffer(data, "<u4", n_blocks + 1, 4)[:-1].astype(np.int64) + 4 + 4 * (n_blocks + 1)
+    low = raw[head[:, None] + np.arange(4)].view("<u4")[:, 0] if n_blocks else np.zeros(0, np.uint32)
+    width, n_over = raw[head + 4].astype(np.int64), raw[head + 5].astype(np.int64)
     grid = np.zeros((n_blocks, BLOCK), dtype=np.uint32)
-    width = np.array([h[1] for h in heads], dtype=np.uint8)
-    for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            size = BLOCK * int(w) // 8
-            raw = b"".join(data[base + int(starts[r]) + 6: base + int(starts[r]) + 6 + size] for r in rows)
-            flat = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").reshape(len(rows), BLOCK, int(w))
-            full = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
-            full[:, :, :w] = flat
-            grid[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for r, (low, w, n_over) in enumerate(heads):
-        if n_over:
-            at = base + int(starts[r]) + 6 + BLOCK * w // 8
-            position = np.frombuffer(data, np.uint8, n_over, at)
-            grid[r, position] |= np.frombuffer(data, "<u4", n_over, at + n_over) << np.uint32(w)
-        grid[r] += np.uint32(low)
-    return grid.reshape(-1)[:n]
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        grid[rows] = _spread(raw[head[rows][:, None] + 6 + np.arange(BLOCK * w // 8)], w)
+    tail = head + 6 + width * BLOCK // 8
+    at, turn = _ragged(n_over)
+    high = raw[((tail + n_over)[at] + 4 * turn)[:, None] + np.arange(4)].view("<u4").reshape(-1)
+    grid[at, raw[tail[at] + turn]] |= high << width[at].astype(np.uint32)
+    return (grid + low[:, None]).reshape(-1)[:n]
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:

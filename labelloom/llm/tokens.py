@@ -6,16 +6,17 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
 import public_tokenizers
+import regex
 
 # Any white space but a single blank between two other characters keeps its neighbours in one unit.
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 # Units kept by one worker process; beyond that the cache starts anew, so memory stays bounded.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 400_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,20 +41,34 @@ def _worker_store() -> types.ModuleType:
     return sys.modules.setdefault("_labelloom_worker_store", types.ModuleType("_labelloom_worker_store"))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, ``add_special_tokens=False``.
 
-    Texts that spell a special token are encoded whole, because such a token may
-    contain no blank but is matched before the pre-tokenizer.
+    With a byte-level tokenizer, texts are split into units and those into the pieces of its pre-tokenizer, and
+    the library's model encodes each distinct piece. Texts that spell a special token, and all texts of
+    other tokenizers, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        step = self.tok.pre_tokenizer
+        self.units = isinstance(step, pre_tokenizers.ByteLevel) and step.use_regex and not step.add_prefix_space and self.tok.normalizer is None
+        self.pieces = regex.compile(public_tokenizers.PATTERN)
+        self.letters = _byte_letters()
+        self.model = self.tok.model.tokenize
+        self.after: dict[str, bytes] = {}  # units and pieces that follow a blank, without it
+        self.bare: dict[str, bytes] = {}  # other pieces
 
     @classmethod
     def shared(cls, path: str) -> "Encoder":
@@ -62,35 +77,57 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and letters, one piece."""
+        got = self.after.get(word)
+        if got is None:
+            ids = self.model(self.letters[32] + word) if word.isascii() else self.model((" " + word).encode().decode("latin-1").translate(self.letters))
+            got = self.after[word] = array("I", [t.id for t in ids]).tobytes()
+        return got
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of the pieces of a unit; each piece is looked up first."""
+        if unit[0] == " ":
+            if unit[1:].isalpha():
+                return self._word(unit[1:])
+            if unit[-1] in ".,;:!?" and unit[1:-1].isalpha():
+                end = self.bare.get(unit[-1])
+                if end is None:
+                    end = self.bare[unit[-1]] = self._piece(unit[-1])
+                return self._word(unit[1:-1]) + end
+        out = []
+        for piece in self.pieces.findall(unit):
+            kept, key = (self.after, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.bare, piece)
+            got = kept.get(key)
+            if got is None:
+                got = kept[key] = self._piece(piece)
+            out.append(got)
+        return b"".join(out)
 
     def batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty."""
-        out: list[bytes | None] = []
-        todo: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        texts = ["" if t is None else t for t in texts]
-        need: set[str] = set()
-        for i, text in enumerate(texts):
-            out.append(b"" if not text else None)
+        out: list[bytes] = []
+        after = self.after
+        for text in texts:
             if not text:
-                continue
-            if any(s in text for s in self.special):
-                whole.append(i)
-                continue
-            units = split_units(text)
-            units[1:] = [" " + u for u in units[1:]]
-            todo.append((i, units))
-            need.update(units)
-        missing = list(need - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_UNITS:
-            self.cache.clear()
-            missing = list(need)
-        self.cache.update(zip(missing, self._encode(missing)))
-        get = self.cache.__getitem__
-        for i, units in todo:
-            out[i] = b"".join(map(get, units))
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
+                out.append(b"")
+            elif not self.units or any(s in text for s in self.special):
+                out.append(self._whole(text))
+            else:
+                if len(after) + len(self.bare) > CACHE_UNITS:
+                    after.clear()
+                    self.bare.clear()
+                units = split_units(text)
+                ids = [self._unit(units[0])]
+                rest = units[1:]
+                for u in set(rest).difference(after):
+                    after[u] = self._unit(" " + u)
+                ids += map(after.__getitem__, rest)
+                out.append(b"".join(ids))
         return out
