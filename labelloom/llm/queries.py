@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import mixing, quality, topk
+from labelloom.llm import mixing, pii, quality, topk, toxicity, urls
 from labelloom.llm.common import table
 from labelloom.llm.packing import pack_documents
 from labelloom.llm.repeats import cover_repeats
@@ -48,6 +48,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_urls")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.pii_spans(table(spark, sf_dir, "documents"))
+
+    def line(spans: str):
+        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select("doc_id", *map(count, pii.KINDS), F.sha2(F.encode(line("base"), "UTF-8"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 @query("op7_topk", topk.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
@@ -58,6 +76,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cover_repeats(table(spark, sf_dir, "documents"))
