@@ -118,11 +118,10 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns. Documents without words go."""
     _, sources = mixing_plan(docs, weights, percent, epochs)
-    sized = _sized(docs.withColumn("_source", F.col("source").cast("string")))
-    joined = sized.join(sources.withColumnRenamed("_source", "_s"), F.expr("_source <=> _s")).where("_size > 0")
-    times = _times()
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_copy")
-    return joined.where(times > 0).select(*docs.columns, copies).drop("_copy")
+    # The row travels as one struct, so that its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string").alias("_source"))
+    joined = _sized(rows).join(sources.withColumnRenamed("_source", "_s"), F.expr("_source <=> _s")).where("_size > 0")
+    return joined.where(_times() > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), _times()))).select("row.*")
 
 
 ORACLE = r"""

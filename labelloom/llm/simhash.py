@@ -220,7 +220,7 @@ def near_duplicate_classes(docs: DataFrame, radius: int = RADIUS, shingle: int =
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One document of each class, with all its columns: the smallest doc_id (of equal ones the smallest text hash).
 
-    Rows that repeat a kept (doc_id, text) collapse to one. A class of null doc_ids keeps one row.
+    Rows that repeat a kept (doc_id, text) collapse to one. A class of null doc_ids only keeps one row per fingerprint.
     """
     prints = stored(fingerprints(docs, shingle, seed), "prints")
     named = prints.join(classes(prints, radius).withColumnRenamed("component_id", "_class"), "fp")
@@ -229,7 +229,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     kept = named.groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min(order).alias("_k")).select(
         F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"))
-    # Classes of null doc_ids whose fingerprints differ may be linked; each fingerprint then keeps a row.
-    keyed = docs.withColumns({"_text_hash": F.xxhash64("text"), "_doc_id": F.col("doc_id").cast("long")})
+    # The row travels as one struct, so that its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
     left = keyed.join(kept.distinct(), keyed["_doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_hash"]), "left_semi")
-    return left.dropDuplicates(["_doc_id", "_text_hash"]).drop("_doc_id", "_text_hash")
+    return left.dropDuplicates(["_doc_id", "_text_hash"]).select("row.*")

@@ -151,16 +151,18 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*labelled_sample(docs, labels))
 
 
-def _scores(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = compressor(model.toxic), compressor(model.ordinary)
-        center, scale, weights = np.array(model.center), np.array(model.scale), np.array(model.weights)
-        for batch in batches:
-            x = np.array([features(gains(t, *pair), model.threshold) for t in text_bytes(batch.column("text"))]).reshape(-1, 5)
-            z = np.clip(weights[0] + ((x - center) / scale) @ weights[1:], -30, 30)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, "_score"])
+class Scorer:
+    """A fitted model ready to score texts."""
 
-    return run
+    def __init__(self, model: Model):
+        self.pair = compressor(model.toxic), compressor(model.ordinary)
+        self.model = model
+        self.center, self.scale, self.weights = map(np.array, (model.center, model.scale, model.weights))
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        x = np.array([features(gains(t, *self.pair), self.model.threshold) for t in texts]).reshape(-1, 5)
+        z = self.weights[0] + ((x - self.center) / self.scale) @ self.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -170,19 +172,24 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     a null doc_id is never held out; repeated rows come out each; other columns are ignored; an empty table gives no rows.
     """
     model = model or train_model(docs, labels)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(text_bytes(batch.column(1))))], names=["doc_id", "score"])
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = map_batches(rows, _scores(model), "doc_id long, text string, _score double")
+    scored = map_batches(rows, run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """Documents that are not predicted toxic, with their columns."""
     model = model or train_model(docs, labels)
-    score = _scores(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in score(batches):
-            yield batch.filter(pa.compute.less(batch.column("_score"), 0.5)).drop_columns(["_score"])
+        score = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(score(text_bytes(batch.column("text"))) < 0.5))
 
     return map_batches(docs, keep, docs.schema)
