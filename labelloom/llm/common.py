@@ -55,10 +55,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     folder. Only counts come to the driver. Self edges give single nodes; null ends
     are no edges.
     """
-    now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    # Stored first: the nodes and every round read the edges, which may be costly to find.
+    now = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
     nodes = now.select(F.col("u").alias("node")).union(now.select(F.col("v").alias("node"))).distinct()
-    now = stored(now.where("u > v"), name)
+    now = now.where("u > v")
     before = None
     while True:
         # Large star: every larger neighbour of a node points at the node's smallest neighbour.
