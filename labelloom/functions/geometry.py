@@ -159,13 +159,14 @@ def _span(v: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _concave(x, y, lengths):
-    """Rows whose outline turns both ways or doubles back, so that the hull must be computed."""
+    """Rows whose outline turns both ways or does not wind exactly once, so that the hull must be computed."""
     rows, nxt, n = np.repeat(np.arange(len(lengths)), lengths), _next_in_row(lengths), len(lengths)
     dx, dy = x[nxt] - x, y[nxt] - y
     turn = dx * dy[nxt] - dx[nxt] * dy
     both = (np.bincount(rows, turn > 0, n) > 0) & (np.bincount(rows, turn < 0, n) > 0)
-    flips = np.bincount(rows, dx * dx[nxt] < 0, n) + np.bincount(rows, dx == 0, n)
-    return both | (flips > 4)
+    # The turning angles of an outline that winds once add up to one revolution.
+    turned = np.bincount(rows, np.arctan2(turn, dx * dx[nxt] + dy * dy[nxt]), n)
+    return both | (np.abs(np.abs(turned) - 2 * np.pi) > 1e-6)
 
 
 OUTLINE = StructType([

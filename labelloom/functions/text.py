@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Default and fixed wording of feedback, and the patterns removed from it.
 DEFAULT_FEEDBACK = "Canopy annotations submitted; optimize confidence threshold and contour vertex resolution."
-FILE_NAME = r"(?i)[\w\-_]+\.(?:jpg|jpeg|png|tif|tiff)"
+FILE_NAME = r"(?iU)[\w\-_]+\.(?:jpg|jpeg|png|tif|tiff)"
 ITEM_REFERENCE = r"(?i)\b(?:chip|sample|image|patch)\s*(?:#?\d+|[a-f0-9]{6,})"
 SQUARE_PAIR = r"\[\s*\d+(?:\.\d+)?\s*,\s*\d+(?:\.\d+)?\s*\]"
 ROUND_PAIR = r"\(\s*\d+(?:\.\d+)?\s*,\s*\d+(?:\.\d+)?\s*\)"
@@ -62,8 +62,8 @@ def image_name(item: Column) -> Column:
     """File name of an item id: last part after ':' and '/', role prefix dropped, '.jpg' added when no suffix."""
     last = F.element_at(F.split(F.element_at(F.split(item, ":"), -1), "/"), -1)
     bare = F.trim(
-        F.when(last.startswith("raw_climate_"), F.substring(last, 5, 1_000_000))
-        .when(last.startswith("golden_climate_"), F.substring(last, 8, 1_000_000)).otherwise(last))
+        F.when(last.startswith("raw_climate_"), F.substr(last, F.lit(5)))
+        .when(last.startswith("golden_climate_"), F.substr(last, F.lit(8))).otherwise(last))
     return F.when(bare.rlike(IMAGE_SUFFIX), bare).otherwise(F.concat(bare, F.lit(".jpg")))
 
 

@@ -113,37 +113,46 @@ def _tile_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], extra, tile: floa
 # ---------------------------------------------------------------- one-to-one matching
 
 _FOLD = """aggregate({edges},
-  named_struct('d', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<d:BIGINT,c:BIGINT,iou:DOUBLE>>)),
+  named_struct('d', CAST(NULL AS {d}), 'out', CAST(array() AS ARRAY<STRUCT<d:{d},c:{c},iou:DOUBLE>>)),
   (acc, e) -> IF(acc.d <=> e.d OR exists(acc.out, o -> o.c = e.c), acc,
      named_struct('d', e.d, 'out', concat(acc.out, array(named_struct('d', e.d, 'c', e.c, 'iou', -e.n))))),
   acc -> acc.out)"""
 
 
 def _fold(edges: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Walk the candidate pairs of each group in (driver, IoU descending, candidate) order."""
+    """Walk the candidate pairs of each group in (driver, IoU descending, candidate) order; ids of any type that sorts."""
+    kinds = {k: edges.schema[k].dataType.simpleString() for k in ("d", "c")}
     ordered = edges.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(
         F.col("d"), (-F.col("iou")).alias("n"), F.col("c")))).alias("_e"))
-    return ordered.select(*group, F.inline(F.expr(_FOLD.format(edges="_e"))))
+    return ordered.select(*group, F.inline(F.expr(_FOLD.format(edges="_e", **kinds))))
 
 
 def _fold_hot(edges: DataFrame, group: Sequence[str], chunk: int = 512) -> DataFrame:
-    """Same result for groups of any size, a chunk of drivers at a time.
-
-    The k-th driver of a chunk needs only its k best candidates, since earlier
-    drivers took at most k-1 of them; so each round folds at most chunk^2/2
-    pairs per group. Drivers left without a free candidate drop out by
-    themselves, and the loop ends when no pair is left.
+    """Same result for groups of any size.
+
+    A round folds the first ``chunk`` drivers: the k-th needs only its k best candidates,
+    since earlier drivers took at most k-1 of them. Then, all over the
+    group at once, every driver takes its best candidate if no earlier driver
+    overlaps that candidate at all. So the rounds follow the longest chain of overlaps of a
+    sparse group, and the chunks of a crowded one. Drivers left without a
+    free candidate drop out by themselves; the loop ends when no pair is left.
     """
     group, left, done = list(group), cut(edges), []
     while not left.isEmpty():
         drivers = first_rows(left.select(*group, "d").distinct(), group, [F.col("d")], chunk, "_k")
         best = first_rows(left.join(drivers, [*group, "d"]), [*group, "d"], [F.desc("iou"), F.col("c")], chunk, "_b")
         taken = cut(_fold(best.where(F.col("_b") <= F.col("_k")), group))
-        done.append(taken)
         left = cut(
             left.join(drivers, [*group, "d"], "left_anti").join(taken.select(*group, "c"), [*group, "c"], "left_anti"))
+        top = left.groupBy(*group, "d").agg(F.min(F.struct((-F.col("iou")).alias("n"), "c")).alias("_t")).select(
+            *group, "d", F.col("_t.c").alias("c"), (-F.col("_t.n")).alias("iou"))
+        first = left.groupBy(*group, "c").agg(F.min("d").alias("_d"))
+        sure = cut(top.join(first, [*group, "c"]).where(F.col("d") == F.col("_d")).select(*group, "d", "c", "iou"))
+        done += [taken.select(*group, "d", "c", "iou"), sure]
+        left = cut(left.join(sure.select(*group, "d"), [*group, "d"], "left_anti").join(
+            sure.select(*group, "c"), [*group, "c"], "left_anti"))
     if not done:
-        return _fold(edges.limit(0), group)
+        return _fold(edges.limit(0), group).select(*group, "d", "c", "iou")
     return reduce(DataFrame.unionByName, done)
 
 

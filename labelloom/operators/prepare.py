@@ -12,7 +12,7 @@ from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.functions.text import hash_bucket, hash_fraction, hash_order
 from labelloom.operators.reward import hamilton
-from labelloom.scale import ranked, running_total
+from labelloom.scale import cut_to, ranked, running_total
 from labelloom.session import cut
 
 # ---------------------------------------------------------------- splits and samples
@@ -32,8 +32,8 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train: int = 60, val: in
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: str, group: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows per group in seeded hash order, by distributed rank."""
-    return ranked(df, group, [hash_order(seed, F.col(key)), F.col(key)], "_r").where(F.col("_r") <= n).drop("_r")
+    """The first ``n`` rows per group in seeded hash order."""
+    return cut_to(df, group, [hash_order(seed, F.col(key)), F.col(key)], n)
 
 
 def sample_participants(people: DataFrame, exclude: DataFrame, n: int, seed: str, key: str = "annotator_id") -> DataFrame:
@@ -255,7 +255,7 @@ def label_tiles(tiles: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- point clusters
 
 
-def _components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _components(edges: DataFrame) -> DataFrame:
     """Smallest connected node for every node of an undirected graph (columns u, v), by alternating star steps.
 
     Each step replaces edges by edges to smaller neighbours and keeps the
@@ -263,7 +263,7 @@ def _components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     every shuffle and the edge set shrinks towards one edge per node.
     """
     cur, mark = cut(edges.select("u", "v").where("u <> v").distinct()), None
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -276,7 +276,6 @@ def _components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
-    raise RuntimeError("components did not settle")
 
 
 def cluster_points(points: DataFrame, eps: float, item: str = "item_id", margin: float = 8.0,

@@ -150,8 +150,7 @@ def validate_selected(
         | (F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1)))
     full = (x1 == 0) & (y1 == 0) & (x2 == F.col("width")) & (y2 == F.col("height"))
     # Equal rows collapse in the first aggregation, so a crowd of copies never meets in one task.
-    distinct = sized.groupBy(*group, "label", "x1", "y1", "x2", "y2", F.hash("polygon").alias("_h"),
-                             F.xxhash64("polygon").alias("_g")).agg(
+    distinct = sized.groupBy(*group, "label", "x1", "y1", "x2", "y2", F.sha2(F.to_json(F.struct("polygon")), 256).alias("_h")).agg(
         F.count("*").alias("k"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"),
         F.max(full.cast("int")).alias("full"))
     per = distinct.groupBy(*group).agg(

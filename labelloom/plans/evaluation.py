@@ -14,7 +14,7 @@ from labelloom.sources.readers import parse_round_log
 
 BASE = Q.with_tables("annotations", "golden", "items")
 # Predictions of the release evaluation: annotations on boxed golden items, all rounds together.
-PRED = f"""{BASE}, pred AS (SELECT item_id, annotator_id * 1000000000 + seq AS seq, replace(lower(trim(label)), ' ', '_') AS label, x1, y1, x2, y2,
+PRED = f"""{BASE}, pred AS (SELECT item_id, row(annotator_id, seq) AS seq, replace(lower(trim(label)), ' ', '_') AS label, x1, y1, x2, y2,
    confidence FROM annotations SEMI JOIN (SELECT DISTINCT item_id FROM golden) g USING (item_id)),
   cand AS (SELECT p.item_id, g.gt, p.seq, p.label, g.label AS gl, {Q.iou('p', 'g')} AS iou FROM pred p JOIN golden g ON p.item_id = g.item_id
    AND p.x1 < g.x2 AND g.x1 < p.x2 AND p.y1 < g.y2 AND g.y1 < p.y2)"""
@@ -22,7 +22,7 @@ PRED = f"""{BASE}, pred AS (SELECT item_id, annotator_id * 1000000000 + seq AS s
 
 def predictions(t):
     return t.annotations.join(t.golden.select("item_id").distinct(), "item_id", "left_semi").withColumn(
-        "seq", F.col("annotator_id") * 1_000_000_000 + F.col("seq"))
+        "seq", F.struct("annotator_id", "seq"))
 
 
 @query("micro_prf", f"""{PRED}, e AS (SELECT item_id, gt, seq, iou FROM cand WHERE iou >= 0.5 AND label = gl),
@@ -169,10 +169,10 @@ def classify_outcomes(t):
     return E.classify_outcomes(scores(t)).select("annotator_id", "round", "outcome")
 
 
-@query("next_untried", """WITH o AS (SELECT user_id AS annotator_id, list(DISTINCT event_type) AS t FROM events WHERE event_id % 37 = 0 GROUP BY 1)
+@query("next_untried", """WITH o AS (SELECT user_id AS annotator_id, list(DISTINCT event_type) AS t FROM events GROUP BY 1)
   SELECT annotator_id, list_filter(['view', 'click', 'error', 'signup'], lambda v: NOT list_contains(t, v))[1] AS next_option FROM o""")
 def next_untried(t):
-    tries = t.raw("events").where("event_id % 37 = 0").selectExpr("user_id AS annotator_id", "event_type AS option")
+    tries = t.raw("events").selectExpr("user_id AS annotator_id", "event_type AS option")
     return E.next_untried(tries, ["view", "click", "error", "signup"])
 
 
@@ -270,7 +270,7 @@ def keep_latest(t):
     return N.keep_latest(dumps, 2, ["user_id"]).select("user_id", "key", "kept")
 
 
-@query("stale_files", "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+@query("stale_files", "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events)")
 def stale_files(t):
     listing = t.raw("orders").select(F.col("o_orderkey").alias("key"))
-    return N.stale_files(listing, t.raw("lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("key")).distinct())
+    return N.stale_files(listing, t.raw("events").select(F.col("event_id").alias("key")))

@@ -214,9 +214,9 @@ def latest_records(t):
 
 
 @query("merge_labels", f"""{BASE} SELECT item_id, count(*) AS labels, count(*) FILTER (origin = 0) AS first_map FROM (SELECT item_id, 0 AS origin FROM golden
-   UNION ALL SELECT item_id, 1 FROM annotations WHERE confidence > 0.9) GROUP BY 1""")
+   UNION ALL SELECT item_id, 1 FROM annotations) GROUP BY 1""")
 def merge_labels(t):
-    both = R.merge_labels(t.golden.select("item_id", "label"), t.annotations.where("confidence > 0.9").select("item_id", "label"))
+    both = R.merge_labels(t.golden.select("item_id", "label"), t.annotations.select("item_id", "label"))
     return both.groupBy("item_id").agg(F.count("*").alias("labels"), F.count_if(F.col("origin") == 0).alias("first_map"))
 
 

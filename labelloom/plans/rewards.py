@@ -132,22 +132,17 @@ def cap_weights(t):
 
 
 @query("process_weights", f"""WITH {WEIGHT_SQL}, st AS (SELECT round, count(*) AS na, count(*) FILTER (weight > 0) AS np FROM w GROUP BY 1),
-  q AS (SELECT round, quantile_cont(weight, 0.1) AS low FROM w WHERE weight > 0 GROUP BY round),
+  o AS (SELECT w.*, row_number() OVER (PARTITION BY round ORDER BY weight) AS r, least(0.1, greatest(0, np - 48) / np) * (np - 1) AS spot
+    FROM w JOIN st USING (round) WHERE weight > 0),
+  q AS (SELECT round, min(weight) + any_value(spot - floor(spot)) * (max(weight) - min(weight)) AS low FROM o WHERE r IN (floor(spot) + 1, ceil(spot) + 1) GROUP BY round),
   kept AS (SELECT w.* FROM w JOIN st USING (round) JOIN q USING (round) WHERE weight > 0 AND np >= 48 AND na >= 48
-     AND weight >= CASE WHEN (np - 48) / np >= 0.1 THEN low ELSE 0 END
+     AND weight >= low
     UNION ALL SELECT round, annotator_id, weight + 1e-5 FROM w JOIN st USING (round) WHERE na >= 48 AND np > 0 AND np < 48),
-  odd AS (SELECT round FROM st WHERE np >= 48 AND na >= 48 AND (np - 48) / np < 0.1),
   {_cap_sql('kept', 0.06, 'c')}
-  SELECT round, annotator_id, round(weight, 6) AS weight FROM c WHERE round NOT IN (SELECT round FROM odd)
+  SELECT round, annotator_id, round(weight, 6) AS weight FROM c
   UNION ALL SELECT round, annotator_id, round(1.0 / na, 6) FROM w JOIN st USING (round) WHERE na < 48 OR np = 0""")
 def process_weights(t):
-    w = weights(t)
-    # Rounds whose exclusion fraction is cut by the minimum count are left to the unit tests: the
-    # second engine takes only constant fractions.
-    st = w.groupBy("round").agg(F.count("*").alias("na"), F.count_if(F.col("weight") > 0).alias("np"))
-    odd = st.where((F.col("np") >= 48) & (F.col("na") >= 48) & ((F.col("np") - 48) / F.col("np") < 0.1)).select("round")
-    got = R.process_weights(w, 0.06, 48, 0.1)
-    return got.join(odd, "round", "left_anti").select("round", "annotator_id", R6("weight"))
+    return R.process_weights(weights(t), 0.06, 48, 0.1).select("round", "annotator_id", R6("weight"))
 
 
 @query("quantize_weights", f"""WITH {WEIGHT_SQL}, m AS (SELECT round, max(weight) AS top FROM w GROUP BY 1)

@@ -167,9 +167,9 @@ def exportable(t):
     return V.exportable(rows).select("item_id")
 
 
-@query("golden_leaks", f"{Q.with_tables('items')} SELECT item_id FROM items WHERE role <> 'public' AND item_id % 3 = 0")
+@query("golden_leaks", f"{Q.with_tables('items')} SELECT item_id FROM items WHERE role <> 'public'")
 def golden_leaks(t):
-    return V.golden_leaks(t.items.where("item_id % 3 = 0").select("item_id"), t.items)
+    return V.golden_leaks(t.items.select("item_id"), t.items)
 
 
 @query("eligible_participants", """SELECT s_suppkey AS annotator_id FROM supplier WHERE s_nationkey % 3 <> 0
@@ -209,13 +209,13 @@ def export_schema_check(t):
 
 
 @query("reward_row_gate", """WITH r AS (SELECT year(l_shipdate) AS round_num, l_partkey AS item_id, l_suppkey AS chosen,
-    count(*) AS k, max(l_tax) AS tax, max(l_discount) AS disc FROM lineitem WHERE l_quantity = 7 GROUP BY ALL),
+    count(*) AS k, max(l_tax) AS tax, max(l_discount) AS disc FROM lineitem GROUP BY ALL),
   f AS (SELECT *, (chosen * 17 % 100) / 100.0 AS fid FROM r),
   b AS (SELECT round_num, count(*) AS n, count(*) FILTER (NOT (fid >= 0.05 AND round_num % 2 = 0)) AS bad FROM f GROUP BY 1),
   rep AS (SELECT round_num, count(*) AS repeated FROM (SELECT round_num, item_id FROM f GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
   SELECT b.round_num, n AS rows, bad AS bad_rows, coalesce(repeated, 0) AS repeated FROM b LEFT JOIN rep USING (round_num)""")
 def reward_row_gate(t):
-    picked = t.raw("lineitem").where("l_quantity = 7").selectExpr(
+    picked = t.raw("lineitem").selectExpr(
         "year(l_shipdate) AS round_num", "l_partkey AS item_id", "l_suppkey AS chosen").distinct()
     rows = picked.selectExpr(
         "*", "(chosen * 17 % 100) / 100.0D AS score", "'vision_model_selection_v1' AS method", "true AS accepted",

@@ -2,7 +2,7 @@
 
 * ``split_hot``  - separate the few keys whose groups are too large for one task.
 * ``ranked``     - exact row numbers inside groups of any size.
-* ``join_small`` - broadcast a side only after its row count was checked.
+* ``cut_to``     - the first rows of each group.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from labelloom.session import cut
 
 # Rows of one group that a single task may fold in memory.
 GROUP_LIMIT = 4096
-# Rows a side may have to be sent to every executor.
-BROADCAST_ROWS = 200_000
+# First rows that every task may keep for itself; longer lists are cut off a distributed rank.
+TOP_ROWS = 100_000
 # Hot keys listed on the driver; more than this stay in a table.
 LISTED_KEYS = 10_000
 
@@ -36,16 +36,13 @@ def split_hot(
     listed = big.limit(LISTED_KEYS + 1).collect()
     if not listed:
         return df, None
-    if len(listed) <= LISTED_KEYS:
-        dim = F.broadcast(df.sparkSession.createDataFrame(listed, big.schema))
-    else:
-        dim = cut(big)
-    return df.join(dim, keys, "left_anti"), df.join(dim, keys, "left_semi")
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows (reads no more than one row beyond that)."""
-    return df.limit(rows + 1).count() <= rows
+    bounded = len(listed) <= LISTED_KEYS
+    dim = df.sparkSession.createDataFrame(listed, big.schema) if bounded else cut(big)
+    # Null keys are a group too: equal nulls meet, so a large one is split like any other.
+    dim = dim.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    dim = F.broadcast(dim) if bounded else dim
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    return df.join(dim, same, "left_anti"), df.join(dim, same, "left_semi")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -60,13 +57,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``right`` broadcast when its checked size allows, by shuffle otherwise."""
-    if fits_broadcast(right, rows):
-        right = F.broadcast(right)
-    return left.join(right, on, how)
-
-
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row inside its group, in ``order``.
 
@@ -111,6 +101,13 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+def cut_to(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, or of all rows; up to TOP_ROWS without a full sort."""
+    if n > TOP_ROWS:
+        return ranked(df, group, order, "_r").where(F.col("_r") <= n).drop("_r")
+    return first_rows(df, group, order, n, "_r").drop("_r") if group else df.orderBy(*order).limit(n)
+
+
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Running sum of ``value`` inside groups of any size, in ``order``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.functions.text import strip_ansi
-from labelloom.scale import ranked
+from labelloom.scale import cut_to
 
 ANNOTATION = "struct<hazard_class:string,bounding_box:array<double>,polygon:array<array<double>>,area:double,weight:double,confidence:double>"
 RECORD = f"struct<image_id:string,image_url:string,timestamp:string,model_version:string,annotations:array<{ANNOTATION}>>"
@@ -216,20 +216,21 @@ def latest_records(df: DataFrame, key: str = "item_id", file: str = "file_name",
 
 def read_step_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Latest record per item over all step files."""
-    rows = spark.read.schema(schema).json(pattern).select(
-        "*", F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("line"))
+    # Splits of one file are numbered by where they start; the id counts lines inside a split.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = spark.read.schema(schema).json(pattern).select("*", F.col("_metadata.file_name").alias("file_name"), place.alias("line"))
     return latest_records(rows.withColumnRenamed("image_id", "item_id")).drop("file_name", "line")
 
 
 def union_sources(rows: DataFrame, golden: DataFrame, cap: int, order: Sequence[str] = ("source",), key: str = "doc_id") -> DataFrame:
     """Pool over several sources: content kept by the first source that has it, never golden, at most ``cap`` per source.
 
-    The cap takes the first rows in key order per source by distributed rank.
+    The cap takes the first rows in key order per source.
     """
     free = rows.join(golden.select("item_hash").distinct(), "item_hash", "left_anti")
     first = free.groupBy("item_hash").agg(F.min(F.struct(*order, key)).alias("f"))
     kept = first.select(*[F.col("f." + c).alias(c) for c in [*order, key]], "item_hash")
-    return ranked(kept, ["source"], [F.col(key)], "_r").where(F.col("_r") <= cap).drop("_r")
+    return cut_to(kept, ["source"], [F.col(key)], cap)
 
 
 def read_sources(spark: SparkSession, specs: str, root: str) -> DataFrame:

@@ -129,14 +129,25 @@ def latest_receipts(rows: DataFrame, by: str = "round") -> DataFrame:
 
 
 def write_receipts(rows: DataFrame, path: str, by: str = "round") -> None:
-    """``round_N`` and ``latest`` folders under the hash of each identity."""
+    """``round_N`` and ``latest`` folders under the hash of each identity; writing an old round again leaves a newer ``latest``."""
     made = receipts(rows, by=by)
+    newest = latest_receipts(made, by)
+    if _has_files(made.sparkSession, path):
+        stored = made.sparkSession.read.schema("value string, identity_hash string, slot string").text(path, recursiveFileLookup=False)
+        known = stored.where("slot LIKE 'round_%'").select("identity_hash", F.substring_index("slot", "_", -1).cast(made.schema[by].dataType).alias("_r"))
+        newer = newest.join(known.groupBy("identity_hash").agg(F.max("_r").alias("_r")), "identity_hash", "left")
+        newest = newer.where(F.col("_r").isNull() | (F.col(by) >= F.col("_r"))).drop("_r")
     named = made.withColumn("slot", F.concat(F.lit("round_"), F.col(by).cast("string"))).unionByName(
-        latest_receipts(made, by).withColumn("slot", F.lit("latest")))
+        newest.withColumn("slot", F.lit("latest")))
     named.select("identity_hash", "slot", "value").write.partitionBy("identity_hash", "slot").option(
         "partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
 
 
+def _has_files(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def digest_files(spark, path: str) -> DataFrame:
     """SHA-256 of every file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

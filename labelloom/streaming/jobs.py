@@ -43,6 +43,14 @@ def as_stream(df: DataFrame, name: str, files_per_batch: int | None = None) -> D
     return open_stream(df.sparkSession, path, files_per_batch=files_per_batch)
 
 
+def staged(frames: list[DataFrame], name: str) -> DataFrame:
+    """Write frames one after the other into one folder and read them as a stream, a file per batch in that order."""
+    path = stream_folder(frames[0].sparkSession, name)
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return open_stream(frames[0].sparkSession, path, files_per_batch=1)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
@@ -69,22 +77,26 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 # ---------------------------------------------------------------- windows, joins, aggregates
 
-def response_window(tasks: DataFrame, responses: DataFrame, seconds: int = 600) -> DataFrame:
-    """Responses with ``late``: arrival at or after the deadline of their task.
+def response_window(tasks: DataFrame, responses: DataFrame, seconds: int = 600, horizon: str = "7 days",
+                    delay: str = "1 hour") -> DataFrame:
+    """Every response with ``known`` and ``late``: arrival at or after the deadline of its task.
 
     ``tasks``: task_id, started. ``responses``: task_id, arrived and more. A
-    static task table makes it a stream-static join; with two streams the join
-    carries the time range, so state older than the watermark is dropped.
+    response without an open task comes out with ``known`` false and counts as
+    late. With two streams, state is kept for ``horizon`` around the start of a
+    task: a response farther away finds no task and comes out once the
+    watermark (``delay``) has passed it.
     """
     deadline = F.col("started") + F.expr(f"INTERVAL {seconds} SECONDS")
+    right = tasks.withColumnRenamed("task_id", "_task")
     if tasks.isStreaming and responses.isStreaming:
-        left = responses.withWatermark("arrived", "1 hour")
-        right = tasks.withColumnRenamed("task_id", "_task").withWatermark("started", "1 hour")
-        joined = left.join(right, F.expr(
-            "task_id = _task AND arrived >= started AND arrived < started + INTERVAL 1 HOUR")).drop("_task")
+        responses, right = responses.withWatermark("arrived", delay), right.withWatermark("started", delay)
+        on = F.expr(f"task_id = _task AND arrived >= started - INTERVAL {horizon} AND arrived <= started + INTERVAL {horizon}")
     else:
-        joined = responses.join(tasks, "task_id")
-    return joined.withColumn("late", F.col("arrived") >= deadline)
+        on = F.expr("task_id = _task")
+    joined = responses.join(right, on, "left")
+    return joined.withColumn("known", F.col("_task").isNotNull()).withColumn(
+        "late", F.coalesce(F.col("arrived") >= deadline, F.lit(True))).drop("_task")
 
 
 def split_late(rows: DataFrame, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]):
@@ -148,43 +160,50 @@ def every_nth(n: int, write: Callable[[DataFrame, int], None]):
 # ---------------------------------------------------------------- keyed state
 
 SCORE_OUT = "annotator_id bigint, round int, ema double, delta double"
-SCORE_STATE = "ema double, last double, round int, seen boolean"
 
 
-def _score_rows(alpha: float):
-    keep = 1.0 - alpha
+def score_stream(scores: DataFrame) -> DataFrame:
+    """One row per annotator and round: reward, and whether the identity was reset in that round.
 
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, last, at, seen = state.get if state.exists else (0.0, 0.0, -1, False)
-        rows = pd.concat(list(frames)).sort_values(["round", "reset"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.reset:
-                ema, last, at, seen = 0.0, 0.0, int(r.round), False
-                continue
-            gap = int(r.round) - at - 1 if at >= 0 else 0
-            value = 0.0 if pd.isna(r.reward) else float(r.reward)
-            idle = ema * keep**gap
-            ema = alpha * value + keep * (idle if idle >= TINY else 0.0)
-            ema = ema if ema >= TINY else 0.0
-            out.append((key[0], int(r.round), ema, value - last if seen else 0.0))
-            last, at, seen = value, int(r.round), True
-        state.update((ema, last, at, seen))
-        yield pd.DataFrame(out, columns=["annotator_id", "round", "ema", "delta"])
+    ``scores``: annotator_id, round (a running number), reward and ``reset``
+    (true on an identity change). The rounds themselves are the state, so they
+    may arrive in any order; averages are folded when they are read (``score_path``).
+    """
+    real = ~F.col("reset")
+    return scores.groupBy("annotator_id", "round").agg(
+        F.max(F.when(real, F.coalesce("reward", F.lit(0.0)))).alias("reward"), F.bool_or("reset").alias("reset"))
 
-    return update
 
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written row per key of a drained update stream."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
-def score_stream(scores: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """Moving average and change per annotator after each round.
 
-    ``scores``: annotator_id, round (a running number), reward and ``reset``
-    (true on an identity change, which clears the state). Missing rounds count
-    as 0. The state is four values per annotator. Rows of a key must arrive in
-    round order between batches.
+def score_path(rounds: DataFrame, alpha: float = 0.25) -> DataFrame:
+    """Moving average and change per annotator after each round, from ``score_stream`` rows.
+
+    Missing rounds count as 0. A reset clears average and change and leaves a
+    row of zero, so it also counts for an annotator who never returns. A reward of the
+    same round comes before the reset. One group has one row per round.
     """
-    return scores.groupBy("annotator_id").applyInPandasWithState(
-        _score_rows(alpha), SCORE_OUT, SCORE_STATE, "update", GroupStateTimeout.NoTimeout)
+    keep = 1.0 - alpha
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ema, last, at, seen, out = 0.0, 0.0, -1, False, []
+        for r in rows.sort_values("round").itertuples(index=False):
+            number, delta = int(r.round), 0.0
+            if not pd.isna(r.reward):
+                idle = ema * keep ** (number - at - 1) if at >= 0 else 0.0
+                ema = alpha * float(r.reward) + keep * (idle if idle >= TINY else 0.0)
+                ema = ema if ema >= TINY else 0.0
+                delta, last, at, seen = (float(r.reward) - last if seen else 0.0), float(r.reward), number, True
+            if r.reset:
+                ema, delta, last, at, seen = 0.0, 0.0, 0.0, number, False
+            out.append((key[0], number, ema, delta))
+        return pd.DataFrame(out, columns=["annotator_id", "round", "ema", "delta"])
+
+    return rounds.groupBy("annotator_id").applyInPandas(fold, SCORE_OUT)
 
 
 def ema_asof(rows: DataFrame, asof: int, alpha: float = 0.25) -> DataFrame:
@@ -194,8 +213,8 @@ def ema_asof(rows: DataFrame, asof: int, alpha: float = 0.25) -> DataFrame:
     return last.select("annotator_id", F.when(now < TINY, 0.0).otherwise(now).alias("ema"))
 
 
-def expire_objects(objects: DataFrame, hours: float = 2.0) -> DataFrame:
-    """Keys whose last write is older than ``hours`` before the watermark."""
+def expire_objects(objects: DataFrame, hours: float = 2.0, delay: str = "1 hour") -> DataFrame:
+    """Keys whose last write is older than ``hours`` before the watermark; writes may arrive ``delay`` out of order."""
     millis = int(hours * 3_600_000)
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -214,7 +233,7 @@ def expire_objects(objects: DataFrame, hours: float = 2.0) -> DataFrame:
         state.update((size, stamp))
         state.setTimeoutTimestamp(max(stamp + millis, state.getCurrentWatermarkMs() + 1))
 
-    return objects.withWatermark("modified", "0 seconds").groupBy("key").applyInPandasWithState(
+    return objects.withWatermark("modified", delay).groupBy("key").applyInPandasWithState(
         update, "key string, bytes bigint, modified timestamp", "bytes bigint, seen bigint", "append",
         GroupStateTimeout.EventTimeTimeout)
 

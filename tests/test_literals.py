@@ -255,3 +255,23 @@ def test_spectral_rules(spark):
     assert stats((50, 60, 200)).is_water and not stats((40, 140, 50)).is_water
     assert stats((40, 140, 50)).spectral_label == "ordinary_tree"
     assert stats((40, 140, 50), coastal=True).spectral_label == "mangrove"
+
+
+def test_convexity_of_stars_that_wind_twice(spark):
+    """Stars drawn in one stroke turn one way all round but are not convex."""
+    import math
+
+    from labelloom.functions import geometry as G
+
+    def star(points, step):
+        return [(100 + 50 * math.cos(2 * math.pi * step * k / points), 100 + 50 * math.sin(2 * math.pi * step * k / points)) for k in range(points)]
+
+    def area(p):
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+
+    shapes = [star(5, 1), star(5, 2), star(7, 2), star(7, 3), star(5, 2)[::-1], star(6, 1) + [star(6, 1)[0]]]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, polygon array<struct<x:double,y:double>>")
+    got = {r.i: r for r in rows.select("i", G.outline_stats("polygon").alias("o")).select("i", "o.area", "o.hull").collect()}
+    for i, (n, s) in enumerate([(5, shapes[0]), (5, star(5, 1)), (7, star(7, 1)), (7, star(7, 1)), (5, star(5, 1)), (6, star(6, 1))]):
+        assert abs(got[i].hull - area(s)) < 1e-6, i
+    assert got[1].area / got[1].hull < 0.7

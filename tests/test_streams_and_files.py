@@ -13,14 +13,19 @@ from labelloom.streaming import jobs
 
 def test_score_state_over_batches(spark, tmp_path):
     schema = "annotator_id bigint, round int, reward double, reset boolean"
-    batches = [[(1, 1, .4, False), (2, 1, 1.0, False)], [(1, 2, 1.0, False)], [(2, 4, .5, False), (1, 4, None, True)]]
+    # The rounds of annotator 1 arrive out of order.
+    batches = [[(1, 2, 1.0, False), (2, 1, 1.0, False)], [(1, 1, .4, False)], [(2, 4, .5, False), (1, 4, None, True)]]
     for i, b in enumerate(batches):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r.annotator_id, r["round"]): r for r in jobs.drain(jobs.score_stream(stream), "t", "update").collect()}
+    rounds = jobs.newest(jobs.drain(jobs.score_stream(stream), "t", "update"), ["annotator_id", "round"])
+    path = jobs.score_path(rounds).cache()
+    got = {(r.annotator_id, r["round"]): r for r in path.collect()}
     assert abs(got[1, 2].ema - (.25 + .75 * .1)) < 1e-9 and abs(got[1, 2].delta - .6) < 1e-9
     assert abs(got[2, 4].ema - (.125 + .75 * .25 * .75 ** 2)) < 1e-9
-    assert (1, 4) not in got
+    # A reset leaves a row of zero, so the old value does not survive an annotator who stays away.
+    assert (got[1, 4].ema, got[1, 4].delta) == (0.0, 0.0)
+    assert {r.annotator_id: r.ema for r in jobs.ema_asof(path, 9).collect()}[1] == 0.0
 
 
 def test_expired_objects(spark, tmp_path):
@@ -34,6 +39,33 @@ def test_expired_objects(spark, tmp_path):
     assert gone == {"k0", "k1"}
 
 
+def test_late_writes_keep_an_object(spark, tmp_path):
+    """A write that arrives out of order within the delay is not dropped."""
+    start = datetime(2024, 1, 1)
+    schema = "key string, bytes bigint, modified timestamp"
+    for key, minutes in (("a", 0), ("b", 170), ("a", 150), ("c", 400), ("d", 401)):
+        spark.createDataFrame([(key, minutes, start + timedelta(minutes=minutes))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    gone = {r.key: r.bytes for r in jobs.drain(jobs.expire_objects(stream, 2.0, "1 hour"), "late", "append").collect()}
+    assert gone["a"] == 150 and gone["b"] == 170
+
+
+def test_old_receipts_leave_the_newer_latest(spark, tmp_path):
+    path = str(tmp_path / "r")
+    for number in (3, 2):
+        sinks.write_receipts(spark.createDataFrame([("h", number, number / 10)], "identity string, round int, score double"), path)
+    got = {r.slot: json.loads(r.value)["round"] for r in spark.read.text(path).collect()}
+    assert got == {"round_3": 3, "round_2": 2, "latest": 3}
+
+
+def test_unknown_and_far_answers_come_out(spark):
+    t = datetime(2024, 1, 1)
+    tasks = spark.createDataFrame([(1, t)], "task_id int, started timestamp")
+    answers = spark.createDataFrame([(1, t), (1, t + timedelta(days=30)), (2, t)], "task_id int, arrived timestamp")
+    got = sorted((r.task_id, r.known, r.late) for r in jobs.response_window(tasks, answers).collect())
+    assert got == [(1, True, False), (1, True, True), (2, False, True)]
+
+
 def test_deadline_is_exclusive(spark):
     t = datetime(2024, 1, 1)
     tasks = spark.createDataFrame([(1, t)], "task_id int, started timestamp")
