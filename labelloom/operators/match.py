@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.geometry import box_ok, iou
+from labelloom.functions.geometry import box_ok, iou, outline_iou
 from labelloom.scale import GROUP_LIMIT, first_rows, split_hot
 from labelloom.session import cut
 
@@ -29,12 +29,12 @@ def iou_join(
 
     Columns of both sides come back with the prefixes ``a_`` and ``b_``. Keys
     with few boxes join on the key with the overlap as join condition; keys with
-    many boxes in ``a`` add a size-level grid cell to the join key, so no task
+    many boxes on either side add a size-level grid cell to the join key, so no task
     compares all boxes of a large item. Sizes are counted on ``probe`` (a cheaper
     frame with at least the rows of ``a``) when given; ``limit=None`` says the
     caller has counted already.
     """
-    cold, hot = (a, None) if limit is None else split_hot(a, on, limit, probe)
+    cold, hot = (a, None) if limit is None else split_hot(a, on, limit, _counted(a if probe is None else probe, b, on))
     parts = [_plain_pairs(cold, b, on, extra)]
     if hot is not None:
         parts.append(_grid_pairs(hot, b, on, min_iou, extra) if min_iou > 0 else _tile_pairs(hot, b, on, extra))
@@ -42,6 +42,11 @@ def iou_join(
     return pairs.where(F.col("iou") >= min_iou if min_iou > 0 else F.col("iou") > 0)
 
 
+def _counted(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The keys of both sides, for counting."""
+    return a.select(*on).union(b.select(*on))
+
+
 def _overlap():
     return (
         (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2"))
@@ -167,20 +172,25 @@ def greedy_match(
     prediction; ``drive='pred'``: predictions in ``seq`` order each take the best
     unused truth. Ties go to the lower id. ``truth`` has the ``item`` keys and
     ``gt``; ``pred`` has the ``group`` keys (containing ``item``) and ``seq``.
-    Returns (group, gt, seq, iou).
+    When both have a ``polygon``, pairs with two outlines are measured by their
+    outlines: any overlap of the boxes makes a candidate, since outlines can
+    overlap more than their boxes do. Returns (group, gt, seq, iou).
     """
     item, group = list(item), list(group)
     d, c = ("b_gt", "a_seq") if drive == "truth" else ("a_seq", "b_gt")
     extra = (F.col("a_label") == F.col("b_label")) if same_label else None
     kept = [k for k in group if k not in item]
+    drawn = "polygon" in truth.columns and "polygon" in pred.columns
 
     def edges(p: DataFrame, known: int | None) -> DataFrame:
-        pairs = iou_join(p, truth, item, min_iou, extra, known, probe)
+        pairs = iou_join(p, truth, item, 0.0 if drawn else min_iou, extra, known, probe)
+        if drawn:
+            pairs = pairs.withColumn("iou", outline_iou(F.col("a_polygon"), F.col("b_polygon"))).where(F.col("iou") >= min_iou)
         return pairs.select(
             *item, *[F.col("a_" + k).alias(k) for k in kept], F.col(d).alias("d"), F.col(c).alias("c"), "iou")
 
     # An item with few boxes has no large group, so most data needs only this one count.
-    few, many = split_hot(pred, item, limit, probe)
+    few, many = split_hot(pred, item, limit, _counted(pred if probe is None else probe, truth, item))
     result = _fold(edges(few, None), group)
     if many is not None:
         cold, hot = split_hot(many, group, limit)

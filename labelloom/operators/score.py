@@ -290,12 +290,14 @@ def confusion_counts(
         subs = subs.join(bad, group, "left").fillna({"failed": False})
     else:
         subs = subs.withColumn("failed", F.lit(False))
-    truth = golden.select("item_id", "gt", T.canonical_label(F.col("label")).alias("label"), "x1", "y1", "x2", "y2")
+    # Outlines take part when the golden objects have them.
+    outline = ["polygon"] if "polygon" in golden.columns and "polygon" in anns.columns else []
+    truth = golden.select("item_id", "gt", T.canonical_label(F.col("label")).alias("label"), "x1", "y1", "x2", "y2", *outline)
     has_truth = truth.groupBy("item_id").agg(F.count("*").alias("gt_n"))
     subs = subs.join(has_truth, "item_id", "left").fillna({"gt_n": 0})
     # Detections and matches feed several event lists, and submissions on golden items are few: store them once.
     subs = cut(subs)
-    keep = [c for c in ("seq", "label", *G.BOX) if c not in group]
+    keep = [c for c in ("seq", "label", *G.BOX, *outline) if c not in group]
     mine = cut(anns.select(*group, *keep).withColumn("label", T.canonical_label(F.col("label"))).join(subs, group))
     only = F.col("role") == "class_only"
     zero = F.lit(0.0)

@@ -231,12 +231,15 @@ def check_export_schema(rows: DataFrame, key: str, column: str = "value", url: s
 
 
 def validate_reward_rows(rows: DataFrame, fidelity: DataFrame, supplied: DataFrame, caps: DataFrame,
-                         by: str = "round_num") -> DataFrame:
+                         by: str = "round_num", public: DataFrame | None = None) -> DataFrame:
     """Reward-boundary verdict per round; any bad row voids the whole round.
 
     ``rows``: selected rows with item, chosen, score, method, flags, vote and
     contribution fields and the object checks already reduced to ``objects_ok``.
     ``supplied``: the expected (item, chosen) provenance. ``caps``: slots per annotator.
+    ``public`` (round, public_count): the caps of a round must add up to its public count or to 0, and there must
+    not be more selected items; a round it does not list has a count of 0. Rounds without any cap are void.
+    Rows over their cap earn nothing (``over_cap``) but do not void the round.
     """
     fid = fidelity.select(by, F.col("annotator_id").alias("chosen"), "fidelity")
     row = rows.join(fid, [by, "chosen"], "left")
@@ -255,9 +258,17 @@ def validate_reward_rows(rows: DataFrame, fidelity: DataFrame, supplied: DataFra
     used = rows.groupBy(by, F.col("chosen").alias("annotator_id")).agg(F.count("*").alias("used"))
     over = used.join(caps, [by, "annotator_id"], "left").where(
         F.col("used") > F.coalesce("cap", F.lit(0))).groupBy(by).agg(F.count("*").alias("over_cap"))
-    out = rounds.join(repeated, by, "left").join(mismatch, by, "left").join(over, by, "left").fillna(0)
-    return out.withColumn(
-        "valid", (F.col("bad_rows") + F.col("repeated") + F.col("mismatched") == 0))
+    total = caps.groupBy(by).agg(F.sum("cap").alias("cap_total"), F.count("*").alias("_capped"))
+    out = rounds.join(repeated, by, "left").join(mismatch, by, "left").join(over, by, "left").join(total, by, "left")
+    if public is not None:
+        out = out.join(public.select(by, "public_count"), by, "left")
+    else:
+        out = out.withColumn("public_count", F.lit(None).cast("bigint"))
+    sound = F.lit(True) if public is None else (
+        ((F.col("cap_total") == 0) | (F.col("cap_total") == F.col("public_count"))) & (F.col("rows") <= F.col("public_count")))
+    out = out.fillna(0)
+    return out.withColumn("caps_sound", (F.col("_capped") > 0) & sound).drop("_capped").withColumn(
+        "valid", (F.col("bad_rows") + F.col("repeated") + F.col("mismatched") == 0) & F.col("caps_sound"))
 
 
 def provenance_mismatch(expected: DataFrame, supplied: DataFrame, key: Sequence[str] = ("item_id",)) -> DataFrame:

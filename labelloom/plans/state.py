@@ -41,6 +41,16 @@ def response_window_streams(t):
     return got.where("event_id >= 0").select("event_id", "task_id", "known", "late")
 
 
+@query("expired_objects", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(max(ts)) AS modified FROM events GROUP BY 1")
+def expired_objects(t):
+    """Every object expires once: writes come in three parts out of order, then two closing rows move the watermark."""
+    rows = t.raw("events").selectExpr("CAST(user_id AS STRING) AS key", "CAST(floor(value) AS BIGINT) AS bytes", "CAST(ts AS TIMESTAMP) AS modified", "event_id % 3 AS part")
+    parts = [rows.where(F.col("part") == k).drop("part") for k in (2, 0, 1)]
+    far = [t.spark.sql(f"SELECT 'closing' AS key, 0L AS bytes, timestamp'{year}-01-01' AS modified") for year in (2100, 2101)]
+    gone = J.drain(J.expire_objects(J.staged([*parts, *far], "objects"), 2.0, "60 days"), "expired")
+    return gone.where("key <> 'closing'").select("key", F.unix_micros("modified").alias("modified"))
+
+
 @query("first_records", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY ALL")
 def first_records(t):
     rows = events(t).selectExpr("user_id", "event_type", "CAST(floor(value) AS BIGINT) AS v", "ts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import geometry as G
 from labelloom.operators import score as S
 from labelloom.operators import validate as V
+from labelloom.operators.assemble import assemble_selected
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
 
@@ -159,6 +160,46 @@ def validate_selected(t):
     return V.validate_selected(moved, t.items, audit, SUB, chosen)
 
 
+REC = ["item_id", "annotator_id"]
+PICKED = f"""{Q.with_tables('annotations', 'items', 'averages')},
+  sel AS (SELECT item_id, min(annotator_id) AS annotator_id FROM annotations GROUP BY 1),
+  mine AS (SELECT a.*, {Q.canonical('label')} AS cl FROM annotations a JOIN sel USING (item_id, annotator_id))"""
+
+
+def _picked(t):
+    selected = t.annotations.groupBy("item_id").agg(F.min("annotator_id").alias("annotator_id")).withColumn(
+        "policy_accepted", F.col("annotator_id") % 9 != 0)
+    thirds = t.averages.withColumn("avg_fidelity", F.col("avg_fidelity") / 3)
+    people = t.annotators.select("annotator_id", F.col("owner_id").alias("identity"))
+    return assemble_selected(selected, t.outlined, t.items, people, thirds)
+
+
+@query("assemble_selected", f"""{PICKED}, {Q.audit('audit', 'mine', REC)},
+  g AS (SELECT item_id, annotator_id, count(*) AS annotations, round_even(sum((x2 - x1) * (y2 - y1) / (width * height) * {Q.multiplier('cl')}), 6) AS net_weight,
+     sum(least(1.0, confidence) * 100) / sum(100) AS mconf FROM mine JOIN items USING (item_id) GROUP BY ALL),
+  c AS (SELECT item_id, annotator_id, max(k) AS copies FROM (SELECT item_id, annotator_id, label, x1, y1, x2, y2, shape, count(*) AS k FROM mine GROUP BY ALL) GROUP BY ALL),
+  xs AS (SELECT DISTINCT item_id, x1 AS x FROM mine UNION SELECT DISTINCT item_id, x2 FROM mine),
+  slabs AS (SELECT item_id, x AS a, lead(x) OVER (PARTITION BY item_id ORDER BY x) AS b FROM xs),
+  cut AS (SELECT DISTINCT s.item_id, s.a, s.b, n.y1, n.y2 FROM slabs s JOIN mine n ON n.item_id = s.item_id AND n.x1 <= s.a AND n.x2 >= s.b WHERE s.b IS NOT NULL),
+  runs AS (SELECT *, max(y2) OVER (PARTITION BY item_id, a ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cut),
+  u AS (SELECT item_id, sum((b - a) * greatest(0, y2 - greatest(y1, coalesce(reach, y1)))) AS area FROM runs GROUP BY 1),
+  r AS (SELECT item_id, annotator_id, annotations, net_weight, round_even((0.35 * avg_fidelity / 3 + 0.25 * mconf + 0.25 * (0.45 * round(mq, 4) + 0.55 * round(mc, 4)) + 0.135) * quality, 4) AS score,
+     nullif(array_to_string(list_sort(list_filter([CASE WHEN annotator_id % 9 = 0 THEN 'selection_policy_not_accepted' END,
+       CASE WHEN NOT acceptable THEN coalesce(reason, 'geometric_quality_audit_failed') END,
+       CASE WHEN copies > 1 THEN 'duplicate_annotation_requires_review' END], lambda v: v IS NOT NULL)), ','), '') AS reason, round_even(least(1, area / (width * height)) * 100, 2) AS coverage_pct
+   FROM g JOIN c USING (item_id, annotator_id) JOIN audit USING (item_id, annotator_id) JOIN u USING (item_id) JOIN items USING (item_id) JOIN averages USING (annotator_id))
+  SELECT item_id, annotator_id, annotations, net_weight, score, reason, coverage_pct, reason IS NULL AS accepted FROM r""")
+def assemble_selected_rows(t):
+    return _picked(t)[0].select("item_id", "annotator_id", "annotations", "net_weight", "score", "reason", "coverage_pct", "accepted")
+
+
+@query("selected_objects", f"""{PICKED}, o AS (SELECT *, row_number() OVER (PARTITION BY item_id, annotator_id ORDER BY seq) - 1 AS i FROM mine)
+  SELECT item_id, annotator_id, seq, substr(sha256(item_id || ':' || annotator_id || ':' || i), 1, 16) AS cluster_id, {Q.severity('label')} AS severity,
+   (x2 - x1) * (y2 - y1) AS area, round((x2 - x1) * (y2 - y1) / (width * height), 9) AS weight FROM o JOIN items USING (item_id)""")
+def selected_objects(t):
+    return _picked(t)[1].select("item_id", "annotator_id", "seq", "cluster_id", "severity", "area", F.round("weight", 9).alias("weight"))
+
+
 # The public flag of an item stands in for the assembled result.
 @query("exportable", f"""{Q.with_tables('items')} SELECT item_id FROM items WHERE role = 'public' AND item_id % 7 <> 0""")
 def exportable(t):
@@ -208,24 +249,32 @@ def export_schema_check(t):
     return V.check_export_schema(export_json(rows), "item_id")
 
 
-@query("reward_row_gate", """WITH r AS (SELECT year(l_shipdate) AS round_num, l_partkey AS item_id, l_suppkey AS chosen,
-    count(*) AS k, max(l_tax) AS tax, max(l_discount) AS disc FROM lineitem GROUP BY ALL),
+@query("reward_row_gate", """WITH r AS (SELECT DISTINCT year(l_shipdate) AS round_num, l_partkey AS item_id, l_suppkey AS chosen FROM lineitem),
   f AS (SELECT *, (chosen * 17 % 100) / 100.0 AS fid FROM r),
   b AS (SELECT round_num, count(*) AS n, count(*) FILTER (NOT (fid >= 0.05 AND round_num % 2 = 0)) AS bad FROM f GROUP BY 1),
-  rep AS (SELECT round_num, count(*) AS repeated FROM (SELECT round_num, item_id FROM f GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
-  SELECT b.round_num, n AS rows, bad AS bad_rows, coalesce(repeated, 0) AS repeated FROM b LEFT JOIN rep USING (round_num)""")
+  rep AS (SELECT round_num, count(*) AS repeated FROM (SELECT round_num, item_id FROM f GROUP BY ALL HAVING count(*) > 1) GROUP BY 1),
+  mis AS (SELECT round_num, count(*) AS mismatched FROM r LEFT JOIN (SELECT round_num, item_id, chosen AS supplied FROM r WHERE item_id % 50 <> 3) s
+     USING (round_num, item_id) WHERE chosen IS DISTINCT FROM supplied GROUP BY 1),
+  cap AS (SELECT round_num, chosen, count(*) AS used, count(*) - (chosen % 20 = 1)::INT AS cap FROM r GROUP BY round_num, chosen),
+  k AS (SELECT round_num, sum(cap) AS cap_total, count(*) FILTER (used > cap) AS over_cap FROM cap GROUP BY 1)
+  SELECT b.round_num, n AS rows, bad AS bad_rows, coalesce(repeated, 0) AS repeated, coalesce(mismatched, 0) AS mismatched, over_cap, CAST(cap_total AS BIGINT) AS cap_total,
+   round_num % 3 <> 0 AND over_cap = 0 AS caps_sound, bad = 0 AND repeated IS NULL AND mismatched IS NULL AND round_num % 3 <> 0 AND over_cap = 0 AS valid
+  FROM b LEFT JOIN rep USING (round_num) LEFT JOIN mis USING (round_num) JOIN k USING (round_num)""")
 def reward_row_gate(t):
-    picked = t.raw("lineitem").selectExpr(
-        "year(l_shipdate) AS round_num", "l_partkey AS item_id", "l_suppkey AS chosen").distinct()
+    picked = t.raw("lineitem").selectExpr("year(l_shipdate) AS round_num", "l_partkey AS item_id", "l_suppkey AS chosen").distinct()
     rows = picked.selectExpr(
         "*", "(chosen * 17 % 100) / 100.0D AS score", "'vision_model_selection_v1' AS method", "true AS accepted",
         "false AS is_golden", "false AS escalated", "1 AS contributors", "1.0D AS contribution",
         "round_num % 2 = 0 AS objects_ok")
-    fid = t.averages.withColumnRenamed("avg_fidelity", "fidelity").crossJoin(
-        F.broadcast(rows.select("round_num").distinct()))
-    supplied = picked.withColumnRenamed("chosen", "annotator_id")
-    caps = picked.groupBy("round_num", F.col("chosen").alias("annotator_id")).agg(F.count("*").alias("cap"))
-    return V.validate_reward_rows(rows, fid, supplied, caps).select("round_num", "rows", "bad_rows", "repeated")
+    rounds = picked.groupBy("round_num").agg(F.count("*").alias("public_count"))
+    fid = t.averages.withColumnRenamed("avg_fidelity", "fidelity").crossJoin(F.broadcast(rounds.select("round_num")))
+    # Some items come without a source, some annotators have one slot too few, and every third round another public count.
+    supplied = picked.where("item_id % 50 <> 3").withColumnRenamed("chosen", "annotator_id")
+    caps = picked.groupBy("round_num", F.col("chosen").alias("annotator_id")).agg(F.count("*").alias("cap")).withColumn(
+        "cap", F.col("cap") - (F.col("annotator_id") % 20 == 1).cast("int"))
+    public = rounds.withColumn("public_count", F.col("public_count") + (F.col("round_num") % 3 == 0).cast("int") * 1000)
+    return V.validate_reward_rows(rows, fid, supplied, caps, public=public).select(
+        "round_num", "rows", "bad_rows", "repeated", "mismatched", "over_cap", "cap_total", "caps_sound", "valid")
 
 
 @query("provenance_mismatch", """WITH e AS (SELECT p_partkey AS item_id, p_size AS expected FROM part WHERE p_partkey % 4 <> 0),

@@ -275,3 +275,45 @@ def test_convexity_of_stars_that_wind_twice(spark):
     for i, (n, s) in enumerate([(5, shapes[0]), (5, star(5, 1)), (7, star(7, 1)), (7, star(7, 1)), (5, star(5, 1)), (6, star(6, 1))]):
         assert abs(got[i].hull - area(s)) < 1e-6, i
     assert got[1].area / got[1].hull < 0.7
+
+
+def _drawn_share(a, b, size):
+    """IoU of two outlines by testing every pixel centre."""
+    def inside(poly, px, py):
+        hit = False
+        for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+            if (ay > py) != (by > py) and px < ax + (py - ay) * (bx - ax) / (by - ay):
+                hit = not hit
+        return hit
+
+    masks = [[inside(p, x + 0.5, y + 0.5) for y in range(size) for x in range(size)] for p in (a, b)]
+    both, either = sum(map(all, zip(*masks))), sum(map(any, zip(*masks)))
+    return both / either if either else 0.0
+
+
+def test_outline_overlap_counts_pixel_centres(spark):
+    import random
+
+    from labelloom.functions import geometry as G
+
+    rng = random.Random(7)
+    shapes = [[(rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(rng.randint(3, 9))] for _ in range(300)]
+    pairs = [(i, shapes[i], shapes[-1 - i], 0.0, 0.0, 40.0, 40.0, 0.0, 0.0, 40.0, 40.0) for i in range(150)] + [(200, None, shapes[0], 0.0, 0.0, 2.0, 2.0, 1.0, 0.0, 2.0, 2.0)]
+    poly, box = "array<struct<x:double,y:double>>", ", ".join(f"{s}_{c} double" for s in "ab" for c in ("x1", "y1", "x2", "y2"))
+    got = {r.i: r.raster_iou for r in G.raster_iou(spark.createDataFrame(pairs, f"i int, a_poly {poly}, b_poly {poly}, {box}")).collect()}
+    assert all(abs(got[i] - _drawn_share(shapes[i], shapes[-1 - i], 40)) < 1e-12 for i in range(150))
+    assert got[200] == 0.5
+
+
+def test_matching_by_outlines(spark):
+    """Equal boxes with opposite triangles do not match; small overlap of boxes with equal outlines inside does."""
+    from labelloom.operators.match import greedy_match
+
+    poly = "array<struct<x:double,y:double>>"
+    low, high = [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)], [(40.0, 40.0), (40.0, 0.0), (0.0, 40.0)]
+    spot = [(30.0, 30.0), (38.0, 30.0), (38.0, 38.0), (30.0, 38.0)]
+    truth = spark.createDataFrame([(1, 1, 0., 0., 40., 40., low), (2, 1, 0., 0., 40., 40., spot), (3, 1, 0., 0., 40., 40., None)], f"item_id int, gt int, x1 double, y1 double, x2 double, y2 double, polygon {poly}")
+    pred = spark.createDataFrame([(1, 7, 1, 0., 0., 40., 40., high), (2, 7, 1, 28., 28., 90., 90., spot), (3, 7, 1, 0., 0., 40., 40., high)], f"item_id int, annotator_id int, seq int, x1 double, y1 double, x2 double, y2 double, polygon {poly}")
+    got = {r.item_id: round(r.iou, 3) for r in greedy_match(truth, pred, ["item_id", "annotator_id"]).collect()}
+    assert got == {2: 1.0, 3: 1.0}
+    assert {r.item_id for r in greedy_match(truth.drop("polygon"), pred, ["item_id", "annotator_id"]).collect()} == {1, 3}

@@ -9,11 +9,13 @@ from labelloom.plans import registry
 
 registry.load()
 PATH = "/root/testdata/sf0.001"
-# One or two per family; `python tests/harness.py <folder>` runs all of them.
+# Some per family; `python tests/harness.py <folder>` runs all of them.
 NAMES = ["greedy_match_truth", "fidelity", "reliability", "peer_consensus", "geometry_audit", "cluster_boxes", "fuse_labels",
          "fuse_labels_without", "assemble_items", "assemble_items_fallback", "union_area", "nms", "validate_annotations",
          "validate_selected", "gate_submissions", "export_schema_check", "compose_rewards", "cap_weights", "process_weights", "hamilton",
-         "ema_stream", "budget_breaker", "near_duplicates", "epoch_plan", "cluster_points", "class_prf", "round_metrics", "scrub_feedback"]
+         "ema_stream", "budget_breaker", "near_duplicates", "epoch_plan", "cluster_points", "class_prf", "round_metrics", "scrub_feedback",
+         "response_window_streams", "identity_reset_stream", "expired_objects", "reward_row_gate", "assemble_selected", "selected_objects",
+         "calibration", "stale_files", "golden_leaks", "merge_labels", "next_untried", "polygon_measures"]
 
 
 @pytest.fixture(scope="module")
