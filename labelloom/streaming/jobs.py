@@ -221,17 +221,17 @@ def expire_objects(objects: DataFrame, hours: float = 2.0, delay: str = "1 hour"
         if state.hasTimedOut:
             size, seen = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], size, pd.Timestamp(seen, unit="ms"))], columns=["key", "bytes", "modified"])
+            yield pd.DataFrame([(key[0], size, pd.Timestamp(seen, unit="us"))], columns=["key", "bytes", "modified"])
             return
         rows = pd.concat(list(frames)).sort_values("modified")
         newest = rows.iloc[-1]
-        stamp = int(newest["modified"].timestamp() * 1000)
+        stamp = newest["modified"].value // 1000
         if state.exists and state.get[1] > stamp:
             stamp, size = state.get[1], state.get[0]
         else:
             size = int(newest["bytes"])
         state.update((size, stamp))
-        state.setTimeoutTimestamp(max(stamp + millis, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(stamp // 1000 + millis, state.getCurrentWatermarkMs() + 1))
 
     return objects.withWatermark("modified", delay).groupBy("key").applyInPandasWithState(
         update, "key string, bytes bigint, modified timestamp", "bytes bigint, seen bigint", "append",
