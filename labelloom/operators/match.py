@@ -118,17 +118,22 @@ def _tile_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], extra, tile: floa
 # ---------------------------------------------------------------- one-to-one matching
 
 _FOLD = """aggregate({edges},
-  named_struct('d', CAST(NULL AS {d}), 'out', CAST(array() AS ARRAY<STRUCT<d:{d},c:{c},iou:DOUBLE>>)),
+  named_struct('d', CAST(NULL AS {d}), 'out', CAST(array() AS ARRAY<STRUCT<d:{d},c:{c},iou:DOUBLE,x:{x}>>)),
   (acc, e) -> IF(acc.d <=> e.d OR exists(acc.out, o -> o.c = e.c), acc,
-     named_struct('d', e.d, 'out', concat(acc.out, array(named_struct('d', e.d, 'c', e.c, 'iou', -e.n))))),
+     named_struct('d', e.d, 'out', concat(acc.out, array(named_struct('d', e.d, 'c', e.c, 'iou', -e.n, 'x', e.x))))),
   acc -> acc.out)"""
 
 
+def _carrying(edges: DataFrame) -> DataFrame:
+    return edges if "x" in edges.columns else edges.withColumn("x", F.lit(0))
+
+
 def _fold(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """Walk the candidate pairs of each group in (driver, IoU descending, candidate) order; ids of any type that sorts."""
-    kinds = {k: edges.schema[k].dataType.simpleString() for k in ("d", "c")}
+    edges = _carrying(edges)
+    kinds = {k: edges.schema[k].dataType.simpleString() for k in ("d", "c", "x")}
     ordered = edges.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("d"), (-F.col("iou")).alias("n"), F.col("c")))).alias("_e"))
+        F.col("d"), (-F.col("iou")).alias("n"), F.col("c"), F.col("x")))).alias("_e"))
     return ordered.select(*group, F.inline(F.expr(_FOLD.format(edges="_e", **kinds))))
 
 
@@ -142,29 +147,29 @@ def _fold_hot(edges: DataFrame, group: Sequence[str], chunk: int = 512) -> DataF
     sparse group, and the chunks of a crowded one. Drivers left without a
     free candidate drop out by themselves; the loop ends when no pair is left.
     """
-    group, left, done = list(group), cut(edges), []
+    group, left, done = list(group), cut(_carrying(edges)), []
     while not left.isEmpty():
         drivers = first_rows(left.select(*group, "d").distinct(), group, [F.col("d")], chunk, "_k")
         best = first_rows(left.join(drivers, [*group, "d"]), [*group, "d"], [F.desc("iou"), F.col("c")], chunk, "_b")
         taken = cut(_fold(best.where(F.col("_b") <= F.col("_k")), group))
         left = cut(
             left.join(drivers, [*group, "d"], "left_anti").join(taken.select(*group, "c"), [*group, "c"], "left_anti"))
-        top = left.groupBy(*group, "d").agg(F.min(F.struct((-F.col("iou")).alias("n"), "c")).alias("_t")).select(
-            *group, "d", F.col("_t.c").alias("c"), (-F.col("_t.n")).alias("iou"))
+        top = left.groupBy(*group, "d").agg(F.min(F.struct((-F.col("iou")).alias("n"), "c", "x")).alias("_t")).select(
+            *group, "d", F.col("_t.c").alias("c"), (-F.col("_t.n")).alias("iou"), F.col("_t.x").alias("x"))
         first = left.groupBy(*group, "c").agg(F.min("d").alias("_d"))
-        sure = cut(top.join(first, [*group, "c"]).where(F.col("d") == F.col("_d")).select(*group, "d", "c", "iou"))
-        done += [taken.select(*group, "d", "c", "iou"), sure]
+        sure = cut(top.join(first, [*group, "c"]).where(F.col("d") == F.col("_d")).select(*group, "d", "c", "iou", "x"))
+        done += [taken.select(*group, "d", "c", "iou", "x"), sure]
         left = cut(left.join(sure.select(*group, "d"), [*group, "d"], "left_anti").join(
             sure.select(*group, "c"), [*group, "c"], "left_anti"))
     if not done:
-        return _fold(edges.limit(0), group).select(*group, "d", "c", "iou")
+        return _fold(edges.limit(0), group).select(*group, "d", "c", "iou", "x")
     return reduce(DataFrame.unionByName, done)
 
 
 def greedy_match(
     truth: DataFrame, pred: DataFrame, group: Sequence[str], item: Sequence[str] = ("item_id",),
     min_iou: float = 0.5, drive: str = "truth", same_label: bool = False, limit: int = 512,
-    probe: DataFrame | None = None,
+    probe: DataFrame | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """One-to-one matching of predictions to truth boxes inside each group.
 
@@ -174,7 +179,8 @@ def greedy_match(
     ``gt``; ``pred`` has the ``group`` keys (containing ``item``) and ``seq``.
     When both have a ``polygon``, pairs with two outlines are measured by their
     outlines: any overlap of the boxes makes a candidate, since outlines can
-    overlap more than their boxes do. Returns (group, gt, seq, iou).
+    overlap more than their boxes do. Returns (group, gt, seq, iou) and the
+    columns named in ``carry``, with the prefix a_ of predictions or b_ of truth.
     """
     item, group = list(item), list(group)
     d, c = ("b_gt", "a_seq") if drive == "truth" else ("a_seq", "b_gt")
@@ -187,7 +193,8 @@ def greedy_match(
         if drawn:
             pairs = pairs.withColumn("iou", outline_iou(F.col("a_polygon"), F.col("b_polygon"))).where(F.col("iou") >= min_iou)
         return pairs.select(
-            *item, *[F.col("a_" + k).alias(k) for k in kept], F.col(d).alias("d"), F.col(c).alias("c"), "iou")
+            *item, *[F.col("a_" + k).alias(k) for k in kept], F.col(d).alias("d"), F.col(c).alias("c"), "iou",
+            (F.struct(*carry) if carry else F.lit(0)).alias("x"))
 
     # An item with few boxes has no large group, so most data needs only this one count.
     few, many = split_hot(pred, item, limit, _counted(pred if probe is None else probe, truth, item))
@@ -198,7 +205,7 @@ def greedy_match(
         if hot is not None:
             result = result.unionByName(_fold_hot(edges(hot, GROUP_LIMIT), group))
     gt, seq = ("d", "c") if drive == "truth" else ("c", "d")
-    return result.select(*group, F.col(gt).alias("gt"), F.col(seq).alias("seq"), "iou")
+    return result.select(*group, F.col(gt).alias("gt"), F.col(seq).alias("seq"), "iou", *[F.col(f"x.{k}").alias(k) for k in carry])
 
 
 def best_match(pred: DataFrame, truth: DataFrame, key: Sequence[str], item: Sequence[str] = ("item_id",),

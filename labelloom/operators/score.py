@@ -173,10 +173,8 @@ def score_fidelity(
 def label_matches(anns: DataFrame, truth: DataFrame, group: Sequence[str], min_iou: float = 0.5,
                   probe: DataFrame | None = None) -> DataFrame:
     """Greedy matches with both labels attached."""
-    pairs = greedy_match(truth, anns, group, min_iou=min_iou, probe=probe)
-    mine = anns.select(*group, "seq", "label")
-    theirs = truth.select("item_id", "gt", F.col("label").alias("gt_label"))
-    return pairs.join(mine, [*group, "seq"]).join(theirs, ["item_id", "gt"])
+    pairs = greedy_match(truth, anns, group, min_iou=min_iou, probe=probe, carry=("a_label", "b_label"))
+    return pairs.withColumnsRenamed({"a_label": "label", "b_label": "gt_label"})
 
 
 def score_consensus(
