@@ -224,8 +224,6 @@ def cover_repeats(docs: DataFrame, depth: int = DEPTH, cell_bytes: int = CELL_BY
             first, skip = run[lead], turn[lead]
             runs = {k: v[first] for k, v in runs.items()}
             runs |= {"at": runs["at"] + skip, "start": runs["start"] + skip, "rel": runs["rel"] - skip, "count": np.diff(np.r_[lead, len(run)])}
-            # An anchor stays the same for all windows of a run, also when some are left out before it.
-            runs["rel"] = runs["rel"] % 256
             out = [(b, _pack_runs(cell, {k: v[p] for k, v in runs.items()}, depth)) for b, p in _by_bucket(runs["key"], cells)]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "cell": pa.array([key[0].as_py()] * len(out), pa.int64()),
                          "runs": pa.array([r for _, r in out], pa.binary())})
