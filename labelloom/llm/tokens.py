@@ -16,7 +16,7 @@ import regex
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 # Units kept by one worker process; beyond that the cache starts anew, so memory stays bounded.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
