@@ -94,7 +94,8 @@ def url_tokens(pages: DataFrame) -> DataFrame:
     """Per distinct (_host, _path): _n pages, and _tokens: segmented host words and path tokens."""
     urls = pages.groupBy("_host", "_path").agg(F.count("*").alias("_n"))
     hosts = urls.select("_host").distinct().select("_host", F.posexplode(F.regexp_extract_all("_host", F.lit(r"([a-z]+)"), 1)).alias("_at", "run"))
-    cut = segment(hosts.select("run").distinct(), word_counts(pages))
+    # Stored: both the total and the join read the counts, which cost a pass over all pages.
+    cut = segment(hosts.select("run").distinct(), stored(word_counts(pages), "words"))
     named = hosts.join(cut, "run").groupBy("_host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_at", "parts"))), lambda x: x["parts"])).alias("_words"))
     path = F.regexp_extract_all(F.lower("_path"), F.lit(r"([a-z0-9]+)"), 1)
     return urls.join(named, "_host", "left").select("_host", "_path", "_n", F.concat(F.coalesce("_words", F.array().cast("array<string>")), path).alias("_tokens"))
