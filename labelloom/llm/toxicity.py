@@ -95,14 +95,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary: different fronts before one body."""
-    in_ordinary, contexts = Counter(), set()
+    in_toxic, in_ordinary, contexts = Counter(), Counter(), set()
+    # A word counts once per word before it, so that near copies of one toxic text mark none of its ordinary words.
     for t in toxic:
         words = t.lower().split()
-        contexts.update(zip([b"", *words], words))
+        for before, word in zip([b"", *words], words):
+            if (pair := hash((before, word))) not in contexts:
+                contexts.add(pair)
+                in_toxic[word] += 1
     for t in ordinary:
         in_ordinary.update(set(t.lower().split()))
-    # A word counts once per word before it, so that near copies of one toxic text mark none of its ordinary words.
-    in_toxic = Counter(w for _, w in contexts)
     least = max(2, len(toxic) / 300)
     marked = {w for w, n in in_toxic.items() if n >= least and n / len(toxic) > ODDS * (in_ordinary[w] + 1) / len(ordinary)}
     samples = [b" " + b" ".join(w for w in t.lower().split() if w in marked) + b" " for t in toxic]
