@@ -2,8 +2,8 @@
 
 Hosts are often several words written together. Each run of letters is split by a unigram Viterbi
 search: of all ways to cut it into words, the one with the largest product of word frequencies. Frequencies come from the
-visible text, the host pieces and the path tokens of all pages. The candidate words of a
-run are looked up by a join, so the vocabulary is never held whole anywhere.
+visible text and the path tokens of all pages. Host runs are no evidence: each would be a known word of its own
+and never be split. The candidate words of a run are looked up by a join, so the vocabulary is never held whole anywhere.
 
 The Bayes model learns from the pages themselves: those with a seed word of a blocked topic are its blocked class, the
 others its allowed class. Tokens are hashed into BUCKETS classes, so the model is a table of at most that many rows.
@@ -65,9 +65,9 @@ def viterbi(run: str, known: dict[tuple[int, int], int], total: int) -> list[str
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): words of the visible text, of the hosts and of the paths of all pages; seeds count once more."""
+    """(word, n): words of the visible text and of the paths of all pages, not of the hosts to be split; seeds count once more."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<[^>]*>", " "))
-    words = F.concat(F.regexp_extract_all(text, F.lit(r"([a-z]+)"), 1), F.regexp_extract_all("_host", F.lit(r"([a-z]+)"), 1), F.regexp_extract_all(F.lower("_path"), F.lit(r"([a-z]+)"), 1))
+    words = F.concat(F.regexp_extract_all(text, F.lit(r"([a-z]+)"), 1), F.regexp_extract_all(F.lower("_path"), F.lit(r"([a-z]+)"), 1))
     counted = pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seeds = pages.sparkSession.createDataFrame([(w, 1) for w in SEEDS], "word string, n long")
     return counted.where((F.length("word") > 1) & (F.length("word") <= LONGEST_WORD)).union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
