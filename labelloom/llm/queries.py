@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import mixing, pii, quality, topk, toxicity, urls
+from labelloom.llm import interactions, mixing, pii, quality, resampling, secret_scan, topk, toxicity, urls
 from labelloom.llm.common import table
 from labelloom.llm.packing import pack_documents
 from labelloom.llm.repeats import cover_repeats
@@ -85,3 +85,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cover_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op11_interactions", interactions.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_secrets", secret_scan.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_table(table(spark, sf_dir, "documents"))
+
+
+@query("op13_resampling", resampling.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
