@@ -37,7 +37,7 @@ def iou_join(
     cold, hot = (a, None) if limit is None else split_hot(a, on, limit, _counted(a if probe is None else probe, b, on))
     parts = [_plain_pairs(cold, b, on, extra)]
     if hot is not None:
-        parts.append(_grid_pairs(hot, b, on, min_iou, extra) if min_iou > 0 else _tile_pairs(hot, b, on, extra))
+        parts.append(_grid_pairs(hot, b, on, min_iou, extra) if min_iou > 0 else _cover_pairs(hot, b, on, extra))
     pairs = reduce(DataFrame.unionByName, parts).withColumn("iou", iou("a_", "b_", checked=True))
     return pairs.where(F.col("iou") >= min_iou if min_iou > 0 else F.col("iou") > 0)
 
@@ -72,47 +72,66 @@ def _grid_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], min_iou: float, e
     and their centres by at most half the sum of the two cell sizes; ``b`` is
     copied to exactly those cells, at most once each, so pairs stay unique.
     """
-    steps = math.ceil(math.log2(1.0 / min_iou))
-    left = _prefixed(a.where(box_ok()), "a_", on)
-    right = _prefixed(b.where(box_ok()), "b_", on)
+    left = _own_cell(_prefixed(a.where(box_ok()), "a_", on), "a_")
+    right = _partner_cells(_prefixed(b.where(box_ok()), "b_", on), "b_", min_iou)
+    return left.join(right, [*on, "_level", "_cx", "_cy"]).where(_condition(extra)).drop("_level", "_cx", "_cy")
+
 
-    def level(p):
-        side = F.greatest(F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1"))
-        return F.ceil(F.log2(side)).cast("int")
+def _centre(p: str, axis: str):
+    return (F.col(f"{p}{axis}1") + F.col(f"{p}{axis}2")) / 2
 
-    def centre(p, axis):
-        return (F.col(f"{p}{axis}1") + F.col(f"{p}{axis}2")) / 2
 
+def _own_cell(df: DataFrame, p: str) -> DataFrame:
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    return (df.withColumn("_level", _level(p)).withColumn("_cx", F.floor(_centre(p, "x") / size))
+            .withColumn("_cy", F.floor(_centre(p, "y") / size)))
+
+
+def _partner_cells(df: DataFrame, p: str, min_iou: float) -> DataFrame:
+    """A row for every cell in which a box of IoU >= min_iou may have its own place."""
+    steps = math.ceil(math.log2(1.0 / min_iou))
+    out = df.withColumn("_own", _level(p)).withColumn("_level", F.explode(F.sequence(F.col("_own") - steps, F.col("_own") + steps)))
     size = F.pow(F.lit(2.0), F.col("_level"))
-    left = (
-        left.withColumn("_level", level("a_"))
-        .withColumn("_cx", F.floor(centre("a_", "x") / size))
-        .withColumn("_cy", F.floor(centre("a_", "y") / size)))
-    right = right.withColumn("_own", level("b_")).withColumn(
-        "_level", F.explode(F.sequence(F.col("_own") - steps, F.col("_own") + steps)))
     reach = (size + F.pow(F.lit(2.0), F.col("_own"))) / 2
     for axis in "xy":
-        low, high = (F.floor((centre("b_", axis) + s * reach) / size) for s in (-1, 1))
-        right = right.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
-    return (
-        left.join(right.drop("_own"), [*on, "_level", "_cx", "_cy"]).where(_condition(extra))
-        .drop("_level", "_cx", "_cy"))
+        low, high = (F.floor((_centre(p, axis) + s * reach) / size) for s in (-1, 1))
+        out = out.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
+    return out.drop("_own")
+
 
+def _level(p: str = ""):
+    """The smallest power of two that covers the longer side of a box."""
+    side = F.greatest(F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1"))
+    return F.ceil(F.log2(side)).cast("int")
 
-def _tile_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], extra, tile: float = 64.0) -> DataFrame:
-    """Grid join for any overlap: both sides go to every tile they touch, and the
-    tile holding the corner of the intersection owns the pair."""
-    def tiled(df, p):
-        out = _prefixed(df.where(box_ok()), p, on)
+
+def _cover_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], extra) -> DataFrame:
+    """Grid join for any overlap of boxes of any size.
+
+    On the level of its own size, or a higher one, a box touches at most four cells. Two boxes meet on the level of the larger
+    one: it offers its own cells, the smaller one those it touches there. So a box is copied to at most four cells per
+    size level in use, whatever its size; the cell with the corner of the intersection owns the pair.
+    """
+    # One row per size level: as many as there are powers of two between the smallest and the largest box.
+    sizes = a.where(box_ok()).select(_level().alias("n")).union(b.where(box_ok()).select(_level().alias("n"))).distinct()
+    levels = F.array(*[F.lit(r["n"]) for r in sizes.orderBy("n").collect()]).cast("array<int>")
+
+    def placed(df: DataFrame, p: str, up: bool) -> DataFrame:
+        out = _prefixed(df.where(box_ok()), p, on).withColumn("_own", _level(p))
+        out = out.withColumn("_level", F.explode(F.filter(levels, lambda n: n > F.col("_own"))) if up else F.col("_own"))
+        size = F.pow(F.lit(2.0), F.col("_level"))
         for axis in "xy":
-            out = out.withColumn(f"_c{axis}", F.explode(F.sequence(
-                F.floor(F.col(f"{p}{axis}1") / tile), F.floor(F.col(f"{p}{axis}2") / tile))))
-        return out
+            out = out.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(f"{p}{axis}1") / size), F.floor(F.col(f"{p}{axis}2") / size))))
+        return out.drop("_own")
 
+    size = F.pow(F.lit(2.0), F.col("_level"))
     owner = (
-        (F.floor(F.greatest("a_x1", "b_x1") / tile) == F.col("_cx"))
-        & (F.floor(F.greatest("a_y1", "b_y1") / tile) == F.col("_cy")))
-    return tiled(a, "a_").join(tiled(b, "b_"), [*on, "_cx", "_cy"]).where(owner & _condition(extra)).drop("_cx", "_cy")
+        (F.floor(F.greatest("a_x1", "b_x1") / size) == F.col("_cx"))
+        & (F.floor(F.greatest("a_y1", "b_y1") / size) == F.col("_cy")))
+    cells = [*on, "_level", "_cx", "_cy"]
+    every = placed(b, "b_", False).unionByName(placed(b, "b_", True))
+    met = placed(a, "a_", False).join(every, cells).unionByName(placed(a, "a_", True).join(placed(b, "b_", False), cells))
+    return met.where(owner & _condition(extra)).drop("_level", "_cx", "_cy")
 
 
 # ---------------------------------------------------------------- one-to-one matching
@@ -239,21 +258,68 @@ def _anchor_lists(df: DataFrame, group: list[str], order: list, threshold: float
     return listed.select(*group, F.expr(_ANCHOR_FOLD.format(rows="_r", kind=kind, hit=hit, pick="e")).alias("_anchors"))
 
 
-def _rounds(hot: DataFrame, group: list[str], order: list, threshold: float, strict: bool, chunk: int):
-    """Anchor lists and decided rows (with ``_hit``) of groups of any size, round by round.
+def _near_pairs(a: DataFrame, b: DataFrame, group: list[str], threshold: float, strict: bool, extra=None) -> DataFrame:
+    """Pairs of boxes that the threshold calls covered, without the IoU."""
+    pairs = _grid_pairs(a, b, group, threshold, extra) if threshold > 0 else _cover_pairs(a, b, group, extra)
+    value = iou("a_", "b_", checked=True)
+    return pairs.where(value > threshold if strict else value >= threshold)
+
+
+def _first_around(left: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Boxes that come before all boxes of every cell in which a partner could be: anchors, found without any pair."""
+    cells = [*group, "_level", "_cx", "_cy"]
+    skinny = left.select(*group, *BOX, "_key")
+    least = _own_cell(skinny, "").groupBy(*cells).agg(F.min("_key").alias("_least"))
+    around = _partner_cells(skinny, "", threshold).select(*cells, "_key").join(least, cells)
+    first = around.groupBy(*group, "_key").agg(F.min("_least").alias("_least")).where(F.col("_key") <= F.col("_least"))
+    return left.join(first.select(*group, "_key"), [*group, "_key"], "left_semi")
+
 
-    Each round folds the first ``chunk`` undecided boxes of every group, then
-    gives every box the new anchors cover to them, on all executors. A round
-    decides at least a chunk of every group, and dense groups need few rounds
-    because anchors cannot crowd.
+def _anchors_of_large(hot: DataFrame, group: list[str], order: list, threshold: float, strict: bool, chunk: int) -> DataFrame:
+    """Anchors of groups of any size, with all columns and their order as struct ``_key``.
+
+    First the boxes that are first in their whole neighbourhood become anchors and cover theirs, so dense piles shrink before
+    any pair is written. The overlaps that are left are edges from earlier to later boxes, and then all boxes without an undecided earlier neighbour
+    settle at once, all over the group: separate boxes in one round, others in as many as the longest chain of overlaps. From the
+    eighth round on the first ``chunk`` boxes of every group are folded too, so that even one long chain ends.
     """
-    left = cut(hot)
+    names = [f"o{i}" for i in range(len(order))]
+    here = [*group, "_key"]
+    left = cut(hot.withColumn("_key", F.struct(*[o.alias(n) for o, n in zip(order, names)])))
+    found = []
+    if threshold > 0:
+        sure = cut(_first_around(left, group, threshold))
+        found.append(sure)
+        hidden = _near_pairs(sure.select(*group, *BOX), left, group, threshold, strict).select(*group, F.col("b__key").alias("_key"))
+        left = cut(left.join(hidden, here, "left_anti").join(sure.select(*here), here, "left_anti"))
+    slim = left.select(*group, *BOX, "_key")
+    edges = cut(_near_pairs(slim, slim, group, threshold, strict, F.col("a__key") < F.col("b__key")).select(
+        *group, F.col("a__key").alias("_first"), F.col("b__key").alias("_key")))
+    rounds = 0
     while not left.isEmpty():
-        head = first_rows(left, group, order, chunk, "_k").drop("_k")
-        lists = cut(_anchor_lists(head, group, order, threshold, strict, []))
-        got = cut(_with_hit(left, lists, group, threshold, strict))
-        yield got.where(F.col("_hit").isNotNull())
-        left = got.where(F.col("_hit").isNull()).drop("_hit")
+        rounds += 1
+        free = left.join(edges.select(*here), here, "left_anti")
+        if rounds >= 8:
+            head = first_rows(left, group, [F.col("_key")], chunk, "_k").drop("_k")
+            lists = _anchor_lists(head, group, [F.col(f"_key.{n}") for n in names], threshold, strict, [])
+            folded = lists.select(*group, F.explode("_anchors").alias("_a")).select(*group, F.struct(*[F.col(f"_a.{n}").alias(n) for n in names]).alias("_key"))
+            free = left.join(free.select(*here).union(folded).distinct(), here, "left_semi")
+        free = cut(free)
+        found.append(free)
+        hidden = edges.join(free.select(*group, F.col("_key").alias("_first")), [*group, "_first"], "left_semi").select(*here)
+        left = cut(left.join(hidden, here, "left_anti").join(free.select(*here), here, "left_anti"))
+        open_keys = left.select(*here)
+        edges = cut(edges.join(open_keys, here, "left_semi").join(open_keys.withColumnRenamed("_key", "_first"), [*group, "_first"], "left_semi"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hits_of_large(hot: DataFrame, group: list[str], order: list, threshold: float, strict: bool, chunk: int) -> DataFrame:
+    """Rows of large groups with ``_hit``: the order of the first anchor that covers them."""
+    anchors = cut(_anchors_of_large(hot, group, order, threshold, strict, chunk).select(*group, *BOX, "_key"))
+    rows = hot.withColumn("_key", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    pairs = _near_pairs(anchors, rows.select(*group, *BOX, "_key"), group, threshold, strict)
+    first = pairs.groupBy(*group, F.col("b__key").alias("_key")).agg(F.min("a__key").alias("_hit"))
+    return rows.join(first, [*group, "_key"]).drop("_key")
 
 
 def _with_hit(df: DataFrame, lists: DataFrame, group: list[str], threshold: float, strict: bool) -> DataFrame:
@@ -278,18 +344,17 @@ def anchor_assign(
     anchors of a group are its suppression survivors and its cluster centres.
     Adds ``is_anchor`` and the anchor's order values ``_o0, _o1, ...``.
 
-    Groups up to ``limit`` rows fold their boxes in one task; larger ones go
-    through ``_rounds``.
+    Groups up to ``limit`` rows fold their boxes in one task; larger ones settle
+    all over at once (``_anchors_of_large``).
     """
     group, order = list(group), list(order)
     cold, hot = split_hot(df.where(box_ok()), group, limit, probe)
     parts = [_with_hit(cold, _anchor_lists(cold, group, order, threshold, strict, []), group, threshold, strict)]
     if hot is not None:
-        parts += list(_rounds(hot, group, order, threshold, strict, chunk))
+        parts.append(_hits_of_large(hot, group, order, threshold, strict, chunk))
     n = len(order)
-    return reduce(DataFrame.unionByName, parts).select(
-        *df.columns, *[F.col(f"_hit.o{i}").alias(f"_o{i}") for i in range(n)],
-        _same([F.col(f"_hit.o{i}") for i in range(n)], order).alias("is_anchor"))
+    hits = [part.select(*df.columns, *[F.col(f"_hit.o{i}").alias(f"_o{i}") for i in range(n)]) for part in parts]
+    return reduce(DataFrame.unionByName, hits).withColumn("is_anchor", _same([F.col(f"_o{i}") for i in range(n)], order))
 
 
 def anchors_only(df: DataFrame, group: Sequence[str], order: Sequence, threshold: float, strict: bool = False,
@@ -301,9 +366,7 @@ def anchors_only(df: DataFrame, group: Sequence[str], order: Sequence, threshold
     lists = _anchor_lists(cold, group, order, threshold, strict, rest)
     parts = [lists.select(*group, F.inline("_anchors")).select(*df.columns)]
     if hot is not None:
-        n = len(order)
-        parts += [got.where(_same([F.col(f"_hit.o{i}") for i in range(n)], order)).select(*df.columns)
-                  for got in _rounds(hot, group, order, threshold, strict, chunk)]
+        parts.append(_anchors_of_large(hot, group, order, threshold, strict, chunk).select(*df.columns))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -419,54 +482,77 @@ _SLAB_AREA = """aggregate(sequence(1, size(_x) - 1), 0D, (acc, i) -> acc + (_x[i
       s -> s.len)))"""
 
 
-def _clip(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
-    """Distinct rectangles per tile; equal ones collapse before the shuffle."""
-    cells = boxes
+def _clip(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rectangles per tile of side ``_t``; equal ones collapse before the shuffle."""
+    cells, tile = boxes, F.col("_t")
     for axis in "xy":
         lo, hi = F.col(f"{axis}1"), F.col(f"{axis}2")
         cells = cells.withColumn(f"_c{axis}", F.explode(F.sequence(
             F.floor(lo / tile), F.greatest(F.floor(lo / tile), F.ceil(hi / tile) - 1))))
     return cells.select(
-        *keys, "_cx", "_cy",
+        *keys, "_t", "_cx", "_cy",
         F.greatest("x1", F.col("_cx") * tile).alias("x1"), F.greatest("y1", F.col("_cy") * tile).alias("y1"),
         F.least("x2", (F.col("_cx") + 1) * tile).alias("x2"), F.least("y2", (F.col("_cy") + 1) * tile).alias("y2"),
     ).distinct()
 
 
-def _tile_areas(rects: DataFrame, keys: list[str], tile: float) -> DataFrame:
-    full = (F.col("x2") - F.col("x1") >= tile) & (F.col("y2") - F.col("y1") >= tile)
-    listed = rects.groupBy(*keys, "_cx", "_cy").agg(
-        F.max(full.cast("int")).alias("_full"), F.collect_list(F.when(~full, F.struct(*BOX))).alias("_b"))
-    area = F.when(F.col("_full") == 1, F.lit(tile * tile)).otherwise(
+def _full():
+    return (F.col("x2") - F.col("x1") >= F.col("_t")) & (F.col("y2") - F.col("y1") >= F.col("_t"))
+
+
+def _tile_areas(rects: DataFrame, keys: list[str]) -> DataFrame:
+    full = _full()
+    listed = rects.groupBy(*keys, "_t", "_cx", "_cy").agg(
+        F.max(full.cast("int")).alias("_whole"), F.collect_list(F.when(~full, F.struct(*BOX))).alias("_b"))
+    area = F.when(F.col("_whole") == 1, F.col("_t") * F.col("_t")).otherwise(
         F.when(F.size("_b") > 0, F.expr(_SLAB_AREA)).otherwise(0.0))
     return listed.withColumn("_x", F.expr(_SLAB_X)).select(*keys, area.alias("_area"))
 
 
-def union_area(boxes: DataFrame, group: Sequence[str] = ("item_id",), tile: float = 128.0,
+# Boxes that a tile should hold on average, and most tiles per side that a first cut makes of a group.
+_PER_TILE, _SIDE = 32, 8
+
+
+def _with_tile(boxes: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``_t``: a power of two that cuts the extent of the group into about one tile per _PER_TILE boxes, at most _SIDE per side."""
+    ends = boxes.groupBy(*group).agg(
+        F.count("*").alias("_n"), F.greatest(F.max("x2") - F.min("x1"), F.max("y2") - F.min("y1")).alias("_extent"))
+    parts = F.greatest(F.lit(1.0), F.least(F.lit(float(_SIDE)), F.sqrt(F.col("_n") / _PER_TILE)))
+    tile = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_extent") / parts)))
+    if not group:
+        return boxes.crossJoin(F.broadcast(ends.select(tile.alias("_t"))))
+    return boxes.join(ends.select(*group, tile.alias("_t")), group)
+
+
+def union_area(boxes: DataFrame, group: Sequence[str] = ("item_id",), tile: float | None = None,
                limit: int = 2048) -> DataFrame:
     """Area covered by at least one box of the group; overlaps count once.
 
     Boxes are clipped to tiles and reduced to distinct rectangles per tile. A
     tile's area is the sum over its x-slabs of the merged y-intervals, computed
-    inside the row of the tile; tile areas add up exactly. In groups above
+    inside the row of the tile; tile areas add up exactly. Tiles follow the extent of the group, so a box
+    gives at most some tens of rows however large it is; ``tile`` fixes their side instead. In groups above
     ``limit`` boxes, a tile that still has more distinct rectangles is cut into
     quarter-size tiles, again and again: rectangles filling a tile decide it, so
     crowded tiles empty out.
     """
     group = list(group)
     usable = boxes.where(box_ok()).select(*group, *BOX)
+
+    def tiled(rows: DataFrame) -> DataFrame:
+        return _with_tile(rows, group) if tile is None else rows.withColumn("_t", F.lit(float(tile)))
+
     cold, hot = split_hot(usable, group, limit)
-    parts = [_tile_areas(_clip(cold, group, tile), group, tile)]
-    size = tile
+    parts = [_tile_areas(_clip(tiled(cold), group), group)]
+    hot = None if hot is None else tiled(hot)
+    cells = [*group, "_t", "_cx", "_cy"]
     while hot is not None:
-        rects = cut(_clip(hot, group, size))
-        full = (F.col("x2") - F.col("x1") >= size) & (F.col("y2") - F.col("y1") >= size)
-        done = rects.where(full).select(*group, "_cx", "_cy").distinct()
-        parts.append(done.select(*group, F.lit(size * size).alias("_area")))
-        open_rects = rects.join(done, [*group, "_cx", "_cy"], "left_anti")
-        small, crowded = split_hot(open_rects, [*group, "_cx", "_cy"], limit)
-        parts.append(_tile_areas(small, group, size))
-        hot = None if crowded is None else cut(crowded.select(*group, *BOX))
-        size = size / 4
+        rects = cut(_clip(hot, group))
+        done = rects.where(_full()).select(*cells).distinct()
+        parts.append(done.select(*group, (F.col("_t") * F.col("_t")).alias("_area")))
+        open_rects = rects.join(done, cells, "left_anti")
+        small, crowded = split_hot(open_rects, cells, limit)
+        parts.append(_tile_areas(small, group))
+        hot = None if crowded is None else cut(crowded.select(*group, *BOX, (F.col("_t") / 4).alias("_t")))
     areas = reduce(DataFrame.unionByName, parts)
     return areas.groupBy(*group).agg(F.sum("_area").alias("union_area"))

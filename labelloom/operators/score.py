@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.config import FidelityConfig
@@ -402,30 +402,74 @@ def class_breakdown(anns: DataFrame, items: DataFrame, group: Sequence[str] = ("
     return per.join(top, group)
 
 
+_SUMS = ("n", "exg", "b_r", "g_b", "vari", "luma", "luma2", "pb", "pr", "green")
+
+
+def _span_ends(boxes: DataFrame, key: list[str], outline: str | None) -> DataFrame:
+    """Ends of the pixel spans of every box, and of its outline, per image row.
+
+    ``x`` is the first pixel column beyond the end, ``sign`` -1 where a span opens and 1 where it closes. An outline is filled at
+    pixel centres: in every row the edges that cross its centre line open and close spans in turn, inside the box.
+    """
+    whole = boxes.select(*key, *[F.floor(c).cast("int").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("_l", "_t", "_r", "_b"))],
+                         *([F.col(outline).alias("_o")] if outline else [])).where("_r > _l AND _b > _t")
+    row = F.explode(F.sequence(F.col("_t"), F.col("_b") - 1)).alias("y")
+    ends = F.inline(F.array(F.struct(F.col("_l").alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("_r").alias("x"), F.lit(1).alias("sign"))))
+    box = whole.select(*key, "_l", "_r", row).select(*key, "y", F.lit(False).alias("inner"), ends)
+    if not outline:
+        return box
+    edges = whole.where(F.size("_o") >= 3).select(*key, "_l", "_t", "_r", "_b", F.explode(F.zip_with(
+        "_o", F.concat(F.slice("_o", 2, F.size("_o")), F.slice("_o", 1, 1)), lambda p, q: F.struct(
+            p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))).alias("_e"))
+    low, high = F.least("_e.py", "_e.qy"), F.greatest("_e.py", "_e.qy")
+    first, last = F.greatest(F.ceil(low - 0.5).cast("int"), F.col("_t")), F.least(F.ceil(high - 0.5).cast("int"), F.col("_b")) - 1
+    lines = edges.where(last >= first).withColumn("y", F.explode(F.sequence(first, last)))
+    cross = F.expr("_e.px + (y + 0.5D - _e.py) * (_e.qx - _e.px) / (_e.qy - _e.py)")
+    column = F.greatest(F.col("_l"), F.least(F.col("_r"), F.ceil(cross - 0.5).cast("int")))
+    # One entry per edge that crosses the row.
+    rows = lines.select(*key, "y", column.alias("x")).groupBy(*key, "y").agg(F.array_sort(F.collect_list("x")).alias("_x"))
+    turns = F.inline(F.transform("_x", lambda x, i: F.struct(x.alias("x"), (i % 2 * 2 - 1).alias("sign"))))
+    return box.unionByName(rows.select(*key, "y", F.lit(True).alias("inner"), turns))
+
+
 def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("item_id", "seq"),
-                   coastal: bool = False) -> DataFrame:
+                   coastal: bool = False, outline: str | None = None, least: int = 50) -> DataFrame:
     """Colour statistics of the pixels inside each box, the water and vegetation tests and a spectral label.
 
-    Pixels meet the boxes of their item with the box range as join condition;
-    only sums leave the join, combined before the shuffle. ``coastal`` allows the
-    mangrove label, for verified coastal wetland only.
+    With ``outline``, the name of a polygon column, the pixels whose centre lies inside the outline
+    count where there are more than ``least`` of them (``masked``), else those of the box. ``box_pixels`` counts the box in any case.
+    ``coastal`` allows the mangrove label, for verified coastal wetland only.
+
+    Boxes and outlines become spans of image rows. Running sums along each row answer a span by the difference
+    of its two ends, so no pixel meets a box: the work is pixels plus spans, spread by (item, row),
+    and one item may hold any number of both.
     """
-    r, g, b = (F.col(c).cast("double") for c in "rgb")
-    exg = 2 * g - r - b
-    luma = 0.299 * r + 0.587 * g + 0.114 * b
     key = list(key)
-    rest = [k for k in key if k != "item_id"]
-    inside = (
-        (F.col("x") >= F.floor("x1")) & (F.col("x") < F.floor("x2"))
-        & (F.col("y") >= F.floor("y1")) & (F.col("y") < F.floor("y2")))
-    met = pixels.select("item_id", "x", "y", exg.alias("exg"), (b - r).alias("b_r"), (g - b).alias("g_b"),
-                        ((g - r) / (g + r - b + 1e-5)).alias("vari"), luma.alias("luma"), b.alias("pb"), r.alias("pr"))
-    stats = met.join(boxes.select("item_id", *rest, "x1", "y1", "x2", "y2"), "item_id").where(inside).groupBy(
-        *key, "x1", "y1", "x2", "y2").agg(
-        F.count("*").alias("n_pixels"), F.avg("exg").alias("mean_exg"), F.avg("b_r").alias("mean_b_minus_r"),
-        F.avg("g_b").alias("moisture"), F.avg("vari").alias("vari"), F.var_pop("luma").alias("luma_var"),
-        F.avg("pb").alias("mean_b"), F.avg("pr").alias("mean_r"),
-        F.avg((F.col("exg") > -5.0).cast("double")).alias("green_fraction"))
+    r, g, b = (F.col(c).cast("double") for c in "rgb")
+    # In thousandths, so that sums of byte colours are exact.
+    luma = 299 * r + 587 * g + 114 * b
+    values = (F.lit(1.0), 2 * g - r - b, b - r, g - b, (g - r) / (g + r - b + 1e-5), luma, luma * luma, b, r, (2 * g - r - b > -5.0).cast("double"))
+    ends = _span_ends(boxes, key, outline)
+    # The ends of a span at x sum the pixels before x, so they come first.
+    nothing = [F.lit(None).cast(ends.schema[k].dataType).alias(f"_{k}") for k in (*key, "inner", "sign")]
+    at = ends.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), F.lit(0).alias("_turn"), *[F.col(k).alias(f"_{k}") for k in (*key, "inner", "sign")],
+                     *[F.lit(0.0).alias(c) for c in _SUMS])
+    dots = pixels.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), F.lit(1).alias("_turn"), *nothing, *[v.alias(c) for v, c in zip(values, _SUMS)])
+    along = Window.partitionBy("item_id", "y").orderBy("x", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dots.unionByName(at).select("_turn", *[f"_{k}" for k in (*key, "inner", "sign")], *[F.sum(c).over(along).alias(c) for c in _SUMS]).where("_turn = 0")
+    per = sums.groupBy(*[F.col(f"_{k}").alias(k) for k in key]).agg(*[
+        F.sum(F.when(F.col("_inner") == inner, F.col("_sign") * F.col(c)).otherwise(0.0)).alias(p + c)
+        for p, inner in (("", False), ("_in_", True)) for c in _SUMS])
+    masked = F.col("_in_n") > least
+    used = {c: F.when(masked, F.col("_in_" + c)).otherwise(F.col(c)) for c in _SUMS}
+    n = used["n"]
+    mean = {c: used[c] / n for c in _SUMS}
+    variance = F.greatest(F.lit(0.0), mean["luma2"] - mean["luma"] * mean["luma"]) / 1e6
+    stats = per.where("n > 0").select(
+        *key, n.cast("long").alias("n_pixels"), F.col("n").cast("long").alias("box_pixels"), masked.alias("masked"), mean["exg"].alias("mean_exg"),
+        mean["b_r"].alias("mean_b_minus_r"), mean["g_b"].alias("moisture"), mean["vari"].alias("vari"), variance.alias("luma_var"),
+        mean["pb"].alias("mean_b"), mean["pr"].alias("mean_r"), mean["green"].alias("green_fraction")).join(
+        boxes.select(*key, "x1", "y1", "x2", "y2"), key)
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     area, aspect = w * h, w / F.greatest(F.lit(1.0), h)
     long = F.greatest(aspect, 1.0 / F.greatest(F.lit(0.01), aspect))
@@ -437,10 +481,16 @@ def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("i
     if coastal:
         label = F.when((F.col("moisture") > 12.0) & (e > 20.0) & (area > 120) & (v > 150), "mangrove").otherwise(label)
     water = ((F.col("mean_b_minus_r") > 20.0) & (e < 0.0)) | (F.col("mean_b") > F.col("mean_r") + 30.0)
-    return stats.select(*key, "n_pixels", "mean_exg", "mean_b_minus_r", "moisture", "vari", "luma_var",
+    return stats.select(*key, "n_pixels", "box_pixels", "masked", "mean_exg", "mean_b_minus_r", "moisture", "vari", "luma_var",
                         "green_fraction", water.alias("is_water"), label.alias("spectral_label"))
 
 
+def water_counts(stats: DataFrame, group: Sequence[str] = SUBMISSION, least: int = 5000) -> DataFrame:
+    """Per submission the annotations that stand in water, of those whose box has more than ``least`` pixels in the image."""
+    wet = stats.where((F.col("box_pixels") > least) & F.col("is_water"))
+    return wet.groupBy(*group).agg(F.count("*").alias("water_count"))
+
+
 def item_quality(anns: DataFrame, audit: DataFrame, fidelity: DataFrame, group: Sequence[str] = SUBMISSION,
                  spectral: DataFrame | None = None) -> DataFrame:
     """Composite quality of a submission.

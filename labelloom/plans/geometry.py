@@ -11,7 +11,7 @@ from labelloom.operators import match as M
 from labelloom.operators import score as S
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
-from labelloom.plans.scoring import BASE, EDGES, R6
+from labelloom.plans.scoring import BASE, EDGES, R6, golden_annotations
 from labelloom.sources import readers as R
 from labelloom.sources import sinks as K
 
@@ -137,6 +137,67 @@ def spectral_stats(t):
                       F.round("luma_var", 2).alias("luma_var"), "is_water", "spectral_label")
 
 
+# A diamond of 128 pixels and a triangle too small to count, on an item's whole scene of 16 by 16.
+SHAPES = {0: ((8, 0), (16, 8), (8, 16), (0, 8)), 1: ((1, 2), (9, 3), (4, 11))}
+_POINTS_SQL = "CASE k " + " ".join(f"WHEN {k} THEN [{', '.join(f'{{x: {x}.0::DOUBLE + o, y: {y}.0::DOUBLE}}' for x, y in p)}]" for k, p in SHAPES.items()) + " END"
+
+
+def inside_sql(points: str, x: str, y: str) -> str:
+    """Whether the centre of pixel (x, y) lies inside a list of points: edges that cross its row to the left of it, odd."""
+    p, q, n = f"{points}[i]", f"{points}[i % len({points}) + 1]", f"len({points})"
+    return f"""len(list_filter(range(1, {n} + 1), lambda i: ({p}.y <= {y} + 0.5) <> ({q}.y <= {y} + 0.5)
+      AND {x} + 0.5 >= {p}.x + ({y} + 0.5 - {p}.y) * ({q}.x - {p}.x) / ({q}.y - {p}.y))) % 2 = 1"""
+
+
+@query("outline_spectral", f"""{Q.with_tables('pixels')}, o AS (SELECT p_partkey AS item_id, k AS seq, {_POINTS_SQL} AS pts FROM (SELECT *, (p_size % 3) / 2.0 AS o FROM part), (VALUES (0), (1)) v(k)),
+  j AS (SELECT o.item_id, seq, 2 * g - r - b AS exg, b - r AS b_r, 0.299 * r + 0.587 * g + 0.114 * b AS luma, {inside_sql('pts', 'x', 'y')} AS inner_ FROM pixels JOIN o USING (item_id)),
+  c AS (SELECT *, count(*) FILTER (inner_) OVER (PARTITION BY item_id, seq) > 50 AS masked FROM j)
+  SELECT item_id, seq, masked, count(*) AS n_pixels, round(avg(exg), 5) AS mean_exg, round(avg(b_r), 5) AS mean_b_minus_r, round(var_pop(luma), 2) AS luma_var, round(avg((exg > -5)::INT), 5) AS green_fraction
+  FROM c WHERE inner_ OR NOT masked GROUP BY ALL""")
+def outline_spectral(t):
+    shift = F.col("p_size") % 3 / 2.0
+    shapes = [F.array(*[G.point(F.lit(float(x)) + shift, F.lit(float(y))) for x, y in p]) for p in SHAPES.values()]
+    boxes = t.raw("part").select(F.col("p_partkey").alias("item_id"), F.posexplode(F.array(*shapes)).alias("seq", "polygon"), F.lit(0.0).alias("x1"),
+                                 F.lit(0.0).alias("y1"), F.lit(16.0).alias("x2"), F.lit(16.0).alias("y2"))
+    got = S.spectral_stats(t.pixels, boxes, outline="polygon")
+    return got.select("item_id", "seq", "masked", "n_pixels", *[F.round(c, 5).alias(c) for c in ("mean_exg", "mean_b_minus_r", "green_fraction")],
+                      F.round("luma_var", 2).alias("luma_var"))
+
+
+# Scenes of golden items at a sixteenth of their size, 64 by 16 pixels, with annotations at the same scale.
+_SCENE = "(item_id * 7 + x * 3 + y) % 120 AS r, (item_id * 5 + x + y * 11) % 160 AS g, (item_id * 13 + x * 2 + y) % 256 AS b"
+_SMALL_SQL = """CASE shape WHEN 'rect' THEN [{x: x1, y: y1}, {x: x2, y: y1}, {x: x2, y: y2}, {x: x1, y: y2}]
+   WHEN 'octagon' THEN [""" + ", ".join(f"{{x: x1 + (x2 - x1) * {a}::DOUBLE, y: y1 + (y2 - y1) * {b}::DOUBLE}}" for a, b in (
+    ("0.3", "0.0"), ("0.7", "0.0"), ("1.0", "0.3"), ("1.0", "0.7"), ("0.7", "1.0"), ("0.3", "1.0"), ("0.0", "0.7"), ("0.0", "0.3"))) + f"""]
+   WHEN 'star' THEN list_transform(range(0, {Q.STAR_POINTS}), lambda i: {{x: (x1 + x2) / 2 + (x2 - x1) / 2 * (CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE {Q.STAR_INNER}::DOUBLE END) * cos(i * {Q.STEP}::DOUBLE),
+     y: (y1 + y2) / 2 + (y2 - y1) / 2 * (CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE {Q.STAR_INNER}::DOUBLE END) * sin(i * {Q.STEP}::DOUBLE)}}) END"""
+
+
+@query("water_audit", f"""{Q.with_tables('annotations', 'items')}, ga AS (SELECT a.* FROM annotations a JOIN items i USING (item_id) WHERE i.role <> 'public'),
+  {Q.audit('audit', 'ga', list(S.SUBMISSION))},
+  scene AS (SELECT item_id, x, y, {_SCENE} FROM items, (SELECT unnest(range(64)) AS x), (SELECT unnest(range(16)) AS y) WHERE role <> 'public'),
+  small AS (SELECT round_num, item_id, annotator_id, seq, shape, x1 / 16 AS x1, y1 / 16 AS y1, x2 / 16 AS x2, y2 / 16 AS y2 FROM ga),
+  pts AS (SELECT *, {_SMALL_SQL} AS p FROM small),
+  j AS (SELECT t.round_num, t.item_id, t.annotator_id, t.seq, s.r, s.g, s.b, coalesce({inside_sql('t.p', 's.x', 's.y')}, false) AS inner_ FROM pts t JOIN scene s ON s.item_id = t.item_id
+    AND s.x >= floor(x1) AND s.x < floor(x2) AND s.y >= floor(y1) AND s.y < floor(y2)),
+  c AS (SELECT *, count(*) FILTER (inner_) OVER (PARTITION BY round_num, item_id, annotator_id, seq) > 6 AS masked, count(*) OVER (PARTITION BY round_num, item_id, annotator_id, seq) AS n FROM j),
+  st AS (SELECT round_num, item_id, annotator_id, seq, any_value(n) AS n, (avg(b - r) > 20 AND avg(2 * g - r - b) < 0) OR avg(b) > avg(r) + 30 AS wet FROM c WHERE inner_ OR NOT masked GROUP BY ALL),
+  w AS (SELECT round_num, item_id, annotator_id, count(*) AS water FROM st WHERE wet AND n > 8 GROUP BY ALL)
+  SELECT round_num, item_id, annotator_id, total, CASE WHEN water > 0 THEN 0.0 ELSE quality END AS quality, acceptable AND water IS NULL AS acceptable,
+    CASE WHEN water > 0 THEN concat_ws('; ', reason, 'ocean_water_hallucinations (' || water || ' stands)') ELSE reason END AS reason
+  FROM audit LEFT JOIN w USING (round_num, item_id, annotator_id)""")
+def water_audit(t):
+    anns = golden_annotations(t)
+    grid = t.items.where("role <> 'public'").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).select(
+        "item_id", "x", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
+    scene = grid.selectExpr("item_id", "x", "y", *_SCENE.replace(", (", "|(").split("|"))
+    small = anns.select(*S.SUBMISSION, "seq", *[(F.col(c) / 16).alias(c) for c in G.BOX], F.transform(
+        "polygon", lambda p: F.struct((p["x"] / 16).alias("x"), (p["y"] / 16).alias("y"))).alias("polygon"))
+    stats = S.spectral_stats(scene, small, (*S.SUBMISSION, "seq"), outline="polygon", least=6)
+    got = S.audit_geometry(anns, water=S.water_counts(stats, least=8))
+    return got.select(*S.SUBMISSION, "total", "quality", "acceptable", "reason")
+
+
 @query("item_quality", f"""{Q.with_tables('annotations', 'averages')}, {Q.audit('audit', 'annotations', list(S.SUBMISSION))},
   c AS (SELECT round_num, item_id, annotator_id, sum(least(1.0, confidence) * (seq % 900 + 1)) / sum(seq % 900 + 1) AS mc FROM annotations GROUP BY ALL)
   SELECT round_num, item_id, annotator_id, round_even((0.35 * avg_fidelity / 3 + 0.25 * mc + 0.25 * (0.45 * round(mq, 4) + 0.55 * round(mc_, 4)) + 0.135) * quality, 4) AS item_quality

@@ -1,5 +1,6 @@
 """The paths for large groups must give what the plain paths and direct walks give."""
 
+import math
 import random
 
 import pytest
@@ -129,6 +130,75 @@ def test_union_area_of_crowded_item(spark, boxes):
     assert rows(match.union_area(boxes, tile=64.0, limit=20)) == want
 
 
+def test_separate_boxes_of_one_item_settle_at_once(spark, monkeypatch):
+    """Rounds follow chains of overlaps, not the number of boxes: first_rows, which folds chunks of long chains, is not needed."""
+    rng = random.Random(11)
+    data = [(1, 0, i, "l", 100.0 * (i % 70), 100.0 * (i // 70), 100.0 * (i % 70) + 80, 100.0 * (i // 70) + 80, float(-i)) for i in range(4900)]
+    data += [(1, 1, 5000 + i, "l", 100.0 * (i % 70) + rng.randrange(8), 100.0 * (i // 70), 100.0 * (i % 70) + 80, 100.0 * (i // 70) + 80, float(-9000 - i)) for i in range(2000)]
+    df = spark.createDataFrame(data, "item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    monkeypatch.setattr(match, "first_rows", None)
+    got = rows(match.nms(df, threshold=0.4, limit=100).select("seq"))
+    assert got == [(i,) for i in range(4900)]
+
+
+def test_long_chain_of_overlaps_ends(spark):
+    data = [(1, 0, i, "l", 10.0 * i, 0.0, 10.0 * i + 25, 20.0, float(-i)) for i in range(400)]
+    df = spark.createDataFrame(data, "item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    want = sorted((1, k.seq) for k in walk_anchors(df.collect(), 0.4))
+    assert rows(match.nms(df, threshold=0.4, limit=10, chunk=64).select("item_id", "seq")) == want
+
+
+def test_a_box_of_any_size_gives_tens_of_rows(spark):
+    big = [(1, 0, "l", 3.0, 5.0, 50_003.0, 50_005.0), (1, 1, "l", -7.0, -9.0, 0.5, 0.25)]
+    small = [(1, 10 + i, "l", 97.0 * i, 89.0 * i, 97.0 * i + 1 + i % 5, 89.0 * i + 3) for i in range(300)]
+    df = spark.createDataFrame(big + small, "item_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double")
+    levels = {math.ceil(math.log2(max(r[5] - r[3], r[6] - r[4]))) for r in big + small}
+    near = match._cover_pairs(df, df, ["item_id"], F.col("a_seq") != F.col("b_seq"))
+    want = sorted((a[1], b[1]) for a in big + small for b in big + small if a[1] != b[1] and overlap(a[3:], b[3:]) > 0)
+    assert sorted((r.a_seq, r.b_seq) for r in near.collect()) == want
+    assert match._clip(match._with_tile(df, ["item_id"]), ["item_id"]).count() < 100 + 2 * len(small) and len(levels) < 8
+    assert match.union_area(df).first().union_area == pytest.approx(
+        50_000.0 ** 2 + 7.5 * 9.25 + sum(max(0.0, r[5] - r[3]) * 3 for r in small if not (r[3] >= 3 and r[4] >= 5 and r[5] <= 50_003 and r[6] <= 50_005)) - sum(
+            (min(r[5], 50_003) - max(r[3], 3)) * (min(r[6], 50_005) - max(r[4], 5)) for r in small
+            if overlap(r[3:], big[0][3:]) > 0 and not (r[3] >= 3 and r[4] >= 5 and r[5] <= 50_003 and r[6] <= 50_005)) - sum(
+            (min(r[5], 0.5) - max(r[3], -7)) * (min(r[6], 0.25) - max(r[4], -9)) for r in small if overlap(r[3:], big[1][3:]) > 0), rel=1e-12)
+
+
+def test_spectral_stats_of_one_huge_scene(spark):
+    """All pixels and boxes in one item, with outlines, against masks filled at pixel centres."""
+    rng, w, h = random.Random(12), 160, 120
+    colour = {(x, y): (rng.randrange(256), rng.randrange(256), rng.randrange(256)) for x in range(w) for y in range(h) if (x * y) % 17}
+    shapes = []
+    for i in range(60):
+        x1, y1 = rng.uniform(-10, 150), rng.uniform(-10, 110)
+        x2, y2 = x1 + rng.uniform(0.5, 60), y1 + rng.uniform(0.5, 60)
+        points = [(rng.uniform(x1 - 3, x2 + 3), rng.uniform(y1, y2)) for _ in range(rng.choice([0, 2, 3, 5, 8]))]
+        shapes.append((1, i, x1, y1, x2, y2, points or None))
+    px = spark.createDataFrame([(1, x, y, *c) for (x, y), c in colour.items()], "item_id bigint, x int, y int, r int, g int, b int")
+    boxes = spark.createDataFrame(shapes, "item_id bigint, seq int, x1 double, y1 double, x2 double, y2 double, polygon array<struct<x:double,y:double>>")
+    got = {r.seq: r for r in score.spectral_stats(px, boxes, outline="polygon", least=40).collect()}
+    for _, i, x1, y1, x2, y2, points in shapes:
+        def inside(x, y):
+            yc, odd = y + 0.5, False
+            for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+                if (ay <= yc) != (by <= yc) and x + 0.5 >= ax + (yc - ay) * (bx - ax) / (by - ay):
+                    odd = not odd
+            return odd
+
+        box = [(x, y) for x in range(math.floor(x1), math.floor(x2)) for y in range(math.floor(y1), math.floor(y2)) if (x, y) in colour]
+        fill = [p for p in box if inside(*p)] if points and len(points) > 2 else []
+        used = fill if len(fill) > 40 else box
+        if not box:
+            assert i not in got
+            continue
+        values = [colour[p] for p in used]
+        luma = [0.299 * r + 0.587 * g + 0.114 * b for r, g, b in values]
+        mean = sum(luma) / len(luma)
+        assert (got[i].n_pixels, got[i].box_pixels, got[i].masked) == (len(used), len(box), len(fill) > 40)
+        assert got[i].mean_exg == pytest.approx(sum(2 * g - r - b for r, g, b in values) / len(values), abs=1e-9)
+        assert got[i].luma_var == pytest.approx(sum((v - mean) ** 2 for v in luma) / len(luma), abs=1e-6)
+
+
 def test_merge_boxes_with_strips(spark):
     rng = random.Random(3)
     data = []
