@@ -1,18 +1,23 @@
-"""Near copies by word shingles: five words, Jaccard similarity >= 0.8.
+"""Near copies by ball hashing of word-shingle fingerprints: five words, Jaccard similarity >= 0.8.
 
-Documents with equal shingle sets collapse first. Each distinct set gets a min-hash
-signature; sets that agree in all rows of one of the bands are candidates, and a
-candidate pair is linked only if the exact Jaccard similarity of the two sets is high
-enough. Of a pair at 0.8 every band misses with probability 1 - 0.8 ** 5, all 30 with 7e-6.
+Documents with equal shingle sets collapse first. Each distinct set gets several independent partial SimHash
+fingerprints, about as many bits wide as the number of sets needs. Two partial fingerprints that differ in at most two bits meet in
+the middle: every one emits itself and its variants with one bit flipped, the variants are shuffled, and sets
+that share a variant collide. Collisions are first filtered by 64 further fingerprint bits; a pair that is left
+is linked only if the exact Jaccard similarity of the two sets is high enough.
 
-Groups of a band with at most SMALL sets compare all pairs; larger ones compare every
-set with one hub. Where a larger group is not one class after that, its sets are dealt
-again by further rows of the signature, until no such group is left. No set leaves its group unread, but a pair in
-a large group may miss each other there: a dealing again brings a pair at 0.8 together with probability 0.8.
+A pair at the least similarity differs in 15 % of the bits, so the chance that it collides in one partial fingerprint is known, and
+there are so many of them that at most MISS of such pairs collide in none; closer pairs are missed far less.
+
+A variant may be shared by any number of sets, so its group is read as a sorted stream. Up to NEAR members are compared with each
+other, further ones with the first HEAD. Of the members whose check bits are near, each is paired with the PARTNERS smallest, so that
+copies of one text share hubs and need no pairs among themselves. Where there were more, the members go into a table, and those that do not end in the class
+of the most are compared with all the others again: no colliding pair is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +30,18 @@ from labelloom.llm.common import components, map_batches, stored, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 5, 30
-SMALL = 8
-# A large group is dealt again by so many choices of ROWS further rows.
-CHOICES = 4
-_RNG = np.random.default_rng(20)
-_ODD = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MISS = 0.05
+# Members of a group that are all compared, those that all further ones are compared with, and pairs written per member.
+NEAR, HEAD, PARTNERS = 4096, 64, 8
+# A group of a variant has about so many members, as a power of two: more of them need fewer partial fingerprints.
+FILL = 5
+# Of the 64 check bits a pair at the least similarity differs in 10 on average, with a deviation of 3; unrelated sets in 32.
+CHECK_BITS = 18
+# Of all bits such a pair differs in 15 %, unrelated sets in 50 %; with 150 bits the deviations are 3 % and 4 %.
+ALL_BITS = 0.28
+# Bits of a key above the variant, and the flip number that means none.
+_TABLE, _FLIP, _NONE = 40, 6, 63
+_PAIRS = "a long, b long"
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -49,12 +60,29 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS min-hashes of 32 bits."""
-    least = np.full(len(_ODD), 2**64 - 1, dtype=np.uint64)
-    for lo in range(0, len(hashes), 512):
-        least = np.minimum(least, (hashes[None, lo: lo + 512] * _ODD[:, None]).min(axis=1))
-    return ((least * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype("<u4")
+def layout(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """(bits of a partial fingerprint, number of them) for ``n`` sets."""
+    width = min(max(12, math.ceil(math.log2(max(2, n))) - FILL), 38)
+    # Two sets of equal size and this Jaccard similarity have this cosine; a bit differs in proportion to the angle.
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(width, i) * differ**i * (1 - differ) ** (width - i) for i in range(3))
+    return width, max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
+
+
+def fingerprint_bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 * ``words`` majority bits over the shingle hashes; an empty set has zeros."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    odd = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for lo in range(0, len(hashes), 4080):
+        mixed = (hashes[lo: lo + 4080, None] + odd) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(27)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1)
+        # Columns are added up 255 rows at a time, as far as a byte goes.
+        for at in range(0, len(bits), 255):
+            ones += bits[at: at + 255].sum(axis=0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,89 +90,200 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def shingle_nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, node (hash of the shingle set) and sig of each document."""
+def shingle_nodes(docs: DataFrame, width: int, tables: int, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set), check bits and partial fingerprints of each document."""
+    words = 1 + -(-width * tables // 64)
+    powers = 1 << np.arange(width, dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sig = [], []
+            node, check, prints = [], [], []
             for text in text_bytes(batch.column(2)):
                 hashes = shingle_set(text, shingle)
+                bits = fingerprint_bits(hashes, words)
                 node.append(int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64)))
-                sig.append(signature(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "node", "sig"])
+                check.append(int(np.packbits(bits[:64]).view("<i8")[0]))
+                prints.append((bits[64: 64 + width * tables].reshape(tables, width) @ powers).astype("<i8").tobytes())
+            arrays = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "node", "check", "prints"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, text_hash long, node long, sig binary")
+    return map_batches(rows, run, "doc_id long, text_hash long, node long, check long, prints binary")
+
 
+def variants(nodes: DataFrame, width: int, tables: int) -> DataFrame:
+    """(key, node, check): every partial fingerprint and its one-bit variants; key holds table, variant and the flipped bit."""
+    flips = np.r_[np.int64(0), 1 << np.arange(width, dtype=np.int64)]
+    numbers = np.r_[np.int64(_NONE), np.arange(width, dtype=np.int64)]
 
-def _keys(rows: DataFrame, again: bool) -> DataFrame:
-    """(key, node): the bands of every node, or for groups dealt again their key with further rows of the signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            keys, nodes = [], []
-            for i, (node, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if again:
-                    sig, old = np.frombuffer(blob, "<u4"), batch.column(2)[i].as_py() & (2**64 - 1)
-                    for c in range(CHOICES):
-                        mine = np.random.Generator(np.random.PCG64(digest(b"choice", old ^ c))).choice(len(sig), ROWS, replace=False)
-                        keys.append(digest(sig[mine].tobytes(), old ^ c))
-                else:
-                    width = 4 * ROWS
-                    keys += [digest(blob[b * width: (b + 1) * width], b) for b in range(BANDS)]
-                nodes += [node] * (len(keys) - len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], names=["key", "node"])
-
-    return map_batches(rows, run, "key long, node long").distinct()
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes with a Jaccard similarity of at least ``similarity``."""
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), "<i8").reshape(-1, tables)
+                key = prints[:, :, None] ^ flips | (np.arange(tables, dtype=np.int64) << _TABLE)[:, None]
+                key = (key << _FLIP | numbers).reshape(len(prints), -1)
+                node, check = (np.repeat(part.column(i).to_numpy(), key.shape[1]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node), pa.array(check)], names=["key", "node", "check"])
+
+    return nodes.select("node", "check", "prints").mapInArrow(run, "key long, node long, check long")
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # The count of a signed number is that of its absolute value.
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the keys of two members of a group: whether this is the one variant of the table at which their pair is taken.
+
+    Equal fingerprints share all variants and others two; the fingerprint itself, or the smaller variant, is taken.
+    """
+    i, j = x & _NONE, y & _NONE
+    high = np.maximum(np.where(i == _NONE, -1, i), np.where(j == _NONE, -1, j))
+    return np.where(i == j, i == _NONE, (x >> _FLIP >> np.maximum(high, 0)) & 1 == 0)
+
+
+def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of (key, node, check) sorted by variant and node to pairs (a < b), and members (key, node, check) of crowded groups.
+
+    Between chunks only the first members of a group that may go on are held.
+    """
+    held, count, was_crowded = np.zeros((3, 0), dtype=np.int64), 0, False
+    for new in _chunks(batches):
+        if held.shape[1] and held[0, 0] >> _FLIP != new[0, 0] >> _FLIP:
+            held, count, was_crowded = held[:, :0], 0, False
+        old = held.shape[1]
+        key, node, check = rows = np.concatenate([held, new], axis=1)
+        group = key >> _FLIP
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        length = np.diff(np.r_[first, len(key)])
+        start = np.repeat(first, length)
+        # Where members are no longer held, the held ones alone reach NEAR; so places up to there are right.
+        seat = np.arange(len(key)) - start
+        partners, lonely = np.zeros(len(key), dtype=np.int64), np.ones(len(key), dtype=bool)
+        left, right = [], []
+
+        def pair(at: np.ndarray, back: np.ndarray) -> None:
+            near = (_distance(check[at], check[back]) <= CHECK_BITS) & _first_meeting(key[at], key[back])
+            at, back = at[near], back[near]
+            lonely[at] = lonely[back] = False
+            wanted = partners[at] < PARTNERS
+            partners[at] += 1
+            left.append(node[back[wanted]])
+            right.append(node[at[wanted]])
+
+        fresh = np.arange(old, len(key))
+        inner = fresh[seat[fresh] < NEAR]
+        inner = inner[np.argsort(-seat[inner], kind="stable")]
+        # The longest step back first: a member meets the smallest ones before the others.
+        upto = np.searchsorted(-seat[inner], -np.arange(int(length.max())), side="right")
+        for lag in range(min(NEAR, int(length.max())) - 1, 0, -1):
+            at = inner[:upto[lag]]
+            pair(at, at - lag)
+        outer = fresh[seat[fresh] >= NEAR]
+        for place in range(HEAD if len(outer) else 0):
+            pair(outer, start[outer] + place)
+        # Members of a group in which some had more partners, or were not compared with all, are handed on; of one chunk only those with a partner.
+        total = length + np.where(first == 0, count - old, 0)
+        goes_on = (first == 0) & (old > 0)
+        crowded = (np.maximum.reduceat(partners, first) > PARTNERS) | (total > NEAR) | (goes_on & was_crowded)
+        many = np.repeat(crowded, length) & (~lonely | np.repeat(goes_on | (total > NEAR), length))
+        pad, nulls = pa.nulls(len(a := np.concatenate([*left, node[:0]])), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([*right, node[:0]])), pad, pad, pad], names=["a", "b", "key", "node", "check"])
+        yield pa.RecordBatch.from_arrays([nulls, nulls, *[pa.array(r[many]) for r in rows]], names=["a", "b", "key", "node", "check"])
+        held, count, was_crowded = rows[:, first[-1]: first[-1] + NEAR], int(total[-1]), bool(crowded[-1])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[np.ndarray]:
+    """Columns of several small batches at a time."""
+    waiting: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(np.stack([c.to_numpy() for c in batch.columns]))
+        if sum(x.shape[1] for x in waiting) >= rows:
+            yield np.concatenate(waiting, axis=1)
+            waiting = []
+    if waiting:
+        yield np.concatenate(waiting, axis=1)
+
+
+def _near_prints(pairs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """The pairs whose whole fingerprints differ in at most ALL_BITS of their ``bits``: few unrelated sets are fetched then."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            far = np.bitwise_count(x ^ y).sum(axis=1) + _distance(batch.column(4).to_numpy(), batch.column(5).to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(far <= ALL_BITS * bits))
+
+    prints = nodes.select("node", "prints", "check")
+    both = pairs.join(prints.toDF("b", "y", "cy"), "b").join(prints.toDF("a", "x", "cx"), "a").select("a", "b", "x", "y", "cx", "cy")
+    return map_batches(both, compare, _PAIRS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with a Jaccard similarity of at least ``similarity``. Sets travel by b first, which few pairs share."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.select("a", "b").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return map_batches(both, compare, _PAIRS)
+
+
+def _sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of all nodes in pairs, from one document of each."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text"))
     rows = texts.join(need, texts["_id"].eqNullSafe(need["first.id"]) & (texts["_hash"] == need["first.hash"])).select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, shingle).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+    return map_batches(rows.dropDuplicates(["node"]), run, "node long, set binary")
+
 
-    known = stored(map_batches(rows.dropDuplicates(["node"]), sets, "node long, set binary"), "shingle-sets")
-    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return map_batches(both, compare, "a long, b long")
+def _meet_again(members: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of crowded groups that are left: every member outside the class of the most with all others of the group."""
+    flip = F.expr(f"CAST(IF(key & {_NONE} = {_NONE}, -1, key & {_NONE}) AS INT)")
+    # A group that goes over several chunks may hand on a member twice.
+    classed = members.distinct().join(roots, "node", "left").select(
+        "node", "check", F.shiftright("key", _FLIP).alias("group"), flip.alias("flip"), F.coalesce("root", "node").alias("root"))
+    sizes = classed.groupBy("group", "root").agg(F.count("*").alias("n"))
+    hubs = sizes.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("hub"))
+    apart = classed.join(hubs, "group").where("root != hub").select("group", *[F.col(c).alias(f"_{c}") for c in ("node", "check", "flip", "root")])
+    # As in _first_meeting: a pair is taken at one variant of a table.
+    near = F.expr(f"root != _root AND bit_count(check ^ _check) <= {CHECK_BITS} AND IF(flip = _flip, flip = -1, shiftright(group, greatest(flip, _flip)) % 2 = 0)")
+    pairs = classed.join(apart, "group").where(near).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of all nodes in a class of two or more."""
-    level = _keys(nodes.select("node", "sig"), False)
-    edges = roots = None
-    while True:
-        level = stored(level, "bands")
-        hub = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))
-        groups = level.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1").select("key", "n", F.col("hub.node").alias("hub"))
-        rows = stored(level.join(groups, "key"), "band-groups")
-        few = rows.where(F.col("n") <= SMALL)
-        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        many = rows.where(F.col("n") > SMALL)
-        stars = many.where("hub != node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        pairs = pairs.union(stars).distinct()
-        if roots is not None:  # what is one class already needs no comparison
-            pairs = (pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-                     .where("not coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b"))
-        new = _similar(stored(pairs, "near-pairs"), nodes, docs, shingle, similarity)
-        edges = stored(new if edges is None else edges.union(new), "near-links")
-        roots = stored(components(edges, name="near-copies"), "near-classes")
-        mixed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        left = stored(many.join(apart, "key", "left_semi").select("node", "key"), "bands-left")
-        if left.isEmpty():
-            return roots
-        level = _keys(left.join(nodes.select("node", "sig"), "node").select("node", "sig", "key"), True)
+    rows = variants(nodes, width, tables)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * tables * (width + 1) // 4_000_000))
+    sorted_rows = rows.repartition(tasks, F.shiftright("key", _FLIP)).sortWithinPartitions(F.shiftright("key", _FLIP), "node")
+    met = stored(sorted_rows.mapInArrow(_collide, "a long, b long, key long, node long, check long"), "collisions")
+    bits = 64 + width * tables
+    pairs = stored(_near_prints(met.where("a is not null").select("a", "b").distinct(), nodes, bits), "near-pairs")
+    sets = stored(_sets(pairs, nodes, docs, shingle), "shingle-sets")
+    # First one pair per node, with the smallest it met; members of a dense group then share a hub and need no further pairs.
+    best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    star = stored(_verified(best, sets, similarity), "near-stars")
+    hub = star.select(F.col("b").alias("node"), F.col("a").alias("hub"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(hub.toDF("a", "ha"), "a", "left").join(hub.toDF("b", "hb"), "b", "left").where(
+        "coalesce(ha, a) != coalesce(hb, b)").select("a", "b")
+    edges = stored(star.union(_verified(rest, sets, similarity)), "near-links")
+    roots = stored(components(edges, name="near-copies"), "near-classes")
+    members = met.where("key is not null").select("key", "node", "check")
+    more = stored(_near_prints(_meet_again(members, roots, pairs), nodes, bits), "near-pairs")
+    if more.isEmpty():
+        return roots
+    late = _verified(more, _sets(more, nodes, docs, shingle), similarity)
+    return stored(components(edges.union(late), name="near-copies"), "near-classes")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -155,8 +294,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     has no other. Rows that repeat a kept (doc_id, text) collapse to one. An empty table gives no rows.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    nodes = stored(shingle_nodes(docs, shingle).groupBy("node", "sig").agg(F.min(order).alias("first")), "shingle-nodes")
-    roots = near_links(nodes, docs, shingle, similarity)
+    width, tables = layout(docs.count(), similarity)
+    nodes = shingle_nodes(docs, width, tables, shingle).groupBy("node", "check", "prints").agg(F.min(order).alias("first"))
+    nodes = stored(nodes, "shingle-nodes")
+    roots = near_links(nodes, docs, width, tables, shingle, similarity)
     classed = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("_k"))
     kept = classed.select(F.col("_k.id").alias("_id"), F.col("_k.hash").alias("_hash"))
     # The row travels as one struct, so that its columns may have any names.

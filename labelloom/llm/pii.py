@@ -56,7 +56,7 @@ def emails(text: str) -> list[Span]:
 def plain_spans(text: str) -> list[Span]:
     """Spans of the plain rules, ordered by start, then kind."""
     out = emails(text)
-    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         if 14 <= len(m[0]) <= 37:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,16 +82,20 @@ class Tape:
     def of(cls, text: str) -> "Tape":
         return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
 
-    def rewrite(self, pattern: re.Pattern[str], into: Callable[[re.Match[str]], str]) -> "Tape":
-        """Replace matches; each output character stands for the whole match."""
+    def rewrite(self, pattern: re.Pattern[str], into: Callable[[re.Match[str]], list[tuple[str, int, int]] | str | None]) -> "Tape":
+        """Replace matches. ``into`` gives pieces (new text, start, end), whose ranges may lie anywhere in the match, one text for the whole match, or None to leave it."""
         parts, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
-            if m.start() == m.end():
+            pieces = into(m)
+            if pieces is None or m.start() == m.end():
                 continue
-            new = into(m)
-            parts += [self.text[at: m.start()], new]
-            start += self.start[at: m.start()] + [self.start[m.start()]] * len(new)
-            end += self.end[at: m.start()] + [self.end[m.end() - 1]] * len(new)
+            parts.append(self.text[at: m.start()])
+            start += self.start[at: m.start()]
+            end += self.end[at: m.start()]
+            for new, a, b in [(pieces, m.start(), m.end())] if isinstance(pieces, str) else pieces:
+                parts.append(new)
+                start += [self.start[a]] * len(new)
+                end += [self.end[b - 1]] * len(new)
             at = m.end()
         return Tape("".join(parts) + self.text[at:], start + self.start[at:], end + self.end[at:])
 
@@ -105,7 +109,7 @@ _INVISIBLE = "­᠎​‌‍⁠﻿"
 _DASHES = "‐‑‒–—−﹣"
 _SPACES = "              　"
 # Everything a look-alike step may change: letters above, and the blocks with compatibility forms and other digits.
-_STRANGE = re.compile(f"[{_INVISIBLE}{_DASHES}{_SPACES}{''.join(_LOOKS)}٠-٩۰-۹०-९①-⒛。！-｡﹒﹫\U0001d400-\U0001d7ff]")
+_STRANGE = re.compile(f"[{_INVISIBLE}{_DASHES}{_SPACES}{''.join(_LOOKS)}٠-٩۰-۹०-९⁰-ₜ℀-⅏Ⅰ-ↈ①-⓿。！-｡﹒﹫\U0001d400-\U0001d7ff]")
 
 
 def plain_letter(c: str) -> str:
@@ -131,59 +135,93 @@ _DIGITS = {w: str(d) for d, row in enumerate((
     "zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco",
     "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")) for w in row.split()}
 _DIGIT = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-# Only long runs are numbers.
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ -]?)?{_DIGIT}(?:[ ,.-]{{1,2}}{_DIGIT}){{6,}}(?!\w)", re.IGNORECASE)
-_WORD = re.compile(r"\w+", re.UNICODE)
-_GAP = r"\s{0,3}"
-_AT = rf"(?:{_GAP}[(\[{{<]{_GAP}(?:at|ät|@|arroba|arobase){_GAP}[)\]}}>]{_GAP})"
-_DOT = rf"(?:{_GAP}[(\[{{<]{_GAP}(?:dot|punkt|point|punto|\.){_GAP}[)\]}}>]{_GAP})"
-_NAME = r"[A-Za-z0-9_%+-]"
-_BRACKET_AT, _BRACKET_DOT = re.compile(_AT, re.IGNORECASE), re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.IGNORECASE)
-# Bare words count only together: name at host dot name, or a bare one beside a sign.
-_SPOKEN = re.compile(rf"(?<!{_NAME})({_NAME}+(?:(?:\.| dot ){_NAME}+){{0,4}})(?: at |@| @ )([A-Za-z0-9-]+(?:(?:\.| dot | punkt | point | punto )[A-Za-z0-9-]+){{1,5}})(?![A-Za-z0-9-])", re.IGNORECASE)
-_SPOKEN_DOT = re.compile(r" (?:dot|punkt|point|punto) ", re.IGNORECASE)
-
-
-def _digits_of(match: re.Match[str]) -> str:
-    words = _WORD.findall(match[0])
-    plus = match[0][0] == "+" or words[0].lower() == "plus"
-    return ("+" if plus else "") + "".join(_DIGITS[w.lower()] for w in words if w.lower() in _DIGITS)
+_SPOKEN_DOT = r"(?:dot|punkt|point|punto)"
+# Numbers of digit words and numerals: what may stand between their parts, and where a spelled part is one digit.
+_PART = rf"(?:[0-9]+|{_DIGIT}(?!\w))"
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ -]?)?{_PART}(?:(?:[ ,.()/-]{{1,3}}|\s+{_SPOKEN_DOT}\s+){_PART})+(?!\w)", re.IGNORECASE)
+_PIECES = re.compile(rf"(?P<plus>plus[ -]?|\+[ -]?)|(?P<number>[0-9]+)|(?P<dot>\s+{_SPOKEN_DOT}\s+)|(?P<word>[^\W\d_]+)|(?P<gap>[ ,.()/-]+)", re.IGNORECASE)
+# Gaps start where no gap stands before, so long ones are read once.
+_OPEN, _CLOSE = r"(?<!\s)\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
+_BRACKET_AT = re.compile(rf"{_OPEN}(?:at|ät|@|arroba|arobase){_CLOSE}", re.IGNORECASE)
+_BRACKET_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s*[(\[{{<]\s*(?:dot|punkt|point|punto|\.){_CLOSE}(?=[A-Za-z0-9])", re.IGNORECASE)
+_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_SPOKEN_DOT}\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+# A bare "at" needs a mailbox before it, or a spoken dot behind: "meet me at example.com" names no mailbox.
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9_+-])(?:\s+at\s+|\s+@\s*|@\s+)(?=([A-Za-z0-9-]+)((?:\.[A-Za-z0-9-]+)*))", re.IGNORECASE)
+_MAILBOX = re.compile(r"(?=[A-Za-z0-9_%+-]*[A-Za-z])[A-Za-z0-9_%+-]*(?:[A-Za-z0-9][._+-][A-Za-z0-9]|[A-Za-z][0-9])[A-Za-z0-9._%+-]*$")
+_TOP_LABEL = re.compile(r"\.[A-Za-z]{2,}$")
+# Least spelled digits of a number, and characters of a name that are looked at before a bare "at".
+_SPELLED, _LOOK_BACK = 3, 64
+
+
+def _spelled_number(match: re.Match[str]) -> list[tuple[str, int, int]] | None:
+    """Digit words become digits, each for its own word, and those in a row one number."""
+    out: list[tuple[str, int, int]] = []
+    kinds = []
+    for m in _PIECES.finditer(match[0]):
+        a, b = match.start() + m.start(), match.start() + m.end()
+        text = {"plus": "+", "dot": ".", "word": _DIGITS.get(m[0].lower(), m[0])}.get(m.lastgroup, m[0])
+        out.append((text, a, b))
+        kinds.append(m.lastgroup)
+    if kinds.count("word") < _SPELLED:
+        return None
+    # Between two words only a dot stays.
+    return [x for i, x in enumerate(out) if not (kinds[i] == "gap" and 0 < i < len(out) - 1 and kinds[i - 1] == kinds[i + 1] == "word" and "." not in x[0])]
+
+
+def _is_phone(digits: str) -> bool:
+    """A spelled number without a plus: neither counting nor one word again and again."""
+    steps = [(int(b) - int(a)) % 10 for a, b in zip(digits, digits[1:])]
+    return 10 <= len(digits) <= 15 and len(set(digits)) > 2 and 2 * max(map(steps.count, steps)) < len(digits)
 
 
 def hidden_spans(text: str) -> list[Span]:
     """Spans found on the tape that the text was rewritten to; empty if no step changes the text."""
-    tape, out = Tape.of(text), []
-    if _STRANGE.search(text):
-        tape = tape.rewrite(_STRANGE, lambda m: plain_letter(m[0]))
-    low = tape.text.lower()
-    if any(w in low for w in _DIGITS):
-        for m in _SPELLED.finditer(tape.text):
-            digits = _digits_of(m)
-            if len(set(digits.lstrip("+"))) < 2:  # a repeated word, no number
-                continue
-            kind = "card" if not digits.startswith("+") and 14 <= len(digits) <= 19 and luhn(digits) else "phone" if 10 <= len(digits.lstrip("+")) <= 15 else None
-            if kind:
-                out.append((*tape.span(m.start(), m.end()), kind))
-    if any(c in low for c in "([{<") and ("at" in low or "@" in low or "arroba" in low or "arobase" in low or "ät" in low):
-        tape = tape.rewrite(_BRACKET_DOT, lambda m: ".").rewrite(_BRACKET_AT, lambda m: "@")
-    if " dot " in low or " punkt " in low or " point " in low or " punto " in low or "@" in tape.text or (" at " in low and "." in low):
-        for m in _SPOKEN.finditer(tape.text):
-            # A bare " at " needs a bare "dot" behind it: "meet me at example.com" names no mailbox.
-            if "@" in m[0] or _SPOKEN_DOT.search(m[2]):
-                if tape.text[m.start(): m.end()] != text[slice(*tape.span(m.start(), m.end()))] or " " in m[0]:
-                    out.append((*tape.span(m.start(), m.end()), "email"))
-    if tape.text != text:
-        out += [(*tape.span(a, b), kind) for a, b, kind in plain_spans(tape.text)]
-    return out
+    tape: Tape | None = None
+
+    def step(pattern: re.Pattern[str], into) -> None:
+        nonlocal tape
+        if pattern.search(text if tape is None else tape.text):
+            tape = (tape or Tape.of(text)).rewrite(pattern, into)
+
+    step(_STRANGE, lambda m: plain_letter(m[0]))
+    if any(c in (tape.text if tape else text) for c in "([{<"):
+        step(_BRACKET_DOT, lambda m: ".")
+        step(_BRACKET_AT, lambda m: "@")
+    spoken: list[tuple[int, int]] = []
+
+    def number(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
+        pieces = _spelled_number(m)
+        if pieces and pieces[0][0] != "+" and _is_phone("".join(c for x, _, _ in pieces for c in x if c.isdigit())):
+            spoken.append(tape.span(m.start(), m.end()) if tape else (m.start(), m.end()))
+        return pieces
+
+    step(_RUN, number)
+    was = None if tape is None else tape.text
+    step(_BARE_DOT, lambda m: ".")
+    dotted = tape is not None and tape.text != was
+
+    def at_sign(m: re.Match[str]) -> str | None:
+        spoken_dot = dotted and bool(m[2]) and tape.end[m.end() + len(m[1])] - tape.start[m.end() + len(m[1])] > 1
+        mailbox = _TOP_LABEL.search(m[2]) and _MAILBOX.search(m.string[max(0, m.start() - _LOOK_BACK): m.start()])
+        return "@" if m[2] and ("@" in m[0] or spoken_dot or mailbox) else None
+
+    step(_BARE_AT, at_sign)
+    if tape is None or tape.text == text:
+        return []
+    out = [(*tape.span(a, b), kind) for a, b, kind in plain_spans(tape.text)]
+    cards = {(a, b) for a, b, kind in out if kind == "card"}
+    return out + [(a, b, "phone") for a, b in spoken if (a, b) not in cards]
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, all spans). A hidden span is added unless a span found before covers it."""
+    """(plain spans, all spans). A hidden span is added unless another covers it; one sweep, as covering spans start no later."""
     plain = plain_spans(text) if "@" in text or any(d in text for d in "0123456789") else []
-    found = list(plain)
-    for span in sorted(set(hidden_spans(text)), key=lambda s: (s[0] - s[1], _order(s))):
-        if not any(a <= span[0] and span[1] <= b for a, b, _ in found):
-            found.append(span)
+    marked = [(a, -b, 0, kind) for a, b, kind in plain] + [(a, -b, 1 + KINDS.index(kind), kind) for a, b, kind in set(hidden_spans(text))]
+    found, reach = [], -1
+    for a, b, hidden, kind in sorted(marked):
+        if not hidden or -b > reach:
+            found.append((a, -b, kind))
+        reach = max(reach, -b)
     return plain, sorted(found, key=_order)
 
 
@@ -216,7 +254,10 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """Documents with every found span replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars, where there is one, follows the text."""
+    """Documents with every found span replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars, where there is one, follows the text.
+
+    All columns and rows stay, also repeated ones and null doc_ids; null and empty texts stay as they are; an empty table gives no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

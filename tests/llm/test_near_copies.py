@@ -3,8 +3,12 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from conftest import make
+from labelloom.llm import nearcopies
 from labelloom.llm.nearcopies import jaccard, shingle_set
+from pyspark.sql import functions as F
 
 
 def changed(rng, words, times):
@@ -63,6 +67,78 @@ def test_large_groups_that_are_not_one_class(spark):
     assert sorted(r.doc_id for r in stage(spark, make(spark, rows), "").collect()) == walk(rows)
 
 
+def joined(pairs, n):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_every_colliding_pair_is_linked(spark):
+    """A dense group of near copies, some outside its main class, and documents that share most of their words but are no copies."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, common, rng.choice([1, 2, 4, 7]))), "s") for i in range(150)]
+    rows += [(1000 + i, " ".join(common[:130] + [f"x{rng.getrandbits(20)}" for _ in range(45)]), "s") for i in range(60)]
+    sets = [nearcopies.shingle_set(t.encode()) for _, t, _ in rows]
+    width, tables = 12, 3
+    bits = [nearcopies.fingerprint_bits(x, 2)[:64 + width * tables] for x in sets]
+
+    def far(i, j, lo, hi):
+        return int((bits[i][lo:hi] != bits[j][lo:hi]).sum())
+
+    meet = {(i, j) for i in range(len(rows)) for j in range(i) if far(i, j, 0, 64) <= nearcopies.CHECK_BITS and far(i, j, 0, 100) <= nearcopies.ALL_BITS * 100
+            and any(far(i, j, 64 + t * width, 64 + (t + 1) * width) <= 2 for t in range(tables))}
+    want = joined([(i, j) for i, j in meet if jaccard(sets[i], sets[j]) >= 0.8], len(rows))
+    docs = make(spark, rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    nodes = nearcopies.shingle_nodes(docs, width, tables).groupBy("node", "check", "prints").agg(F.min(order).alias("first")).cache()
+    classes = {}
+    for r in nearcopies.near_links(nodes, docs, width, tables).join(nodes, "node").select("root", "first.id").collect():
+        classes.setdefault(r.root, set()).add(r.id)
+    expected = [{rows[i][0] for i, w in enumerate(want) if w == root} for root in set(want)]
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(c) for c in expected if len(c) > 1)
+
+
+def run_stream(rows, size, monkeypatch, **limits):
+    """_collide over batches of ``size`` rows, each read as a chunk of its own, with smaller limits."""
+    chunks = nearcopies._chunks
+    monkeypatch.setattr(nearcopies, "_chunks", lambda batches: chunks(batches, 1))
+    for name, value in limits.items():
+        monkeypatch.setattr(nearcopies, name, value)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i: i + size])], names=["key", "node", "check"]) for i in range(0, len(rows), size)]
+    out = [r for b in nearcopies._collide(iter(batches)) for r in b.to_pylist()]
+    monkeypatch.undo()
+    return {(r["a"], r["b"]) for r in out if r["a"] is not None}, {(r["key"] >> 6, r["node"]) for r in out if r["key"] is not None}
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_stream_of_collisions(monkeypatch, size):
+    """In chunks of any size, each member meets the smallest near ones, and members of crowded groups are all handed on."""
+    rng = random.Random(9)
+    # Three kinds of check bits, far from each other; nodes of one kind are near.
+    kinds = [0, 2**62 - 1, (2**31 - 1) << 32]
+    sizes = [3, 9, 1, 60, 30]
+    rows = sorted((g << 6 | 63, 1000 * g + i, kinds[rng.randrange(3) if g > 2 else 0]) for g, n in enumerate(sizes) for i in range(n))
+    pairs, members = run_stream(rows, size, monkeypatch, NEAR=40, HEAD=4, PARTNERS=5)
+    for g, n in enumerate(sizes):
+        mine = [(node, check) for key, node, check in rows if key >> 6 == g]
+        for seat, (node, check) in enumerate(mine):
+            met = [m for m, c in (mine[:seat] if seat < 40 else mine[:4]) if c == check]
+            assert sorted(a for a, b in pairs if b == node) == met[:5]
+        handed = {node for k, node in members if k == g}
+        assert handed == (set() if n <= 6 else {node for node, _ in mine}) or g == 4 and handed <= {node for node, _ in mine}
+    # In the last group every kind is crowded as a whole.
+    assert len({node for k, node in members if k == 4}) >= 28
+
+
 def test_empty_texts_nulls_and_no_rows(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert stage(spark, make(spark, []), "").count() == 0
