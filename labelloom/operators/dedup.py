@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import taxonomy as T
 from labelloom.operators.prepare import pool_hash
-from labelloom.scale import hash_sums, ranked
+from labelloom.scale import hash_sums
 
 SUBMISSION = ("round_num", "item_id", "annotator_id")
 ROW = ("l", "b1", "b2", "b3", "b4")
@@ -40,8 +40,10 @@ def near_duplicates(anns: DataFrame, threshold: float = 0.95, item: Sequence[str
     Submissions with equal bins form one class with its lowest annotator, so
     copies cost nothing. Different classes can only reach the threshold with
     1/(1-threshold) - 1 rows or more; those meet through the bins of their prefix
-    (the first n - ceil(t n) + 1 in hash order, at least one of which two similar
-    classes share), and only such candidates are counted in full.
+    (the first n - ceil(t n) + 1 rows, rarest bins of the item first, at least one of which two similar
+    classes share), and only such candidates are counted in full. A bin that most classes have comes last and
+    joins nothing. Of classes that meet, those whose sizes, or whose places of the common bin, leave
+    too few rows to share go at once.
     """
     item = list(item)
     smallest = int(threshold / (1 - threshold) + 1e-9)
@@ -55,16 +57,21 @@ def near_duplicates(anns: DataFrame, threshold: float = 0.95, item: Sequence[str
     large = classes.where(F.col("n") >= smallest)
     counts = bins.join(large.select(*item, F.col("lead").alias("annotator_id"), "sig", "n"), [*item, "annotator_id"]).groupBy(
         *item, "sig", "n", *ROW).agg(F.count("*").alias("k"))
-    # Copies of a bin follow each other in the order, so a bin is in the prefix when its first copy is.
+    # How many classes of the item have a bin; counted per bin, the order is the same for all classes.
+    common = counts.groupBy(*item, *ROW).agg(F.count("*").alias("_f"))
+    placed = counts.join(common, [*item, *ROW])
+    # Copies of a bin follow each other in the order, so a bin is in the prefix when its first copy is. A window holds one submission.
+    order = Window.partitionBy(*item, "sig").orderBy("_f", F.xxhash64(*ROW), *ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seats = placed.withColumn("_r", F.sum("k").over(order) - F.col("k"))
     need = F.ceil(F.round(F.col("n") * threshold, 9))
-    order = [F.xxhash64(*ROW), *[F.col(c) for c in ROW]]
-    seats = ranked(counts, [*item, "sig"], order, "_r")
-    prefix = seats.where(F.col("_r") <= F.col("n") - need + 1)
-    a = prefix.select(*item, *ROW, F.col("sig").alias("sa"), F.col("n").alias("na"))
-    b = prefix.select(*item, *ROW, F.col("sig").alias("sb"), F.col("n").alias("nb"))
+    prefix = seats.where(F.col("_r") <= F.col("n") - need)
+    a = prefix.select(*item, *ROW, F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("_r").alias("ra"))
+    b = prefix.select(*item, *ROW, F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("_r").alias("rb"))
+    # Rows before the common bin, and rows from it on, that the two can share at most.
+    reach = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     pairs = a.join(b, [*item, *ROW]).where(
-        (F.col("sa") < F.col("sb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select(
-        *item, "sa", "sb", "na", "nb").distinct()
+        (F.col("sa") < F.col("sb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+        & (reach >= F.greatest("na", "nb") * threshold - 1e-9)).select(*item, "sa", "sb", "na", "nb").distinct()
     ca = counts.select(*item, F.col("sig").alias("sa"), *ROW, F.col("k").alias("ka"))
     cb = counts.select(*item, F.col("sig").alias("sb"), *ROW, F.col("k").alias("kb"))
     shared = pairs.join(ca, [*item, "sa"]).join(cb, [*item, "sb", *ROW]).groupBy(*item, "sa", "sb", "na", "nb").agg(

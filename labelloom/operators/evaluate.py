@@ -11,7 +11,7 @@ from labelloom.functions import geometry as G
 from labelloom.functions.text import diagnosis
 from labelloom.operators.match import best_match, greedy_match
 from labelloom.operators.score import outline_quality
-from labelloom.scale import ranked
+from labelloom.scale import exact_quantile, ranked
 
 PLAIN = lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))
 
@@ -92,9 +92,11 @@ def round_metrics(events: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_samp(totals), F.lit(0.0)).alias("_sd"), F.coalesce(F.avg(totals), F.lit(0.0)).alias("_mean"),
         n("set_weights_ok").alias("set_weights_ok"), n("set_weights_skip").alias("set_weights_skip"),
         n("connector_error").alias("connector_errors"), n("timeout_error").alias("timeout_errors"))
-    times = pair_rounds(events).agg(
-        F.count("*").alias("durations"), F.avg("seconds").alias("avg_seconds"), F.percentile("seconds", 0.95).alias("p95_seconds"))
-    row = base.crossJoin(times)
+    pairs = pair_rounds(events)
+    times = pairs.agg(F.count("*").alias("durations"), F.avg("seconds").alias("avg_seconds"))
+    slow = exact_quantile(pairs, "seconds", F.lit(0.95)).agg(F.max("quantile").alias("p95_seconds"))
+    # Single rows on both sides.
+    row = base.crossJoin(F.broadcast(times)).crossJoin(F.broadcast(slow))
     ratio = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)
     cv = F.when(F.col("totals") < 2, 0.0).when(F.col("_mean") <= 1e-12, float("inf")).otherwise(F.col("_sd") / F.col("_mean"))
     return row.withColumn("success_pct", ratio("round_dones", "round_starts")).withColumn(

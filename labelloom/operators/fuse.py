@@ -11,7 +11,7 @@ from labelloom.config import STRICT, FusionConfig
 from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.operators.match import anchor_assign, overlapping_objects, union_area
-from labelloom.scale import split_hot
+from labelloom.scale import ranked, split_hot
 from labelloom.session import cut
 
 ITEM = ("round_num", "item_id")
@@ -101,6 +101,12 @@ def fuse_labels(
     one row for its own label and its miss term to a per-cluster constant: the
     work follows the votes, not votes times labels times annotators.
 
+    Labels that nobody voted for share one likelihood, so together they weigh the sum of their priors, and the likeliest of
+    them is the one with the largest prior. ``posterior`` therefore lists the voted labels and the background only, ``rest``
+    is the probability of all others (``full_posterior`` lists them), and a row is as long as its votes
+    whatever the size of the vocabulary. The label with the largest prior that is not listed has the first rank
+    missing among the listed ones.
+
     ``without='annotator_id'`` returns leave-one-out posteriors per voting annotator.
     """
     item = list(item)
@@ -118,65 +124,83 @@ def fuse_labels(
     per_label = own.groupBy(*cluster, "label").agg(
         F.sum("w").alias("w"), F.sum("hit").alias("hit"), F.sum("miss").alias("miss"), F.count("*").alias("n"),
         F.sum("bg_w").alias("own_bg_w"), F.sum("bg_hit").alias("own_bg_hit"), F.sum("bg_miss").alias("own_bg_miss"))
+    # Labels by falling prior, ties by name; a row per label of the vocabulary.
+    known = ranked(priors.select("label", F.greatest(F.lit(EPS), "prior").alias("prior")), [], [F.desc("prior"), F.col("label")], "place")
+    is_bg = F.col("label") == T.BACKGROUND
+    totals = known.agg(F.count("*").alias("n_known"), F.coalesce(F.sum("prior"), F.lit(0.0)).alias("sum_known"),
+                       F.max(F.when(is_bg, F.col("prior"))).alias("bg_prior"), F.max(F.when(is_bg, F.col("place"))).alias("bg_place"))
     # One array entry per distinct label of the cluster.
-    tally = per_label.groupBy(*cluster).agg(
-        F.collect_list(F.struct("label", "w", "hit", "miss", "n")).alias("tally"),
+    tally = per_label.join(known, "label", "left").groupBy(*cluster).agg(
+        F.collect_list(F.struct("label", "w", "hit", "miss", "n", F.coalesce("prior", F.lit(EPS)).alias("prior"), "place")).alias("tally"),
         F.sum("own_bg_w").alias("own_bg_w"), F.sum("own_bg_hit").alias("own_bg_hit"),
         F.sum("own_bg_miss").alias("own_bg_miss")).join(bg_item, item)
-    # The priors have one row per golden label; they travel as one array.
-    prior_list = priors.agg(F.collect_list(F.struct("label", "prior")).alias("priors"))
-    base = tally.crossJoin(F.broadcast(prior_list))
+    # A single row.
+    base = tally.crossJoin(F.broadcast(totals))
     zero = F.lit(0.0)
     if without:
         base = base.join(own.select(*cluster, "annotator_id", F.col("label").alias("out_label"), F.col("w").alias(
             "out_w"), F.col("hit").alias("out_hit"), F.col("miss").alias("out_miss")), cluster)
-    # Labels of the cluster: priors, votes and the background.
-    names = F.array_distinct(F.concat(
-        F.transform("priors", lambda p: p["label"]), F.transform("tally", lambda v: v["label"]),
-        F.array(F.lit(T.BACKGROUND))))
+    silent_bg = F.struct(F.lit(T.BACKGROUND).alias("label"), zero.alias("w"), zero.alias("hit"), zero.alias("miss"), F.lit(0).cast("long").alias("n"),
+                         F.coalesce("bg_prior", F.lit(EPS)).alias("prior"), F.col("bg_place").alias("place"))
+    listed = F.when(F.exists("tally", lambda v: v["label"] == T.BACKGROUND), F.col("tally")).otherwise(F.concat("tally", F.array(silent_bg)))
     quiet_w = F.col("bg_w") - F.col("own_bg_w")
     quiet_hit, quiet_miss = F.col("bg_hit") - F.col("own_bg_hit"), F.col("bg_miss") - F.col("own_bg_miss")
     all_w = F.aggregate("tally", zero, lambda a, v: a + v["w"]) + quiet_w
     all_miss = F.aggregate("tally", zero, lambda a, v: a + v["miss"]) + quiet_miss
-    base = base.select(
-        *cluster, *([without, "out_label", "out_w", "out_hit", "out_miss"] if without else []), "tally", "priors",
-        "n_voters", names.alias("names"), quiet_w.alias("quiet_w"), quiet_hit.alias("quiet_hit"),
-        quiet_miss.alias("quiet_miss"), all_w.alias("all_w"), all_miss.alias("all_miss"))
-    spread_of = F.log(F.greatest(F.lit(1), F.size("names") - 1).cast("double"))
-
-    def logit(label):
-        mine = F.filter("tally", lambda v: v["label"] == label)
-
-        def part(field):
-            return F.aggregate(mine, zero, lambda a, v: a + v[field])
-
-        is_bg = label == F.lit(T.BACKGROUND)
-        hit_w = part("w") + F.when(is_bg, F.col("quiet_w")).otherwise(zero)
-        gain = part("hit") - part("miss") + F.when(is_bg, F.col("quiet_hit") - F.col("quiet_miss")).otherwise(zero)
-        total_w, total = F.col("all_w"), F.col("all_miss")
+    if without:
+        all_w, all_miss = all_w - F.col("out_w"), all_miss - F.col("out_miss")
+    places = F.filter(F.transform(F.col("entries"), lambda v: v["place"]), lambda r: r.isNotNull())
+    first_gap = F.aggregate(F.array_sort(F.col("places")), F.lit(1).cast("long"), lambda at, r: F.when(r == at, at + 1).otherwise(at))
+    base = base.withColumn("entries", listed).withColumn("places", places).select(
+        *cluster, *([without, "out_label", "out_w", "out_hit", "out_miss"] if without else []), "tally", "entries", "n_voters",
+        quiet_w.alias("quiet_w"), quiet_hit.alias("quiet_hit"), quiet_miss.alias("quiet_miss"), all_w.alias("all_w"), all_miss.alias("all_miss"),
+        (F.col("n_known") + F.size("entries") - F.size("places")).alias("n_labels"), (F.col("n_known") - F.size("places")).alias("n_rest"),
+        (F.col("sum_known") - F.aggregate("entries", zero, lambda a, v: a + F.when(v["place"].isNotNull(), v["prior"]).otherwise(zero))).alias("rest_prior"),
+        first_gap.alias("_gap"))
+    spread_of = F.log(F.greatest(F.lit(1), F.col("n_labels") - 1).cast("double"))
+
+    def logit(v):
+        back = v["label"] == T.BACKGROUND
+        hit_w = v["w"] + F.when(back, F.col("quiet_w")).otherwise(zero)
+        gain = v["hit"] - v["miss"] + F.when(back, F.col("quiet_hit") - F.col("quiet_miss")).otherwise(zero)
         if without:
-            total_w, total = total_w - F.col("out_w"), total - F.col("out_miss")
-            out = F.col("out_label") == label
+            out = F.col("out_label") == v["label"]
             hit_w = hit_w - F.when(out, F.col("out_w")).otherwise(zero)
             gain = gain - F.when(out, F.col("out_hit") - F.col("out_miss")).otherwise(zero)
-        prior = F.coalesce(F.get(F.filter("priors", lambda p: p["label"] == label), 0)["prior"], F.lit(EPS))
-        return F.log(F.greatest(F.lit(EPS), prior)) + total + gain - (total_w - hit_w) * spread_of
-
-    scored = base.withColumn("logits", F.transform(F.array_sort("names"), lambda c: F.struct(
-        c.alias("label"), logit(c).alias("logit"))))
-    scored = scored.withColumn("_top", F.array_max(F.transform("logits", lambda e: e["logit"])))
+        return F.log(F.greatest(F.lit(EPS), v["prior"])) + F.col("all_miss") + gain - (F.col("all_w") - hit_w) * spread_of
+
+    unheard = known.select(F.col("label").alias("_rest_label"), F.col("prior").alias("_rest_top"), F.col("place").alias("_gap"))
+    scored = base.join(unheard, "_gap", "left").withColumn("logits", F.transform(F.array_sort("entries"), lambda v: F.struct(
+        v["label"].alias("label"), logit(v).alias("logit"))))
+    scored = scored.withColumn("_shared", F.when(F.col("n_rest") > 0, F.col("all_miss") - F.col("all_w") * spread_of))
+    scored = scored.withColumn("_top", F.greatest(
+        F.array_max(F.transform("logits", lambda e: e["logit"])), F.col("_shared") + F.log("_rest_top")))
     scored = scored.withColumn("_exp", F.transform("logits", lambda e: F.struct(
         e["label"].alias("label"), F.exp(e["logit"] - F.col("_top")).alias("p"))))
-    total = F.aggregate("_exp", zero, lambda a, e: a + e["p"])
+    scored = scored.withColumn("_each", F.coalesce(F.exp(F.col("_shared") - F.col("_top")), zero))
+    total = F.aggregate("_exp", zero, lambda a, e: a + e["p"]) + F.col("_each") * F.greatest(zero, "rest_prior")
     scored = scored.withColumn("_sum", total).withColumn("posterior", F.transform("_exp", lambda e: F.struct(
         e["label"].alias("label"), (e["p"] / F.col("_sum")).alias("p"))))
+    scored = scored.withColumn("rest", F.col("_each") * F.greatest(zero, "rest_prior") / F.col("_sum"))
     # Probabilities equal to nine digits are a tie: the smallest label wins.
-    best = F.array_min(F.transform("posterior", lambda e: F.struct(
+    runner = F.struct(F.col("_rest_label").alias("label"), (F.col("_each") * F.col("_rest_top") / F.col("_sum")).alias("p"))
+    rivals = F.when(F.col("n_rest") > 0, F.concat("posterior", F.array(runner))).otherwise(F.col("posterior"))
+    best = F.array_min(F.transform(rivals, lambda e: F.struct(
         (-F.round(e["p"], 9)).alias("n"), e["label"].alias("label"), e["p"].alias("p"))))
-    return scored.select(*cluster, *([without] if without else []), "n_voters", "posterior", "tally",
+    return scored.select(*cluster, *([without] if without else []), "n_voters", "posterior", "tally", "rest", "rest_prior",
                          best["label"].alias("label"), best["p"].alias("confidence"))
 
 
+def full_posterior(fused: DataFrame, priors: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
+    """A row per cluster and label of the vocabulary or the votes, (cluster, label, p): as many rows as clusters times labels."""
+    cluster = [*item, *CLUSTER]
+    listed = fused.select(*cluster, F.inline("posterior"))
+    named = F.transform("posterior", lambda e: e["label"])
+    others = fused.withColumn("_named", named).crossJoin(priors.select("label", F.greatest(F.lit(EPS), "prior").alias("_prior")).withColumnRenamed("label", "_label")).where(
+        ~F.array_contains("_named", F.col("_label")))
+    return listed.unionByName(others.select(*cluster, F.col("_label").alias("label"), (F.col("rest") * F.col("_prior") / F.col("rest_prior")).alias("p")))
+
+
 def fuse_boxes(votes: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
     """Weighted mean box, upper-median box and mean IoU to the median per cluster.
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -399,31 +400,74 @@ def overlapping_objects(objects: DataFrame, key: str = "cluster_id", item: Seque
 
 # ---------------------------------------------------------------- transitive merge
 
-def _merge_group(pdf: pd.DataFrame, threshold: float) -> list[tuple]:
-    """Grow each unclaimed box, in order, by every unclaimed box it overlaps, until nothing changes."""
-    boxes = pdf[list(BOX)].to_numpy(float)
-    counts = pdf["n"].to_numpy()
-    free = list(range(len(boxes)))
-    out = []
-    while free:
-        cur, total = boxes[free[0]].copy(), int(counts[free[0]])
-        free = free[1:]
-        grew = True
-        while grew:
-            grew, rest = False, []
-            for j in free:
-                b = boxes[j]
-                w = min(cur[2], b[2]) - max(cur[0], b[0])
-                h = min(cur[3], b[3]) - max(cur[1], b[1])
-                inter = max(0.0, w) * max(0.0, h)
-                union = (cur[2] - cur[0]) * (cur[3] - cur[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-                if union > 0 and inter / union > threshold:
-                    cur = [min(cur[0], b[0]), min(cur[1], b[1]), max(cur[2], b[2]), max(cur[3], b[3])]
-                    total += int(counts[j])
-                    grew = True
-                else:
-                    rest.append(j)
-            free = rest
+def _merge_group(boxes: np.ndarray, counts: np.ndarray, threshold: float) -> list[tuple]:
+    """Grow each unclaimed box, in order, by every unclaimed box it overlaps, until nothing changes.
+
+    Boxes lie in the cell of their centre on the level of their size. An envelope asks only the cells where a box of
+    that IoU may be, and takes all boxes in order up to the one that makes it grow.
+    """
+    sides = np.maximum(boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1])
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    steps = math.ceil(math.log2(1 / threshold))
+    usable = (sides > 0) & np.isfinite(sides)
+    level = np.zeros(len(boxes), dtype=np.int64)
+    level[usable] = np.ceil(np.log2(sides[usable]))
+    size = np.exp2(level)
+    cell = np.floor((boxes[:, :2] + boxes[:, 2:]) / 2 / size[:, None])
+    cells: dict[int, dict[tuple[float, float], list[int]]] = {}
+    for i in np.flatnonzero(usable).tolist():
+        cells.setdefault(int(level[i]), {}).setdefault((cell[i, 0], cell[i, 1]), []).append(i)
+    grid = {n: {c: np.array(m) for c, m in at.items()} for n, at in cells.items()}
+    free, out = np.ones(len(boxes), dtype=bool), []
+
+    def around(cur: np.ndarray) -> np.ndarray:
+        side = max(cur[2] - cur[0], cur[3] - cur[1])
+        found = []
+        if side > 0:
+            own = math.ceil(math.log2(side))
+            for n in range(own - steps, own + steps + 1):
+                at = grid.get(n)
+                if not at:
+                    continue
+                width, reach = 2.0**n, (2.0**n + 2.0**own) / 2
+                (ax, bx), (ay, by) = [[math.floor(((cur[k] + cur[k + 2]) / 2 + s * reach) / width) for s in (-1, 1)] for k in (0, 1)]
+                ask = ((x, y) for x in range(ax, bx + 1) for y in range(ay, by + 1)) if (bx - ax + 1) * (by - ay + 1) < len(at) else (
+                    c for c in at if ax <= c[0] <= bx and ay <= c[1] <= by)
+                for c in ask:
+                    members = at.get(c)
+                    if members is not None and len(members):
+                        # Claimed boxes leave their cell for good.
+                        at[c] = members = members[free[members]]
+                        found.append(members)
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
+    for i in range(len(boxes)):
+        if not free[i]:
+            continue
+        free[i] = False
+        cur, total, last, grew = boxes[i].copy(), int(counts[i]), -1, False
+        near = around(cur)
+        while True:
+            # The rest of this pass, with the envelope as it is now.
+            rest = near[(near > last) & free[near]]
+            b = boxes[rest]
+            inter = np.maximum(0.0, np.minimum(cur[2], b[:, 2]) - np.maximum(cur[0], b[:, 0])) * np.maximum(0.0, np.minimum(cur[3], b[:, 3]) - np.maximum(cur[1], b[:, 1]))
+            union = (cur[2] - cur[0]) * (cur[3] - cur[1]) + area[rest] - inter
+            hits = rest[(union > 0) & (inter > 0) & (inter / np.where(union > 0, union, 1.0) > threshold)]
+            if len(hits):
+                h = boxes[hits]
+                beyond = np.flatnonzero((h[:, :2] < cur[:2]).any(axis=1) | (h[:, 2:] > cur[2:]).any(axis=1))
+                taken = hits[: beyond[0] + 1] if len(beyond) else hits
+                free[taken], grew = False, True
+                total += int(counts[taken].sum())
+                if len(beyond):
+                    far = boxes[taken[-1]]
+                    cur, last = np.r_[np.minimum(cur[:2], far[:2]), np.maximum(cur[2:], far[2:])], taken[-1]
+                    near = around(cur)
+                    continue
+            if not grew:
+                break
+            last, grew = -1, False
         out.append((*map(float, cur), total))
     return out
 
@@ -432,17 +476,18 @@ def merge_boxes(df: DataFrame, group: Sequence[str] = ("item_id",), threshold: f
                 limit: int = GROUP_LIMIT) -> DataFrame:
     """Merge boxes into growing envelopes; ``n`` counts are summed.
 
-    The result depends on the box order, so each item is one unit of work. Items
+    The result depends on the box order, so each item is one unit of work, near linear in its boxes. Items
     above ``limit`` boxes are first cut into parts that cannot touch: an empty
     vertical or horizontal strip between two runs of boxes also separates their
-    envelopes.
+    envelopes. ``threshold`` must be above 0.
     """
     group = list(group)
     schema = df.select(*group, *BOX, F.col("n").cast("bigint").alias("n")).schema
 
     def run(rows: DataFrame, keys: list[str]) -> DataFrame:
         def one(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            merged = pd.DataFrame(_merge_group(pdf.sort_values(order), threshold), columns=[*BOX, "n"])
+            rows = pdf.sort_values(order)
+            merged = pd.DataFrame(_merge_group(rows[list(BOX)].to_numpy(float), rows["n"].to_numpy(), threshold), columns=[*BOX, "n"])
             for g in reversed(group):
                 merged.insert(0, g, pdf[g].iloc[0])
             return merged

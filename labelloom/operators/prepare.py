@@ -12,7 +12,7 @@ from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.functions.text import hash_bucket, hash_fraction, hash_order
 from labelloom.operators.reward import hamilton
-from labelloom.scale import cut_to, ranked, running_total
+from labelloom.scale import cut_to, exact_quantile, first_rows, ranked, running_total
 from labelloom.session import cut
 
 # ---------------------------------------------------------------- splits and samples
@@ -43,7 +43,7 @@ def sample_participants(people: DataFrame, exclude: DataFrame, n: int, seed: str
 
 def top_participants(people: DataFrame, quantile: float, n: int, seed: str) -> DataFrame:
     """``n`` trusted participants with a stake at or above the quantile of all stakes."""
-    level = people.agg(F.percentile("stake", quantile).alias("_q"))
+    level = exact_quantile(people, "stake", F.lit(quantile), name="_q")
     rich = people.crossJoin(F.broadcast(level)).where(F.col("stake") >= F.col("_q")).select("annotator_id")
     trusted = people.where("trusted").select("annotator_id")
     return sample_rows(rich.intersect(trusted), "annotator_id", n, seed)
@@ -59,13 +59,15 @@ def choose_golden_rich(items: DataFrame, n_golden: int, n_raw: int, seed: str, m
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows: an equal share per stratum (at least one), topped up from the rest in seeded order."""
+    """``n`` rows: an equal share per stratum (at least one), topped up from the rest in seeded order.
+
+    Only the first n rows of a stratum can be taken, and tasks keep no more than that before the shuffle.
+    """
     order = [hash_order(seed, F.col(key)), F.col(key)]
     strata = df.select(stratum).distinct().agg(F.count("*").alias("_k"))
-    row = ranked(df, [stratum], order, "_r").crossJoin(F.broadcast(strata))
-    first = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_k")))
-    row = row.withColumn("_late", (~first).cast("int"))
-    return ranked(row.drop("_r", "_k"), [], [F.col("_late"), *order], "_r").where(F.col("_r") <= n).drop("_r", "_late")
+    row = first_rows(df, [stratum], order, n, "_r").crossJoin(F.broadcast(strata))
+    late = (F.col("_r") > F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_k")))).cast("int")
+    return cut_to(row.withColumn("_late", late), [], [F.col("_late"), *order], n).drop("_r", "_k", "_late")
 
 
 def inject_golden(items: DataFrame, size: int, n_golden: int, seed: str) -> DataFrame:

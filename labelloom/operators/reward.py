@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.config import STRICT_REWARD, IncentiveConfig, RewardConfig
 from labelloom.functions.geometry import finite, ramp
-from labelloom.scale import ranked, running_total
+from labelloom.scale import exact_quantile, ranked, running_total
 
 U16 = 65535
 
@@ -175,27 +175,14 @@ def process_weights(weights: DataFrame, limit: float, min_count: int, exclude: f
     thin = ~flat & (F.col("_pos") < min_count)
     usual = row.where(~flat & ~thin & pos)
     if exclude > 0:
-        q = F.least(F.lit(exclude), F.greatest(F.lit(0), F.col("_pos") - min_count) / F.col("_pos"))
-        usual = usual.join(_quantiles(usual.withColumn("_q", q), by), by).where(F.col("weight") >= F.col("_low"))
+        q = F.least(F.lit(exclude), F.greatest(F.lit(0), F.col("n") - min_count) / F.col("n"))
+        usual = usual.join(exact_quantile(usual, "weight", q, by, "_low"), by).where(F.col("weight") >= F.col("_low"))
     shaped = usual.select(*by, key, "weight").unionByName(
         row.where(thin).select(*by, key, (F.col("weight") + 1e-5).alias("weight")))
     even = row.where(flat).select(*by, key, (1.0 / F.col("_all")).alias("weight"))
     return cap_weights(shaped, limit, by, key).unionByName(even)
 
 
-def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Linear-interpolated quantile ``_q`` of ``weight`` per group, by value counts.
-
-    Equal weights collapse before the shuffle; positions come from a ranked pass.
-    """
-    place = ranked(rows, by, [F.col("weight")], "_r")
-    at = F.col("_q") * (F.col("_pos") - 1)
-    low, high = F.floor(at) + 1, F.ceil(at) + 1
-    near = place.where((F.col("_r") == low) | (F.col("_r") == high))
-    part = F.first(at - F.floor(at))
-    return near.groupBy(*by).agg((F.min("weight") + part * (F.max("weight") - F.min("weight"))).alias("_low"))
-
-
 def quantize_weights(weights: DataFrame, by: Sequence[str] = ("round",), key: str = "annotator_id") -> DataFrame:
     """16-bit integer weights relative to the largest of the group, half-even, zeros dropped."""
     top = weights.groupBy(*by).agg(F.max("weight").alias("_m"))

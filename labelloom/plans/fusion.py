@@ -129,7 +129,7 @@ def posterior(t, votes, **kw):
 
 @query("label_posterior", f"{POST_SQL} SELECT item_id, lead_annotator, lead_seq, label, round(p, 6) AS p FROM post")
 def label_posterior(t):
-    rows = posterior(t, votes_of(t)).select(*KEY, F.inline("posterior"))
+    rows = U.full_posterior(posterior(t, votes_of(t)), U.class_priors(t.golden, t.items), ITEM)
     return rows.select(*KEY, "label", R6("p"))
 
 

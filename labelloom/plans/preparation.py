@@ -310,9 +310,19 @@ def cluster_points(t):
     return P.cluster_points(t.points, 22.0, width=500, height=500)
 
 
-@query("merge_boxes")
+# One step takes the next box of a pass, starts another pass after one that grew, or goes on with the next unclaimed box.
+@query("merge_boxes", f"""{Q.with_tables('annotations')}, b AS (SELECT item_id, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY seq) AS q FROM annotations GROUP BY 1),
+  s AS (SELECT item_id, q[1] AS cur, 1 AS n, q[2:] AS todo, q[1:0] AS kept, false AS grew FROM b
+   UNION ALL SELECT item_id,
+     CASE WHEN len(todo) > 0 THEN CASE WHEN hit THEN {{'x1': least(cur.x1, e.x1), 'y1': least(cur.y1, e.y1), 'x2': greatest(cur.x2, e.x2), 'y2': greatest(cur.y2, e.y2)}} ELSE cur END
+       WHEN grew THEN cur ELSE kept[1] END,
+     CASE WHEN len(todo) > 0 THEN n + hit::INT WHEN grew THEN n ELSE 1 END,
+     CASE WHEN len(todo) > 0 THEN todo[2:] WHEN grew THEN kept ELSE kept[2:] END,
+     CASE WHEN len(todo) > 0 THEN CASE WHEN hit THEN kept ELSE list_append(kept, e) END ELSE kept[1:0] END,
+     CASE WHEN len(todo) > 0 THEN grew OR hit ELSE false END
+   FROM (SELECT *, coalesce({Q.iou('cur', 'e')} > 0.2, false) AS hit FROM (SELECT *, todo[1] AS e FROM s)) WHERE len(todo) > 0 OR grew OR len(kept) > 0)
+  SELECT item_id, cur.x1 AS x1, cur.y1 AS y1, cur.x2 AS x2, cur.y2 AS y2, n FROM s WHERE len(todo) = 0 AND NOT grew""")
 def merge_boxes(t):
-    """Order dependent, so it has no SQL twin; the tests compare it with a direct walk."""
     boxes = t.annotations.select("item_id", "seq", "x1", "y1", "x2", "y2", F.lit(1).alias("n"))
     return M.merge_boxes(boxes, threshold=0.2)
 

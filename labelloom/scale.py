@@ -3,6 +3,7 @@
 * ``split_hot``  - separate the few keys whose groups are too large for one task.
 * ``ranked``     - exact row numbers inside groups of any size.
 * ``cut_to``     - the first rows of each group.
+* ``exact_quantile`` - quantiles of groups of any size.
 """
 
 from __future__ import annotations
@@ -146,3 +147,35 @@ def hash_sums(fields: Sequence[str]) -> list[Column]:
         h = F.xxhash64(F.lit(salt), *fields)
         out += [F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))]
     return [c.alias(f"_h{i}") for i, c in enumerate([*out, F.count("*")])]
+
+
+# Intervals that a selection cuts a range into at a time.
+_CELLS = 4096
+
+
+def exact_quantile(df: DataFrame, value: str, q: Column, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
+    """Linear-interpolated quantile ``q`` of ``value`` per group; ``q`` may read the group's row count ``n``.
+
+    Selection by refined intervals: the range of a group is cut into equal cells, rows are counted per cell, and only the
+    cell that holds the wanted rank is looked at again, between its own least and greatest value. Counts are
+    combined before the shuffle and no buffer grows with the number of values; a round leaves about one cell in _CELLS.
+    Null and NaN values take no part; a group of nothing else has no row, all rows together have one with null.
+    """
+    by = list(by)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("n > 0")
+    at = (q * (F.col("n") - 1)).alias("_at")
+    wanted = cut(ends.select(*by, at, "_lo", "_hi").select(*by, "_at", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.explode(
+        F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_k")))
+    while not (left := wanted.where("_lo < _hi")).isEmpty():
+        # At most two intervals per group; halves keep the difference of the ends finite.
+        spans = left.select(*by, "_k", "_lo", "_hi", "_below", "_at")
+        near = (rows.join(spans, by) if by else rows.crossJoin(F.broadcast(spans))).where("_v >= _lo AND _v <= _hi")
+        cell = F.least(F.lit(_CELLS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * _CELLS))
+        counts = near.groupBy(*by, "_k", "_at", "_below", cell.alias("_cell")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*by, "_k").orderBy("_cell"))
+        hit = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k")))
+        found = hit.select(*by, "_at", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), "_k")
+        wanted = cut(wanted.where("_lo >= _hi").unionByName(found))
+    part = F.first(F.col("_at") - F.floor("_at"))
+    return wanted.groupBy(*by).agg((F.min("_lo") + part * (F.max("_lo") - F.min("_lo"))).alias(name))
