@@ -32,11 +32,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MISS = 0.05
 # Members of a group that are all compared, those that all further ones are compared with, and pairs written per member.
-NEAR, HEAD, PARTNERS = 4096, 64, 8
+NEAR, HEAD, PARTNERS = 4096, 64, 2
+# Of all its pairs a set keeps so many at first, with the smallest others; the rest wait until the classes are known.
+FIRST = 3
 # A group of a variant has about so many members, as a power of two: more of them need fewer partial fingerprints.
-FILL = 5
+FILL = 4
 # Of the 64 check bits a pair at the least similarity differs in 10 on average, with a deviation of 3; unrelated sets in 32.
-CHECK_BITS = 18
+CHECK_BITS = 16
 # Of all bits such a pair differs in 15 %, unrelated sets in 50 %; with 150 bits the deviations are 3 % and 4 %.
 ALL_BITS = 0.28
 # Bits of a key above the variant, and the flip number that means none.
@@ -268,7 +270,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
     sorted_rows = rows.repartition(tasks, F.shiftright("key", _FLIP)).sortWithinPartitions(F.shiftright("key", _FLIP), "node")
     met = stored(sorted_rows.mapInArrow(_collide, "a long, b long, key long, node long, check long"), "collisions")
     bits = 64 + width * tables
-    pairs = stored(_near_prints(met.where("a is not null").select("a", "b").distinct(), nodes, bits), "near-pairs")
+    met_pairs = met.where("a is not null").select("a", "b")
+    # A variant writes at most PARTNERS pairs per member, so a list is as long as a set has variants.
+    listed = stored(met_pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all")), "partners")
+    first = listed.select(F.explode(F.slice("all", 1, FIRST)).alias("a"), "b")
+    pairs = stored(_near_prints(first, nodes, bits), "near-pairs")
     sets = stored(_sets(pairs, nodes, docs, shingle), "shingle-sets")
     # First one pair per node, with the smallest it met; members of a dense group then share a hub and need no further pairs.
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -278,8 +284,12 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
         "coalesce(ha, a) != coalesce(hb, b)").select("a", "b")
     edges = stored(star.union(_verified(rest, sets, similarity)), "near-links")
     roots = stored(components(edges, name="near-copies"), "near-classes")
+    # What waited and is not one class by now, and what crowded groups still have to compare.
+    waiting = listed.where(F.size("all") > FIRST).join(roots.toDF("b", "rb"), "b", "left").select(
+        F.explode(F.slice("all", FIRST + 1, F.size("all"))).alias("a"), "b", "rb").join(roots.toDF("a", "ra"), "a", "left").where(
+        "coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
     members = met.where("key is not null").select("key", "node", "check")
-    more = stored(_near_prints(_meet_again(members, roots, pairs), nodes, bits), "near-pairs")
+    more = stored(_near_prints(_meet_again(members, roots, first).union(waiting).distinct(), nodes, bits), "near-pairs")
     if more.isEmpty():
         return roots
     late = _verified(more, _sets(more, nodes, docs, shingle), similarity)
