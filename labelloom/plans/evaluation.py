@@ -9,7 +9,7 @@ from labelloom.operators import evaluate as E
 from labelloom.operators import retention as N
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
-from labelloom.plans.scoring import EDGES, R6, _filled, golden_annotations, MISSING_SQL
+from labelloom.plans.scoring import EDGES, MISSING_SQL, OUTLINE_EDGES, R6, _filled, golden_annotations
 from labelloom.sources.readers import parse_round_log
 
 BASE = Q.with_tables("annotations", "golden", "items")
@@ -176,7 +176,7 @@ def next_untried(t):
     return E.next_untried(tries, ["view", "click", "error", "signup"])
 
 
-@query("geometry_metrics", f"""{BASE}, mine AS (SELECT a.* FROM annotations a JOIN items i USING (item_id) WHERE i.role = 'golden'),
+METRICS_SQL = f"""{BASE}, mine AS (SELECT a.* FROM annotations a JOIN items i USING (item_id) WHERE i.role = 'golden'),
   {EDGES}, e30 AS (SELECT * FROM edges WHERE iou >= 0.3), {Q.greedy('m', 'e30', ['round_num', 'item_id', 'annotator_id'])},
   hit AS (SELECT annotator_id, count(*) AS matched, sum(iou) AS s FROM m GROUP BY 1),
   per AS (SELECT annotator_id, count(*) AS n, coalesce(avg(CASE shape WHEN 'rect' THEN 4 WHEN 'octagon' THEN 8 WHEN 'star' THEN 14 END), 4.0) AS mv,
@@ -185,12 +185,21 @@ def next_untried(t):
     (SELECT item_id, count(*) AS k FROM golden GROUP BY 1) USING (item_id) GROUP BY 1)
   SELECT annotator_id, round_even(coalesce(s, 0) / greatest(1, t), 4) AS mean_iou, round_even((t - coalesce(matched, 0)) / greatest(1, t), 4) AS miss_rate,
     round_even((n - coalesce(matched, 0)) / n, 4) AS false_rate, round_even(mv, 1) AS mean_vertices, round_even(br, 4) AS box_ratio
-  FROM per JOIN tr USING (annotator_id) LEFT JOIN hit USING (annotator_id)""")
+  FROM per JOIN tr USING (annotator_id) LEFT JOIN hit USING (annotator_id)"""
+
+
+@query("geometry_metrics", METRICS_SQL)
 def geometry_metrics(t):
     got = E.geometry_metrics(golden_annotations(t), t.golden, t.items)
     return got.select("annotator_id", "mean_iou", "miss_rate", "false_rate", "mean_vertices", "box_ratio")
 
 
+@query("geometry_metrics_outlines", METRICS_SQL.replace(EDGES, OUTLINE_EDGES))
+def geometry_metrics_outlines(t):
+    got = E.geometry_metrics(golden_annotations(t), t.golden_outlined, t.items)
+    return got.select("annotator_id", "mean_iou", "miss_rate", "false_rate", "mean_vertices", "box_ratio")
+
+
 @query("class_skew", f"{Q.with_tables('annotations')} SELECT annotator_id, lower(trim(label)) AS label, count(*) AS n FROM annotations GROUP BY 1, 2")
 def class_skew(t):
     return E.class_skew(t.annotations)

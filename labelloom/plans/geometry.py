@@ -11,7 +11,7 @@ from labelloom.operators import match as M
 from labelloom.operators import score as S
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
-from labelloom.plans.scoring import BASE, EDGES, R6, golden_annotations
+from labelloom.plans.scoring import BASE, EDGES, OUTLINE_EDGES, R6, golden_annotations
 from labelloom.sources import readers as R
 from labelloom.sources import sinks as K
 
@@ -34,21 +34,21 @@ def crude_boxes(t):
     return S.outline_quality(t.outlined).select(*KEY, "is_box", "is_spiky")
 
 
-@query("shoelace_expressions", f"""{Q.with_tables('annotations')} SELECT item_id, round(sum(CASE shape WHEN 'octagon' THEN {Q.OCTA_AREA} ELSE (x2 - x1) * (y2 - y1) END), 3) AS area,
-   round(sum(CASE shape WHEN 'octagon' THEN {Q.OCTA_PERIMETER} ELSE 2 * (x2 - x1 + y2 - y1) END), 3) AS length FROM annotations WHERE shape IN ('octagon', 'rect') GROUP BY 1""")
+@query("shoelace_expressions", f"""{Q.with_tables('annotations')} SELECT item_id, round(sum(CASE shape WHEN 'octagon' THEN {Q.OCTA_AREA} WHEN 'star' THEN {Q.STAR_AREA}
+   WHEN 'rect' THEN (x2 - x1) * (y2 - y1) END), 3) AS area, round(sum(CASE shape WHEN 'octagon' THEN {Q.OCTA_PERIMETER} WHEN 'star' THEN {Q.STAR_PERIMETER}
+   WHEN 'rect' THEN 2 * (x2 - x1 + y2 - y1) END), 3) AS length, count(*) AS n FROM annotations GROUP BY 1""")
 def shoelace_expressions(t):
-    df = t.outlined.where("shape IN ('octagon', 'rect')")
-    return df.groupBy("item_id").agg(F.round(F.sum(G.shoelace(F.col("polygon"))), 3).alias("area"),
-                                     F.round(F.sum(G.perimeter(F.col("polygon"))), 3).alias("length"))
+    outline = F.col("polygon")
+    return t.outlined.groupBy("item_id").agg(
+        F.round(F.sum(F.when(outline.isNotNull(), G.shoelace(outline))), 3).alias("area"),
+        F.round(F.sum(F.when(outline.isNotNull(), G.perimeter(outline))), 3).alias("length"), F.count("*").alias("n"))
 
 
-@query("raster_iou")
+@query("raster_iou", f"""{BASE}, {OUTLINE_EDGES} SELECT item_id, annotator_id, seq, gt, round(iou, 6) AS raster_iou FROM op_i
+   WHERE {Q.iou("{'x1': ax1, 'y1': ay1, 'x2': ax2, 'y2': ay2}", "{'x1': bx1, 'y1': by1, 'x2': bx2, 'y2': by2}")} >= 0.3""")
 def raster_iou(t):
-    """Mask overlap of annotation outlines with octagon truth; compared with a direct fill in the tests."""
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    corners = [(.3, 0), (.7, 0), (1, .3), (1, .7), (.7, 1), (.3, 1), (0, .7), (0, .3)]
-    truth = t.golden.withColumn("poly", F.array(*[G.point(F.col("x1") + w * a, F.col("y1") + h * b) for a, b in corners]))
-    pairs = M.iou_join(t.outlined.withColumnRenamed("polygon", "poly"), truth, ["item_id"], 0.3)
+    """Overlap of annotation outlines with those of the truth; of the boxes where one has none."""
+    pairs = M.iou_join(t.outlined.withColumnRenamed("polygon", "poly"), t.golden_outlined.withColumnRenamed("polygon", "poly"), ["item_id"], 0.3)
     keep = pairs.select("item_id", F.col("a_annotator_id").alias("annotator_id"), F.col("a_seq").alias("seq"), F.col("b_gt").alias("gt"),
                         "a_poly", "b_poly", *[p + c for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2")])
     return G.raster_iou(keep).select("item_id", "annotator_id", "seq", "gt", R6("raster_iou"))

@@ -19,6 +19,11 @@ EDGES = f"""edges AS (SELECT a.round_num, a.item_id, a.annotator_id, g.gt, a.seq
   FROM annotations a JOIN golden g ON a.item_id = g.item_id
    AND a.x1 < g.x2 AND g.x1 < a.x2 AND a.y1 < g.y2 AND g.y1 < a.y2)"""
 EDGES_50 = EDGES + ", edges50 AS (SELECT * FROM edges WHERE iou >= 0.5)"
+# The same edges measured by the outlines of both sides, where both have one.
+OUTLINE_EDGES = f"""op_a AS (SELECT *, {Q.ANNOTATION_POINTS} AS p FROM annotations), op_g AS (SELECT *, {Q.GOLDEN_POINTS} AS q FROM golden),
+op_p AS (SELECT row_number() OVER () AS pid, a.round_num, a.item_id, a.annotator_id, g.gt, a.seq, p, q, {', '.join(f'a.{c} AS a{c}, g.{c} AS b{c}' for c in ('x1', 'y1', 'x2', 'y2'))}
+  FROM op_a a JOIN op_g g ON a.item_id = g.item_id AND a.x1 < g.x2 AND g.x1 < a.x2 AND a.y1 < g.y2 AND g.y1 < a.y2),
+{Q.outline_overlap('op_i', 'op_p')}, edges AS (SELECT round_num, item_id, annotator_id, gt, seq, iou FROM op_i)"""
 BASE = Q.with_tables("annotations", "golden", "items")
 
 
@@ -62,6 +67,18 @@ _match_query("greedy_match_same_label", "pred", 0.5, True)
 _match_query("greedy_match_pred", "pred", 0.5, False)
 
 
+def _outline_match_query(name, min_iou):
+    @query(name, f"""{BASE}, {OUTLINE_EDGES}, fits AS (SELECT * FROM edges WHERE iou >= {min_iou}), {Q.greedy('m', 'fits', SUB)}
+      SELECT round_num, item_id, annotator_id, gt, seq, round(iou, 6) AS iou FROM m""")
+    def run(t):
+        got = M.greedy_match(t.golden_outlined, golden_annotations(t), SUB, min_iou=min_iou)
+        return got.select(*SUB, "gt", "seq", R6("iou"))
+
+
+_outline_match_query("greedy_match_outlines", 0.5)
+_outline_match_query("greedy_match_outlines_diagnostic", 0.3)
+
+
 @query("best_match", f"""{BASE}, {EDGES_50} SELECT round_num, item_id, annotator_id, seq,
    arg_max(gt, iou * 1000 - gt / 1000.0) AS gt, round(max(iou), 6) AS iou FROM edges50 GROUP BY ALL""")
 def best_match(t):
@@ -150,6 +167,11 @@ def fidelity(t):
     return _fid_out(S.score_fidelity(golden_annotations(t), t.golden, t.items))
 
 
+@query("fidelity_outlines", fidelity_sql().replace(EDGES, OUTLINE_EDGES) + FID_SELECT)
+def fidelity_outlines(t):
+    return _fid_out(S.score_fidelity(golden_annotations(t), t.golden_outlined, t.items))
+
+
 @query("fidelity_without_audit", fidelity_sql(False) + FID_SELECT)
 def fidelity_without_audit(t):
     return _fid_out(S.score_fidelity(golden_annotations(t), t.golden, t.items, FidelityConfig(audit=False)))
@@ -255,6 +277,15 @@ def confusion_counts(t):
                             "all_n", "gt_seen")
 
 
+@query("confusion_outlines", COUNTS_SQL.replace(EDGES, OUTLINE_EDGES) + """ SELECT round_num, annotator_id, label, tp, fp, fn, round(iou_sum, 5) AS iou_sum,
+  iou_n, round(all_iou, 5) AS all_iou, all_n, gt_seen FROM counts""")
+def confusion_outlines(t):
+    anns = golden_annotations(t)
+    got = S.confusion_counts(anns, t.golden_outlined, t.items, S.audit_geometry(anns))
+    return got.select("round_num", "annotator_id", "label", "tp", "fp", "fn", F.round("iou_sum", 5).alias("iou_sum"), "iou_n",
+                      F.round("all_iou", 5).alias("all_iou"), "all_n", "gt_seen")
+
+
 LAST_ROUND = 2001
 DECAY_SQL = COUNTS_SQL + f""", decayed AS (SELECT annotator_id, label, """ + ", ".join(
     f"sum({c} * power(0.95, {LAST_ROUND} - round_num)) AS {c}" for c in S.COUNTS) + f""" FROM counts

@@ -127,3 +127,36 @@ def audit(name: str, rows: str, group: list[str]) -> str:
     CASE WHEN spiky_count > 0 AND sp = 0 THEN 'spiky_erratic_polygons (' || spiky_count || '/' || total || ', '
       || printf('%.1f', spiky_count * 100.0 / total) || '%)' END), '') AS reason
   FROM {name}_p)"""
+
+
+_OCTA_POINTS = ", ".join(f"{{'x': x1 + (x2 - x1) * {a}::DOUBLE, 'y': y1 + (y2 - y1) * {b}::DOUBLE}}" for a, b in (
+    (0.3, 0.0), (0.7, 0.0), (1.0, 0.3), (1.0, 0.7), (0.7, 1.0), (0.3, 1.0), (0.0, 0.7), (0.0, 0.3)))
+_RADIUS = f"(CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE {STAR_INNER}::DOUBLE END)"
+# Points of an annotation's outline, and of a golden object's.
+ANNOTATION_POINTS = f"""CASE shape WHEN 'rect' THEN [{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y1}}, {{'x': x2, 'y': y2}}, {{'x': x1, 'y': y2}}]
+  WHEN 'octagon' THEN [{_OCTA_POINTS}] WHEN 'star' THEN list_transform(range(0, {STAR_POINTS}), lambda i: {{
+    'x': (x1 + x2) / 2 + (x2 - x1) / 2 * {_RADIUS} * cos(i * {STEP}::DOUBLE), 'y': (y1 + y2) / 2 + (y2 - y1) / 2 * {_RADIUS} * sin(i * {STEP}::DOUBLE)}}) END"""
+GOLDEN_POINTS = f"CASE WHEN (item_id + gt) % 5 <> 4 THEN [{_OCTA_POINTS}] END"
+
+
+def outline_overlap(name: str, pairs: str) -> str:
+    """CTEs ``{name}``: ``pairs`` (pid, p, q: lists of points; ax1.. and bx1..: boxes) with iou by pixel centres.
+
+    In every pixel row of the joint box the edges of both outlines are events at the first pixel beyond their crossing;
+    between two events an outline covers where it has met an odd number of its own.
+    """
+    def edges(which: int, points: str) -> str:
+        return f"""SELECT pid, {which} AS which, w, h, {points}[i].x - x0 AS px, {points}[i].y - y0 AS py, {points}[i % len({points}) + 1].x - x0 AS qx, {points}[i % len({points}) + 1].y - y0 AS qy
+          FROM {name}_j, unnest(range(1, len({points}) + 1)) AS u(i) WHERE p IS NOT NULL AND q IS NOT NULL"""
+
+    inter = "greatest(0.0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0.0, least(ay2, by2) - greatest(ay1, by1))"
+    area = "(ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1)"
+    return f"""{name}_j AS (SELECT *, least(ax1, bx1) AS x0, least(ay1, by1) AS y0, ceil(greatest(ax2, bx2) - least(ax1, bx1)) AS w, ceil(greatest(ay2, by2) - least(ay1, by1)) AS h FROM {pairs}),
+{name}_e AS ({edges(0, 'p')} UNION ALL {edges(1, 'q')}),
+{name}_c AS (SELECT pid, which, r, greatest(0, least(w, ceil(px + (r + 0.5 - py) * (qx - px) / (qy - py) - 0.5))) AS c FROM {name}_e,
+  unnest(range(greatest(0, ceil(least(py, qy) - 0.5))::BIGINT, least(h, ceil(greatest(py, qy) - 0.5))::BIGINT)) AS u(r)),
+{name}_n AS (SELECT pid, lead(c) OVER o - c AS len, sum((which = 0)::INT) OVER o % 2 = 1 AS a, sum((which = 1)::INT) OVER o % 2 = 1 AS b FROM {name}_c
+  WINDOW o AS (PARTITION BY pid, r ORDER BY c, which ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name}_s AS (SELECT pid, sum(len) FILTER (a AND b) AS both_, sum(len) FILTER (a OR b) AS either_ FROM {name}_n GROUP BY pid),
+{name} AS (SELECT j.*, CASE WHEN p IS NULL OR q IS NULL THEN {inter} / ({area} - {inter}) WHEN coalesce(either_, 0) = 0 THEN 0.0 ELSE coalesce(both_, 0) / either_ END AS iou
+  FROM {name}_j j LEFT JOIN {name}_s s ON j.pid = s.pid)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
 from labelloom.plans.scoring import R6
+from labelloom.sources import sinks as K
 from labelloom.streaming import jobs as J
 
 
@@ -105,20 +106,35 @@ def _score_rows(t, reset="false"):
     return t.round_scores.select("annotator_id", F.dayofmonth("round").alias("round"), "reward", F.expr(reset).alias("reset"))
 
 
+def _averages(stream, name, **kw):
+    """Newest row per annotator and round of the keyed state; late rows apart."""
+    return J.newest(J.drain(J.score_averages(stream, **kw), name, "update", J.ROCKSDB).where("NOT late").drop("late"), ["annotator_id", "round"])
+
+
 @query("ema_stream", EMA_SQL)
 def ema_stream(t):
-    # Rounds in three parts, the last ones first: out of order between batches.
+    # Rounds in blocks of ten, odd ones after even ones: out of order between batches, and earlier blocks close.
+    rows = _score_rows(t)
+    parts = [rows.where(f"round BETWEEN {lo} AND {lo + 9} AND round % 2 = {odd}") for lo in (1, 11, 21) for odd in (0, 1)]
+    return J.ema_asof(_averages(J.staged(parts, "scores"), "ema", open_rounds=10), 30).select("annotator_id", R6("ema"))
+
+
+@query("late_scores", f"""{Q.with_tables('round_scores')}, n AS (SELECT annotator_id, day(round)::INT AS round, reward FROM round_scores),
+  m AS (SELECT annotator_id, max(round) AS top FROM n WHERE round > 5 GROUP BY 1) SELECT n.annotator_id, n.round, round(reward, 6) AS reward FROM n JOIN m USING (annotator_id) WHERE round <= 5 AND round <= top - 10""")
+def late_scores(t):
+    """Rounds that come after the newest ones have closed them."""
     rows = _score_rows(t)
-    parts = [rows.where(p) for p in ("round > 20", "round % 2 = 0 AND round <= 20", "round % 2 = 1 AND round <= 20")]
-    got = J.newest(J.drain(J.score_stream(J.staged(parts, "scores")), "ema", "update"), ["annotator_id", "round"])
-    return J.ema_asof(J.score_path(got), 30).select("annotator_id", R6("ema"))
+    stream = J.staged([rows.where("round > 5"), rows.where("round <= 5")], "scores")
+    got = J.drain(J.score_averages(stream, open_rounds=10), "late", "update", J.ROCKSDB)
+    return got.where("late").select("annotator_id", "round", R6("reward"))
 
 
 @query("score_delta_stream", f"""{Q.with_tables('round_scores')} SELECT annotator_id, day(round)::INT AS round, round(reward - coalesce(lag(reward) OVER (PARTITION BY annotator_id ORDER BY round), reward), 6) AS delta
    FROM round_scores""")
 def score_delta_stream(t):
-    rows = J.newest(J.drain(J.score_stream(J.as_stream(_score_rows(t), "scores")), "delta", "update"), ["annotator_id", "round"])
-    return J.score_path(rows).select("annotator_id", "round", R6("delta"))
+    rows = _score_rows(t)
+    parts = [rows.where("round > 12 AND round <= 20"), rows.where("round <= 12"), rows.where("round > 20")]
+    return _averages(J.staged(parts, "scores"), "delta", open_rounds=20).select("annotator_id", "round", R6("delta"))
 
 
 @query("identity_reset_stream", f"""{Q.with_tables('round_scores')}, r AS (SELECT annotator_id, day(round) AS i, reward AS v FROM round_scores WHERE day(round) > CASE WHEN annotator_id % 3 = 0 THEN 15 ELSE 0 END),
@@ -130,8 +146,8 @@ def identity_reset_stream(t):
     rows = _score_rows(t)
     control = rows.where("annotator_id % 3 = 0").select("annotator_id").distinct().selectExpr(
         "annotator_id", "15 AS round", "CAST(NULL AS DOUBLE) AS reward", "true AS reset")
-    got = J.newest(J.drain(J.score_stream(J.as_stream(rows.unionByName(control), "scores")), "reset", "update"), ["annotator_id", "round"])
-    return J.ema_asof(J.score_path(got), 30).select("annotator_id", R6("ema"))
+    got = _averages(J.as_stream(rows.unionByName(control), "scores"), "reset", open_rounds=30)
+    return J.ema_asof(got, 30).select("annotator_id", R6("ema"))
 
 
 @query("resume_plan", """WITH l AS (SELECT o_custkey AS task, CASE o_orderkey % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'dispatched' ELSE 'closed' END AS status,
@@ -144,3 +160,34 @@ def resume_plan(t):
         "o_custkey AS task", "CASE o_orderkey % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'dispatched' ELSE 'closed' END AS status",
         "unix_seconds(CAST(o_orderdate AS TIMESTAMP)) * 10000000 + o_orderkey AS at", "CASE WHEN o_orderkey % 50 = 0 THEN 'new' ELSE 'old' END AS fingerprint")
     return J.resume_plan(log, t.raw("customer").select(F.col("c_custkey").alias("task")), "old")
+
+
+@query("export_rounds", """SELECT 'set' || (l_suppkey % 3) AS dataset, 'batch_' || (l_linenumber % 4) AS batch, count(*) AS n, sum(l_orderkey)::BIGINT AS keys
+   FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL""")
+def export_rounds(t):
+    """Rounds exported in twos: one replayed after its export, one that broke off before its marker, and a last one that waits for its pair."""
+    rows = t.raw("lineitem").selectExpr("concat('set', l_suppkey % 3) AS dataset", "concat('batch_', l_linenumber % 4) AS batch", "CAST(l_orderkey AS STRING) AS value", "l_linenumber AS round")
+    path = J.stream_folder(t.spark, "export")
+    run = K.export_batches(path, 2)
+    parts = [rows.where(F.col("round") == n).drop("round") for n in range(1, 8)]
+    for number in (0, 1, 2, 3):
+        run(parts[number], number)
+    run(parts[3], 3)
+    # Runs that stopped after writing some rows, without their marker: one is repeated later, one never.
+    for number in (5, 7):
+        parts[5].limit(3).write.mode("overwrite").partitionBy("dataset", "batch").text(f"{path}/exports/round={number}")
+    for number in (4, 5, 6):
+        run(parts[number], number)
+    got = K.read_exports(t.spark, path)
+    return got.groupBy("dataset", "batch").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("bigint")).alias("keys"))
+
+
+@query("digest_files", """SELECT c_nationkey AS nation, sum(length(line) + 1)::BIGINT AS length, sha256(string_agg(line, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256
+   FROM (SELECT *, c_custkey || ' ' || c_mktsegment AS line FROM customer) GROUP BY 1""")
+def digest_files(t):
+    """Digests of files written from a given table, one per nation."""
+    path = J.stream_folder(t.spark, "files")
+    lines = t.raw("customer").select("c_nationkey", F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value"), "c_custkey")
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    got = K.digest_files(t.spark, path, "*.txt")
+    return got.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "length", "sha256")

@@ -115,6 +115,12 @@ POLYGON = f"""CAST(CASE shape
   END AS {POINTS})"""
 
 
+OCTAGON = f"""CAST(array(named_struct('x', x1 + (x2 - x1) * 0.3D, 'y', y1), named_struct('x', x1 + (x2 - x1) * 0.7D, 'y', y1),
+  named_struct('x', x2, 'y', y1 + (y2 - y1) * 0.3D), named_struct('x', x2, 'y', y1 + (y2 - y1) * 0.7D),
+  named_struct('x', x1 + (x2 - x1) * 0.7D, 'y', y2), named_struct('x', x1 + (x2 - x1) * 0.3D, 'y', y2),
+  named_struct('x', x1, 'y', y1 + (y2 - y1) * 0.7D), named_struct('x', x1, 'y', y1 + (y2 - y1) * 0.3D)) AS {POINTS})"""
+
+
 class Tables:
     """The test tables of one folder and the annotation tables derived from them."""
 
@@ -139,6 +145,11 @@ class Tables:
         return boxed.select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("o")).selectExpr(
             *GOLDEN_EXPRS)
 
+    @cached_property
+    def golden_outlined(self) -> DataFrame:
+        """Golden objects with an octagon; one in five has only its box."""
+        return self.golden.withColumn("polygon", F.expr(f"CASE WHEN (item_id + gt) % 5 = 4 THEN NULL ELSE {OCTAGON} END"))
+
     @cached_property
     def items(self) -> DataFrame:
         return self.raw("part").selectExpr(*ITEM_EXPRS)

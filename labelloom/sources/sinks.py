@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,10 +152,67 @@ def _has_files(spark, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def digest_files(spark, path: str) -> DataFrame:
-    """SHA-256 of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+_CHUNK = 8 << 20
+
+
+def digest_files(spark, path: str, pattern: str | None = None) -> DataFrame:
+    """SHA-256 of every file under ``path``, of any size: (path, length, sha256).
+
+    Spark lists the files and spreads them over the tasks; a task reads its files in chunks of a few megabytes, so no
+    file is ever one value. Works for the file systems that pyarrow opens by address (file, hdfs, s3, gs).
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                # Spark writes file:/a/b where addresses have file:///a/b.
+                system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while chunk := stream.read(_CHUNK):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    # The listing may be a single split; the reading is the work.
+    spread = listed.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    return spread.mapInArrow(run, "path string, length bigint, sha256 string")
+
+
+# ---------------------------------------------------------------- export from a stream
+
+def export_batches(path: str, every: int = 1):
+    """``foreachBatch`` function that exports rows (dataset, batch, value) every ``every`` rounds, exactly once.
+
+    Every micro-batch is kept under its number. A round whose number ends a group of ``every`` exports the rows of the whole
+    group into a folder of its own and then writes its marker. A batch that runs again, after a failure or from an old
+    checkpoint, replaces what it wrote before and nothing else; readers (``read_exports``) take only folders with a marker, so
+    an export that broke off does not show. Rows after the last full group wait for it.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.select("dataset", "batch", "value").write.mode("overwrite").parquet(f"{path}/kept/round={number}")
+        if (number + 1) % every:
+            return
+        rounds = range(number + 1 - every, number + 1)
+        schema = "dataset string, batch string, value string"
+        rows = spark.read.schema(schema).parquet(*[f"{path}/kept/round={n}" for n in rounds])
+        rows.write.mode("overwrite").partitionBy("dataset", "batch").text(f"{path}/exports/round={number}")
+        written = spark.read.schema(schema).parquet(*[f"{path}/kept/round={n}" for n in rounds]).agg(F.count("*").alias("rows"))
+        written.coalesce(1).write.mode("overwrite").parquet(f"{path}/markers/round={number}")
+
+    return run
+
+
+def read_exports(spark, path: str) -> DataFrame:
+    """Rows of all finished exports: (round, dataset, batch, value)."""
+    done = spark.read.schema("rows bigint, round bigint").parquet(f"{path}/markers").select("round").distinct()
+    rows = spark.read.schema("value string, round bigint, dataset string, batch string").text(f"{path}/exports")
+    # One row per export.
+    return rows.join(F.broadcast(done), "round").select("round", "dataset", "batch", "value")
 
 
 def class_ids(labels: DataFrame, taxonomy: Sequence[str] = (), order: str = "seq", item: str = "item_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from labelloom.session import ensure_checkpoint_dir
 
@@ -51,13 +52,21 @@ def staged(frames: list[DataFrame], name: str) -> DataFrame:
     return open_stream(frames[0].sparkSession, path, files_per_batch=1)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", store: str | None = None) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
     Append and update results are appended per batch with their batch number;
-    complete results replace the previous batch.
+    complete results replace the previous batch. ``store`` names a state store provider for this query alone.
     """
     spark = stream.sparkSession
+    if store:
+        setting = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, store)
+        try:
+            return drain(stream, name, mode)
+        finally:
+            spark.conf.set(setting, before)
     out, marks = stream_folder(spark, name), stream_folder(spark, name + "-ckpt")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -109,7 +118,10 @@ def split_late(rows: DataFrame, on_time: Callable[[DataFrame, int], None], late:
 
 
 def first_records(rows: DataFrame, key: list[str], time: str = "arrived", delay: str = "1 hour") -> DataFrame:
-    """First record per key; the state of a key ends with the watermark."""
+    """First record per key; the state of a key ends with the watermark.
+
+    A record more than ``delay`` behind the newest one is not seen any more: choose the delay that the sources keep, or take such rows out first (``split_behind``).
+    """
     if rows.isStreaming:
         return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
     return rows.dropDuplicates(key)
@@ -132,24 +144,41 @@ def budget_breaker(calls: DataFrame, limit: int, delay: str = "1 day") -> DataFr
     return per.where(F.col("calls") >= limit).select(F.col("w.start").alias("day"), "role", "calls")
 
 
-def round_health(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Event counts per tumbling window."""
-    src = events.withWatermark("ts", "1 day") if events.isStreaming else events
+def split_behind(time: str, delay: str, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], newest: str | None = None):
+    """``foreachBatch`` function that hands on rows more than ``delay`` behind the newest row before their batch as late.
+
+    Put before a job with that watermark it makes the rows visible that the job would drop. ``newest``: where to start, else with the first batch.
+    """
+    top = [newest]
+
+    def route(batch: DataFrame, number: int) -> None:
+        limit = F.lit(False) if top[0] is None else F.col(time) < F.lit(top[0]).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        on_time(batch.where(~limit), number)
+        late(batch.where(limit), number)
+        seen = batch.agg(F.date_format(F.max(time), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        top[0] = max(filter(None, (top[0], seen)), default=None)
+
+    return route
+
+
+def round_health(events: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Event counts per tumbling window; a window closes ``delay`` after its end (see ``split_behind`` for rows later than that)."""
+    src = events.withWatermark("ts", delay) if events.isStreaming else events
     per = src.groupBy(F.window("ts", width).alias("w")).agg(
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"),
         F.sum("value").alias("value"))
     return per.select(F.col("w.start").alias("start"), "events", "errors", "value")
 
 
-def activity_sessions(events: DataFrame, gap: str = "6 hours", key: str = "user_id") -> DataFrame:
-    """Sessions of activity per key, closed by a silent gap."""
-    src = events.withWatermark("ts", "1 day") if events.isStreaming else events
+def activity_sessions(events: DataFrame, gap: str = "6 hours", key: str = "user_id", delay: str = "1 day") -> DataFrame:
+    """Sessions of activity per key, closed by a silent gap, once ``delay`` has passed too."""
+    src = events.withWatermark("ts", delay) if events.isStreaming else events
     per = src.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("events"))
     return per.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
 def every_nth(n: int, write: Callable[[DataFrame, int], None]):
-    """``foreachBatch`` function that exports only every n-th round."""
+    """``foreachBatch`` function that runs ``write`` on every n-th batch alone; ``sinks.export_batches`` keeps the rows between."""
     def run(batch: DataFrame, number: int) -> None:
         if number % n == 0:
             write(batch, number)
@@ -206,6 +235,85 @@ def score_path(rounds: DataFrame, alpha: float = 0.25) -> DataFrame:
     return rounds.groupBy("annotator_id").applyInPandas(fold, SCORE_OUT)
 
 
+AVERAGE_OUT = "annotator_id bigint, round int, ema double, delta double, reward double, late boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Averages(StatefulProcessor):
+    """Moving average of one annotator: the closed past as one value, and the rounds that are still open as a list."""
+
+    def __init__(self, alpha: float, open_rounds: int, idle_ms: int | None):
+        self.alpha, self.open_rounds, self.idle_ms = alpha, open_rounds, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # A state that nobody touches for the idle time expires by itself.
+        self.past = handle.getValueState("past", "closed int, ema double, last double, at int, seen boolean", self.idle_ms)
+        self.open = handle.getListState("open", "round int, reward double, reset boolean", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed, *state = self.past.get() if self.past.exists() else (-1, 0.0, 0.0, -1, False)
+        pending = {r: (v, x) for r, v, x in self.open.get()} if self.open.exists() else {}
+        out = []
+        for pdf in rows:
+            for number, reward, reset in zip(pdf["round"].tolist(), pdf["reward"].tolist(), pdf["reset"].tolist()):
+                value = None if reset else 0.0 if pd.isna(reward) else float(reward)
+                if number <= closed:
+                    out.append((key[0], number, None, None, value, True))
+                    continue
+                old, was_reset = pending.get(number, (None, False))
+                value = old if value is None else value if old is None else max(old, value)
+                pending[number] = (value, was_reset or bool(reset))
+        # Open rounds come out again as they are now; the newest row of a round is the one that counts.
+        closed = max([closed, *(n - self.open_rounds for n in pending)])
+        ahead = state
+        for number in sorted(pending):
+            reward, reset = pending[number]
+            ahead, delta = _step(ahead, number, reward, reset, self.alpha)
+            out.append((key[0], number, ahead[0], delta, reward, False))
+            if number <= closed:
+                state = ahead
+                del pending[number]
+        self.past.update((closed, *state))
+        if pending:
+            self.open.put([(n, *v) for n, v in sorted(pending.items())])
+        elif self.open.exists():
+            self.open.clear()
+        yield pd.DataFrame(out, columns=["annotator_id", "round", "ema", "delta", "reward", "late"]).astype({"late": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def _step(state, number: int, reward: float | None, reset: bool, alpha: float) -> tuple[list, float]:
+    """(ema, last reward, its round, whether there was one) after a round, and the change of the reward. A reset follows the reward of its round."""
+    (ema, last, at, seen), keep, delta = state, 1.0 - alpha, 0.0
+    if reward is not None:
+        idle = ema * keep ** (number - at - 1) if at >= 0 else 0.0
+        ema = alpha * reward + keep * (idle if idle >= TINY else 0.0)
+        ema = ema if ema >= TINY else 0.0
+        delta, last, at, seen = (reward - last if seen else 0.0), reward, number, True
+    if reset:
+        ema, delta, last, at, seen = 0.0, 0.0, 0.0, number, False
+    return [ema, last, at, seen], delta
+
+
+def score_averages(scores: DataFrame, alpha: float = 0.25, open_rounds: int = 10, idle: str | None = None) -> DataFrame:
+    """Moving average and change per annotator and round, with bounded state: (annotator_id, round, ema, delta, reward, late).
+
+    ``scores`` (a stream): annotator_id, round (a running number), reward and ``reset``. Rounds may arrive in any order as long
+    as they are no more than ``open_rounds`` behind the newest of their annotator; an open round comes out again when an earlier one
+    changes it (``newest`` keeps the last). Rows of closed rounds come out with ``late`` and change nothing, so that a
+    sink can send them elsewhere (``split_late``). State: five numbers and at most ``open_rounds`` rounds per annotator; with
+    ``idle`` it expires after that time without a row. That goes by the clock, so such a query never comes to an end by itself: not
+    for runs over what is available. Missing rounds count as 0; rows of one round count once, with the largest reward.
+    The keyed state needs the RocksDB state store (``drain`` sets it for its own query).
+    """
+    days = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = scores.select("annotator_id", F.col("round").cast("int").alias("round"), F.col("reward").cast("double").alias("reward"), F.col("reset").cast("boolean").alias("reset"))
+    return rows.groupBy("annotator_id").transformWithStateInPandas(
+        _Averages(alpha, open_rounds, days), AVERAGE_OUT, "Update", "None" if days is None else "ProcessingTime")
+
+
 def ema_asof(rows: DataFrame, asof: int, alpha: float = 0.25) -> DataFrame:
     """Ledger as of a round from the newest row per annotator, with the decay of the rounds since."""
     last = rows.groupBy("annotator_id").agg(F.max_by("ema", "round").alias("e"), F.max("round").alias("r"))
