@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import geometry as G
 from labelloom.scale import first_rows
+from labelloom.operators.reward import hamilton
 
 MAX_POINTS, MAX_ANNOTATIONS, MAX_RECORDS = 256, 512, 8192
 MAX_VERTEX_WORK, MAX_AREA_RATIO = 2_000_000, 0.60
@@ -293,13 +294,19 @@ def complete_items(requested: DataFrame, answers: DataFrame, key: str = "item_id
     return requested.join(answers.withColumn("answered", F.lit(True)), key, "left").fillna({"answered": False})
 
 
-def validate_selection_plan(plan: DataFrame, candidates: DataFrame, slots: DataFrame, images: DataFrame) -> DataFrame:
+def validate_selection_plan(plan: DataFrame, candidates: DataFrame, slots: DataFrame, images: DataFrame,
+                            shares: DataFrame | None = None, minimum: int = 0) -> DataFrame:
     """Contract violations of a selection plan, one row per violation.
 
     ``plan``: item_id, annotator_id (null = unassigned), quality_accepted (null =
     not boolean). ``candidates``: (item_id, annotator_id) that were submitted.
-    ``slots``: annotator_id, cap (recomputed) and claimed_cap. ``images``: item_id.
+    ``slots``: annotator_id, cap and claimed_cap. ``images``: item_id. With ``shares`` (annotator_id, share) the caps
+    are recomputed here: one slot per image, dealt out by largest remainder with ``minimum`` each; ``slots`` then
+    needs only what the plan claims, and an annotator without a share has no slot.
     """
+    if shares is not None:
+        fair = hamilton(shares, images.select("item_id").distinct().agg(F.count("*").alias("n")), minimum=minimum)
+        slots = fair.select("annotator_id", F.col("slots").alias("cap")).join(slots.select("annotator_id", "claimed_cap"), "annotator_id", "full")
     chosen = plan.where(F.col("annotator_id").isNotNull())
 
     def rows(df: DataFrame, name: str, item=None, who=None) -> DataFrame:
@@ -317,4 +324,4 @@ def validate_selection_plan(plan: DataFrame, candidates: DataFrame, slots: DataF
         .unionByName(rows(images.select("item_id").join(plan, "item_id", "left_anti"), "missing_item", "item_id"))
         .unionByName(rows(used.join(slots, "annotator_id", "left").where(
             F.col("used") > F.coalesce("cap", F.lit(0))), "over_cap", None, "annotator_id"))
-        .unionByName(rows(slots.where(~F.col("cap").eqNullSafe(F.col("claimed_cap"))), "forged_cap", None, "annotator_id")))
+        .unionByName(rows(slots.where(F.coalesce("cap", F.lit(0)) != F.coalesce("claimed_cap", F.lit(0))), "forged_cap", None, "annotator_id")))

@@ -54,25 +54,54 @@ def raster_iou(t):
     return G.raster_iou(keep).select("item_id", "annotator_id", "seq", "gt", R6("raster_iou"))
 
 
-@query("sanitize_polygons", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, 8 AS points, round(x1, 2) AS left_x, round(x2, 2) AS right_x
-   FROM annotations WHERE shape = 'octagon'""")
+def _points_sql(points: str, digits: int) -> str:
+    return f"array_to_string(list_transform({points}, lambda q: printf('%.{digits}f,%.{digits}f', q.x, q.y)), ' ')"
+
+
+def _points(column: str, digits: int):
+    return F.array_join(F.transform(column, lambda q: F.format_string(f"%.{digits}f,%.{digits}f", q["x"], q["y"])), " ")
+
+
+def _mean_sql(axis: str) -> str:
+    return f"list_reduce(list_transform(ins, lambda q: q.{axis}), lambda a, b: a + b) / len(ins)"
+
+
+@query("sanitize_polygons", f"""{Q.with_tables('annotations')}, src AS (SELECT *, list_transform(list_reverse({Q.ANNOTATION_POINTS}), lambda q: {{'x': q.x + 0.001::DOUBLE, 'y': q.y + 0.001::DOUBLE}}) AS pts FROM annotations WHERE shape <> 'none'),
+  cl AS (SELECT *, list_transform(pts, lambda q: {{'x': greatest(x1, least(x2, round_even(q.x, 2))), 'y': greatest(y1, least(y2, round_even(q.y, 2)))}}) AS ins FROM src),
+  m AS (SELECT *, {_mean_sql('x')} AS mx, {_mean_sql('y')} AS my FROM cl),
+  s AS (SELECT *, list_sort(list_transform(range(1, len(ins) + 1), lambda i: {{'t': atan2(ins[i].y - my, ins[i].x - mx), 'i': i, 'x': ins[i].x, 'y': ins[i].y}})) AS p FROM m)
+  SELECT item_id, annotator_id, seq, {_points_sql('p', 2)} AS outline FROM s""")
 def sanitize_polygons(t):
-    got = G.sanitize_polygons(t.outlined.where("shape = 'octagon'").withColumn("polygon", F.reverse("polygon")), "p")
-    xs = F.transform("p", lambda q: q["x"])
-    return got.select(*KEY, F.size("p").alias("points"), F.array_min(xs).alias("left_x"), F.array_max(xs).alias("right_x"))
+    # A little off, so that no coordinate is a tie of the rounding.
+    moved = F.transform(F.reverse("polygon"), lambda q: G.point(q["x"] + 0.001, q["y"] + 0.001))
+    got = G.sanitize_polygons(t.outlined.where("shape <> 'none'").withColumn("polygon", moved), "p")
+    return got.select(*KEY, _points("p", 2).alias("outline"))
+
+
+# Outlines made for annotations without one: a parcel for fields, else a canopy of eight points.
+_CANOPY_SQL = """list_transform(range(0, 8), lambda i: {'x': greatest(x1, least(x2, round_even((x1 + x2) / 2 + (x2 - x1) / 2 * (0.94::DOUBLE + 0.04::DOUBLE * sin(i * 1.5::DOUBLE)) * cos(i * (pi() / 4)), 2))),
+   'y': greatest(y1, least(y2, round_even((y1 + y2) / 2 + (y2 - y1) / 2 * (0.94::DOUBLE + 0.04::DOUBLE * sin(i * 1.5::DOUBLE)) * sin(i * (pi() / 4)), 2)))})"""
+_PARCEL_SQL = "[" + ", ".join(f"{{'x': round_even({x}, 2), 'y': round_even({y}, 2)}}" for x, y in (
+    ("x1 + 0.08::DOUBLE * (x2 - x1)", "y1"), ("x2 - 0.08::DOUBLE * (x2 - x1)", "y1"), ("x2", "y1 + 0.12::DOUBLE * (y2 - y1)"), ("x2", "y2 - 0.08::DOUBLE * (y2 - y1)"),
+    ("x2 - 0.12::DOUBLE * (x2 - x1)", "y2"), ("x1 + 0.08::DOUBLE * (x2 - x1)", "y2"), ("x1", "y2 - 0.12::DOUBLE * (y2 - y1)"), ("x1", "y1 + 0.08::DOUBLE * (y2 - y1)"))) + "]"
 
 
-@query("synthetic_outlines", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, CASE WHEN label = 'field' THEN round_even(x1 + 0.08 * (x2 - x1), 2)
-   ELSE round_even((x1 + x2) / 2 + (x2 - x1) / 2 * 0.94, 2) END AS first_x FROM annotations WHERE shape = 'none'""")
+@query("synthetic_outlines", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, CASE WHEN label = 'field' THEN {_points_sql(_PARCEL_SQL, 2)}
+   ELSE {_points_sql(_CANOPY_SQL, 2)} END AS outline FROM annotations""")
 def synthetic_outlines(t):
-    got = G.sanitize_polygons(t.outlined.where("shape = 'none'"), "p")
-    return got.select(*KEY, F.get("p", 0)["x"].alias("first_x"))
+    """The outline every annotation would get without its own."""
+    got = G.sanitize_polygons(t.annotations.withColumn("polygon", F.lit(None).cast(G.POINTS)), "p")
+    return got.select(*KEY, _points("p", 2).alias("outline"))
+
+
+_ELLIPSE_SQL = """list_transform(range(0, 8), lambda i: {'x': round_even((x1 + x2) / 2 + (x2 - x1) / 2 * 0.9::DOUBLE * cos(i * (2 * pi() / 8)), 2),
+   'y': round_even((y1 + y2) / 2 + (y2 - y1) / 2 * 0.9::DOUBLE * sin(i * (2 * pi() / 8)), 2)})"""
 
 
-@query("clean_polygons", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, CASE shape WHEN 'rect' THEN 4 WHEN 'star' THEN 14 ELSE 8 END AS points FROM annotations""")
+@query("clean_polygons", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq, {_points_sql(f"CASE WHEN shape = 'none' THEN {_ELLIPSE_SQL} ELSE {Q.ANNOTATION_POINTS} END", 5)} AS outline FROM annotations""")
 def clean_polygons(t):
     doubled = F.concat(F.flatten(F.transform("polygon", lambda p: F.array(p, p))), F.slice("polygon", 1, 1))
-    return t.outlined.select(*KEY, F.size(G.clean_polygon(doubled)).alias("points"))
+    return t.outlined.withColumn("p", G.clean_polygon(doubled)).select(*KEY, _points("p", 5).alias("outline"))
 
 
 @query("taxonomy", f"""{Q.with_tables('annotations')} SELECT label, {Q.canonical('label')} AS canonical, {Q.carbon(Q.canonical('label'))} AS carbon_class,

@@ -8,6 +8,7 @@ from labelloom.functions import geometry as G
 from labelloom.operators import score as S
 from labelloom.operators import validate as V
 from labelloom.operators.assemble import assemble_selected
+from labelloom.operators.reward import hamilton
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
 
@@ -53,7 +54,7 @@ def validate_annotations(t):
 @query("self_intersections", f"""{Q.with_tables('annotations')} SELECT item_id, annotator_id, seq FROM annotations
    WHERE {KIND} = 7 OR ({KIND} = 9 AND shape NOT IN ('none', 'star'))""")
 def self_intersections(t):
-    return G.crossing_edges(damaged(t).where("kind NOT IN (1, 2, 6)"), ["item_id", "annotator_id", "seq"])
+    return G.crossing_edges(damaged(t), ["item_id", "annotator_id", "seq"])
 
 
 # Orders are submissions of customers to tasks; their lines are the records.
@@ -299,18 +300,18 @@ def pseudo_labels(t):
     return got.groupBy("item_id").agg(F.count("seq").alias("labels"))
 
 
-@query("complete_items", f"""{Q.with_tables('annotations', 'items')}, s AS (SELECT * FROM annotations WHERE confidence >= 0.98)
-  SELECT i.item_id, s.annotator_id, s.seq, s.seq IS NOT NULL AS answered FROM items i LEFT JOIN s USING (item_id)""")
+@query("complete_items", f"""{Q.with_tables('annotations', 'items')} SELECT i.item_id, s.annotator_id, s.seq, s.seq IS NOT NULL AS answered FROM items i LEFT JOIN annotations s USING (item_id)""")
 def complete_items(t):
-    sure = t.annotations.where("confidence >= 0.98").select("item_id", "annotator_id", "seq")
-    return V.complete_items(t.items.select("item_id"), sure)
+    return V.complete_items(t.items.select("item_id"), t.annotations.select("item_id", "annotator_id", "seq"))
 
 
 @query("selection_plan_contract", """WITH plan AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 6 = 0 THEN NULL
       ELSE p_partkey % 50 + CASE WHEN p_partkey % 40 = 1 THEN 1000 ELSE 0 END END AS annotator_id,
       CASE WHEN p_partkey % 25 = 0 THEN NULL ELSE p_partkey % 4 = 0 END AS q FROM part WHERE p_partkey % 30 <> 7),
-   slots AS (SELECT s_suppkey AS annotator_id, 20 + s_suppkey % 3 AS cap, 20 + s_suppkey % 3 + (s_suppkey % 19 = 0)::INT AS claimed
-     FROM supplier),
+   share AS (SELECT s_suppkey AS annotator_id, s_suppkey % 7 + 1 AS share FROM supplier),
+   exact AS (SELECT *, share / sum(share) OVER () * (SELECT count(*) FROM part) AS e FROM share),
+   fair AS (SELECT *, floor(e + 1e-9) AS w, row_number() OVER (ORDER BY round(e - floor(e + 1e-9), 9) DESC, annotator_id) AS rn, (SELECT count(*) FROM part) - sum(floor(e + 1e-9)) OVER () AS spare FROM exact),
+   slots AS (SELECT annotator_id, w + (rn <= spare)::INT AS cap, w + (rn <= spare)::INT + (annotator_id % 19 = 0)::INT AS claimed FROM fair),
    v AS (SELECT 'unknown_source' AS violation, item_id, annotator_id FROM plan WHERE annotator_id >= 1000
     UNION ALL SELECT 'decision_not_boolean', item_id, NULL FROM plan WHERE q IS NULL
     UNION ALL SELECT 'accepted_without_source', item_id, NULL FROM plan WHERE annotator_id IS NULL AND q
@@ -326,7 +327,7 @@ def selection_plan_contract(t):
         "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 50 + CASE WHEN p_partkey % 40 = 1 THEN 1000 ELSE 0 END END AS annotator_id",
         "CASE WHEN p_partkey % 25 = 0 THEN NULL ELSE p_partkey % 4 = 0 END AS quality_accepted")
     candidates = part.selectExpr("p_partkey AS item_id", "p_partkey % 50 AS annotator_id")
-    slots = t.raw("supplier").selectExpr(
-        "s_suppkey AS annotator_id", "20 + s_suppkey % 3 AS cap",
-        "20 + s_suppkey % 3 + CAST(s_suppkey % 19 = 0 AS INT) AS claimed_cap")
-    return V.validate_selection_plan(plan, candidates, slots, part.selectExpr("p_partkey AS item_id"))
+    images = part.selectExpr("p_partkey AS item_id")
+    shares = t.raw("supplier").selectExpr("s_suppkey AS annotator_id", "s_suppkey % 7 + 1 AS share")
+    claimed = hamilton(shares, images.agg(F.count("*").alias("n"))).selectExpr("annotator_id", "slots + CAST(annotator_id % 19 = 0 AS INT) AS claimed_cap")
+    return V.validate_selection_plan(plan, candidates, claimed, images, shares)
