@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -159,7 +160,7 @@ def digest_files(spark, path: str, pattern: str | None = None) -> DataFrame:
     """SHA-256 of every file under ``path``, of any size: (path, length, sha256).
 
     Spark lists the files and spreads them over the tasks; a task reads its files in chunks of a few megabytes, so no
-    file is ever one value. Works for the file systems that pyarrow opens by address (file, hdfs, s3, gs).
+    file is ever one value. Works for the file systems that pyarrow opens by address (file, hdfs, s3, gs). Spark lists no empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     listed = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length")
@@ -168,8 +169,8 @@ def digest_files(spark, path: str, pattern: str | None = None) -> DataFrame:
         for batch in batches:
             digests = []
             for name in batch.column(0).to_pylist():
-                # Spark writes file:/a/b where addresses have file:///a/b.
-                system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                # Spark writes file:/a b where addresses have file:///a%20b.
+                system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(name, safe="/:@")))
                 digest = hashlib.sha256()
                 with system.open_input_stream(inner) as stream:
                     while chunk := stream.read(_CHUNK):

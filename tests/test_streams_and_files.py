@@ -1,11 +1,12 @@
 """Streams over several batches, and reading and writing files."""
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from labelloom.operators.validate import check_export_schema
+from labelloom.operators.validate import check_export_schema, validate_selection_plan
 from labelloom.operators.evaluate import evaluate_gates, round_metrics
 from labelloom.sources import readers, sinks
 from labelloom.streaming import jobs
@@ -28,6 +29,66 @@ def test_score_state_over_batches(spark, tmp_path):
     assert {r.annotator_id: r.ema for r in jobs.ema_asof(path, 9).collect()}[1] == 0.0
 
 
+def test_averages_as_keyed_state(spark, tmp_path):
+    """Out-of-order rounds inside the open ones give what the fold over all rows gives; older ones come out as late and change nothing."""
+    schema = "annotator_id bigint, round int, reward double, reset boolean"
+    batches = [[(1, 2, 1.0, False), (2, 1, 1.0, False)], [(1, 1, .4, False), (1, 1, .3, False)], [(2, 4, .5, False), (1, 4, None, True), (1, 9, .8, False)],
+               [(1, 3, 9.0, False), (1, 8, None, False), (2, 3, .2, False)]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.drain(jobs.score_averages(stream, open_rounds=3), "avg", "update", jobs.ROCKSDB).cache()
+    assert [(r.annotator_id, r["round"], r.reward) for r in out.where("late").collect()] == [(1, 3, 9.0)]
+    got = jobs.newest(out.where("NOT late").drop("late"), ["annotator_id", "round"]).collect()
+    flat = [r for b in batches for r in b if r != (1, 3, 9.0, False)]
+    want = jobs.score_path(jobs.score_stream(spark.createDataFrame(flat, schema))).collect()
+    assert {(r.annotator_id, r["round"]): (round(r.ema, 12), round(r.delta, 12)) for r in got} == {(r.annotator_id, r["round"]): (round(r.ema, 12), round(r.delta, 12)) for r in want}
+
+
+def test_rows_behind_are_handed_on(spark):
+    t = datetime(2024, 1, 1)
+    kept, behind = [], []
+    route = jobs.split_behind("ts", "2 hours", lambda df, n: kept.extend(r.h for r in df.collect()), lambda df, n: behind.extend(r.h for r in df.collect()))
+    for number, hours in enumerate([[0, 5], [4, 2, 9], [], [8, 6]]):
+        route(spark.createDataFrame([(t + timedelta(hours=h), h) for h in hours], "ts timestamp, h int"), number)
+    assert sorted(kept) == [0, 4, 5, 8, 9] and sorted(behind) == [2, 6]
+
+
+def test_exports_of_rounds_happen_once(spark, tmp_path):
+    path = str(tmp_path / "out")
+    run = sinks.export_batches(path, 2)
+    batch = {n: spark.createDataFrame([("d", f"b{n % 2}", f"{n}-{i}") for i in range(n + 1)], "dataset string, batch string, value string") for n in range(5)}
+    for n in (0, 1, 1, 2, 3, 3, 4):
+        run(batch[n], n)
+    # Another run of an exported round with other rows replaces its rows and no others.
+    run(batch[1].limit(1), 1)
+    got = {(r["round"], r.value) for r in sinks.read_exports(spark, path).collect()}
+    assert got == {(1, "0-0"), (1, "1-0")} | {(3, f"{n}-{i}") for n in (2, 3) for i in range(n + 1)}
+    assert sinks.read_exports(spark, path).count() == len(got)
+
+
+def test_digests_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "_CHUNK", 1000)
+    files = {"a.bin": b"", "b c.bin": bytes(range(256)) * 40, "sub/d.bin": b"x"}
+    (tmp_path / "sub").mkdir()
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r.length, r.sha256) for r in sinks.digest_files(spark, str(tmp_path)).collect()}
+    assert got == {(len(d), hashlib.sha256(d).hexdigest()) for d in files.values() if d}
+
+
+def test_a_forged_cap_is_recomputed(spark):
+    """A plan that claims the same wrong cap everywhere is found, as the caps come from the shares."""
+    images = spark.createDataFrame([(i,) for i in range(10)], "item_id bigint")
+    plan = spark.createDataFrame([(i, 1 if i < 7 else 2, True) for i in range(10)], "item_id bigint, annotator_id bigint, quality_accepted boolean")
+    candidates = plan.select("item_id", "annotator_id")
+    slots = spark.createDataFrame([(1, 7, 7), (2, 3, 3)], "annotator_id bigint, cap bigint, claimed_cap bigint")
+    shares = spark.createDataFrame([(1, 0.5), (2, 0.5)], "annotator_id bigint, share double")
+    assert validate_selection_plan(plan, candidates, slots, images).count() == 0
+    got = {(r.violation, r.annotator_id) for r in validate_selection_plan(plan, candidates, slots, images, shares).collect()}
+    assert got == {("over_cap", 1), ("forged_cap", 1), ("forged_cap", 2)}
+
+
 def test_expired_objects(spark, tmp_path):
     start = datetime(2024, 1, 1)
     schema = "key string, bytes bigint, modified timestamp"
