@@ -32,9 +32,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MISS = 0.05
 # Members of a group that are all compared, those that all further ones are compared with, and pairs written per member.
-NEAR, HEAD, PARTNERS = 4096, 64, 2
+NEAR, HEAD, PARTNERS = 4096, 64, 8
 # Of all its pairs a set keeps so many at first, with the smallest others; the rest wait until the classes are known.
-FIRST = 3
+FIRST = 8
 # A group of a variant has about so many members, as a power of two: more of them need fewer partial fingerprints.
 FILL = 4
 # Of the 64 check bits a pair at the least similarity differs in 10 on average, with a deviation of 3; unrelated sets in 32.
