@@ -208,11 +208,22 @@ def convexity(area: Column, hull: Column) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: as a variable of a lambda it is read as often as ``use`` likes.
+
+    An expression that a lambda refers to is computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def drop_repeats(poly: Column) -> Column:
     """Polygon without consecutive repeats and without a closing copy of the first point."""
-    kept = F.filter(poly, lambda p, i: (i == 0) | (p != F.get(poly, i - 1)))
-    closed = (F.size(kept) > 2) & (F.element_at(kept, 1) == F.element_at(kept, -1))
-    return F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    def opened(kept: Column) -> Column:
+        closed = (F.size(kept) > 2) & (F.element_at(kept, 1) == F.element_at(kept, -1))
+        return F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    kept = _once(poly, lambda whole: F.filter(whole, lambda p, i: (i == 0) | (p != F.get(whole, i - 1))))
+    return _once(kept, opened)
 
 
 def extent(poly: Column) -> Column:
@@ -292,8 +303,8 @@ def ellipse_points(p: str = "", n: int = 8, scale: float = 0.9) -> Column:
 
 def clean_polygon(poly: Column, p: str = "") -> Column:
     """Repeats dropped; an ellipse in the box when fewer than three points remain."""
-    clean = drop_repeats(poly)
-    return F.when(poly.isNotNull() & (F.size(clean) >= 3), clean).otherwise(ellipse_points(p))
+    # Without a polygon the clean one is null too.
+    return _once(drop_repeats(poly), lambda clean: F.when(clean.isNotNull() & (F.size(clean) >= 3), clean).otherwise(ellipse_points(p)))
 
 
 # Labels whose synthetic outline is a chamfered parcel, and the
