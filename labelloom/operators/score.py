@@ -403,6 +403,8 @@ def class_breakdown(anns: DataFrame, items: DataFrame, group: Sequence[str] = ("
 
 
 _SUMS = ("n", "exg", "b_r", "g_b", "vari", "luma", "luma2", "pb", "pr", "green")
+# Image rows of an item that one task takes together.
+_BAND = 64
 
 
 def _span_ends(boxes: DataFrame, key: list[str], outline: str | None) -> DataFrame:
@@ -441,23 +443,30 @@ def spectral_stats(pixels: DataFrame, boxes: DataFrame, key: Sequence[str] = ("i
     ``coastal`` allows the mangrove label, for verified coastal wetland only.
 
     Boxes and outlines become spans of image rows. Running sums along each row answer a span by the difference
-    of its two ends, so no pixel meets a box: the work is pixels plus spans, spread by (item, row),
-    and one item may hold any number of both.
+    of its two ends, so no pixel meets a box: the work is pixels plus spans, spread by (item, band of rows),
+    and one item may hold any number of both. A pixel travels with its colours only, the values that are
+    summed are made behind the shuffle and the sort, and a box leaves a task with one row per band.
     """
     key = list(key)
+    own = [k for k in key if k != "item_id"]
     r, g, b = (F.col(c).cast("double") for c in "rgb")
     # In thousandths, so that sums of byte colours are exact.
     luma = 299 * r + 587 * g + 114 * b
     values = (F.lit(1.0), 2 * g - r - b, b - r, g - b, (g - r) / (g + r - b + 1e-5), luma, luma * luma, b, r, (2 * g - r - b > -5.0).cast("double"))
     ends = _span_ends(boxes, key, outline)
-    # The ends of a span at x sum the pixels before x, so they come first.
-    nothing = [F.lit(None).cast(ends.schema[k].dataType).alias(f"_{k}") for k in (*key, "inner", "sign")]
-    at = ends.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), F.lit(0).alias("_turn"), *[F.col(k).alias(f"_{k}") for k in (*key, "inner", "sign")],
-                     *[F.lit(0.0).alias(c) for c in _SUMS])
-    dots = pixels.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), F.lit(1).alias("_turn"), *nothing, *[v.alias(c) for v, c in zip(values, _SUMS)])
-    along = Window.partitionBy("item_id", "y").orderBy("x", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = dots.unionByName(at).select("_turn", *[f"_{k}" for k in (*key, "inner", "sign")], *[F.sum(c).over(along).alias(c) for c in _SUMS]).where("_turn = 0")
-    per = sums.groupBy(*[F.col(f"_{k}").alias(k) for k in key]).agg(*[
+    # The ends of a span at x sum the pixels before x, so they come first: pixels have no sign.
+    nothing = [F.lit(None).cast(ends.schema[k].dataType).alias(f"_{k}") for k in (*own, "inner", "sign")]
+    at = ends.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), *[F.col(k).alias(f"_{k}") for k in (*own, "inner", "sign")],
+                     *[F.lit(None).cast(pixels.schema[c].dataType).alias(c) for c in "rgb"])
+    dots = pixels.select("item_id", F.col("y").cast("long"), F.col("x").cast("long"), *nothing, *"rgb")
+    spot = ["item_id", "_band", "y"]
+    order = [F.col("x"), F.col("_sign").asc_nulls_last()]
+    placed = dots.unionByName(at).withColumn("_band", F.floor(F.col("y") / _BAND)).repartition("item_id", "_band").sortWithinPartitions(*spot, *order)
+    along = Window.partitionBy(*spot).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = ["item_id", *[f"_{k}" for k in (*own, "inner", "sign")]]
+    valued = placed.select(*kept, "_band", "y", "x", *[F.when(F.col("_sign").isNull(), v).otherwise(0.0).alias(c) for v, c in zip(values, _SUMS)])
+    sums = valued.select(*kept, *[F.sum(c).over(along).alias(c) for c in _SUMS]).where("_sign IS NOT NULL")
+    per = sums.groupBy(*[F.col("item_id" if k == "item_id" else f"_{k}").alias(k) for k in key]).agg(*[
         F.sum(F.when(F.col("_inner") == inner, F.col("_sign") * F.col(c)).otherwise(0.0)).alias(p + c)
         for p, inner in (("", False), ("_in_", True)) for c in _SUMS])
     masked = F.col("_in_n") > least

@@ -185,7 +185,7 @@ class Tables:
 
     @cached_property
     def pixels(self) -> DataFrame:
-        grid = self.raw("part").select(
+        grid = spread(self.raw("part").select("p_partkey")).select(
             "p_partkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y")).select(
             "p_partkey", "y", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
         return grid.selectExpr(

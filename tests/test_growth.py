@@ -35,3 +35,14 @@ def test_clean_polygon_reads_its_polygon_once(spark):
     assert len(got[0]) == 8 and got[0] == got[1] == got[3] and got[0][0] == (9.5, 10.0)
     # A point behind a missing one is dropped with it, as before.
     assert got[2] == [(1.0, 1.0), (2.0, 2.0)] or len(got[2]) == 8
+
+
+def test_spectral_shuffle_carries_colours_only(spark, plain_joins):
+    px = spark.createDataFrame([(1, x, y, x, y, 3) for x in range(4) for y in range(130)], "item_id bigint, x int, y int, r int, g int, b int")
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 3.0, 130.0)], "item_id bigint, seq int, x1 double, y1 double, x2 double, y2 double")
+    got = score.spectral_stats(px, boxes)
+    text = plan(got)
+    assert "hashpartitioning(item_id" in text and "_band" in text
+    # The sort before the window is the only one between the shuffle of pixels and the sums.
+    assert "587.0" not in text[text.index("REPARTITION_BY_COL"):]
+    assert got.first().n_pixels == 390 and got.first().mean_exg == pytest.approx(2 * 64.5 - 1 - 3)
