@@ -232,10 +232,18 @@ def class_ids(labels: DataFrame, taxonomy: Sequence[str] = (), order: str = "seq
 
 
 def to_yolo_labels(labels: DataFrame, items: DataFrame, taxonomy: Sequence[str] = ()) -> DataFrame:
-    """Detector label lines: class id and centre, width, height relative to the frame; (item_id, seq, line)."""
+    """Detector label lines: class id and centre, width, height relative to the frame; (item_id, seq, line).
+
+    A few classes hold all labels, so a join by name would take them to as many tasks; up to LISTED_KEYS class ids are broadcast.
+    """
+    from labelloom.scale import LISTED_KEYS
+
     name = F.trim(F.regexp_replace(F.lower("label"), r"[\s_\-]+", " "))
-    row = labels.withColumn("name", name).join(class_ids(labels, taxonomy), "name").join(
-        items.select("item_id", "width", "height"), "item_id")
+    ids = class_ids(labels, taxonomy)
+    listed = ids.limit(LISTED_KEYS + 1).collect()
+    if len(listed) <= LISTED_KEYS:
+        ids = F.broadcast(labels.sparkSession.createDataFrame(listed, ids.schema))
+    row = labels.withColumn("name", name).join(ids, "name").join(items.select("item_id", "width", "height"), "item_id")
     w, h = F.col("width"), F.col("height")
     return row.select("item_id", "annotator_id", "seq", F.format_string(
         "%d %.6f %.6f %.6f %.6f", F.col("class_id"), *[F.bround(v, 6) for v in (

@@ -37,6 +37,15 @@ def test_clean_polygon_reads_its_polygon_once(spark):
     assert got[2] == [(1.0, 1.0), (2.0, 2.0)] or len(got[2]) == 8
 
 
+def test_label_lines_are_not_dealt_by_name(spark, plain_joins):
+    labels = spark.createDataFrame([(1, 7, 1, "Field", 0.0, 0.0, 10.0, 10.0), (1, 7, 2, "tree", 0.0, 0.0, 20.0, 10.0), (2, 8, 3, "bush", 0.0, 0.0, 10.0, 10.0)],
+                                   "item_id bigint, annotator_id bigint, seq bigint, label string, x1 double, y1 double, x2 double, y2 double")
+    items = spark.createDataFrame([(1, 100, 100), (2, 100, 100)], "item_id bigint, width int, height int")
+    got = sinks.to_yolo_labels(labels, items, ["Field"])
+    assert "BroadcastHashJoin [name" in plan(got) and "hashpartitioning(name" not in plan(got)
+    assert [r.line.split()[0] for r in got.orderBy("seq").collect()] == ["0", "1", "2"]
+
+
 def test_spectral_shuffle_carries_colours_only(spark, plain_joins):
     px = spark.createDataFrame([(1, x, y, x, y, 3) for x in range(4) for y in range(130)], "item_id bigint, x int, y int, r int, g int, b int")
     boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 3.0, 130.0)], "item_id bigint, seq int, x1 double, y1 double, x2 double, y2 double")
