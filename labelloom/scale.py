@@ -4,19 +4,26 @@
 * ``ranked``     - exact row numbers inside groups of any size.
 * ``cut_to``     - the first rows of each group.
 * ``exact_quantile`` - quantiles of groups of any size.
+* ``fold_groups`` - array work on many small groups at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelloom.session import cut
 
 # Rows of one group that a single task may fold in memory.
 GROUP_LIMIT = 4096
+# Rows that one task sorts or hashes where an input is dealt out by its size.
+TASK_ROWS = 250_000
 # First rows that every task may keep for itself; longer lists are cut off a distributed rank.
 TOP_ROWS = 100_000
 # Hot keys listed on the driver; more than this stay in a table.
@@ -58,6 +65,52 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt out by ``keys`` to tasks of about ``rows`` rows each, so that their memory does not grow with the input."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, *keys)
+
+
+def fold_groups(df: DataFrame, group: Sequence[str], order: Sequence[Column], fold: Callable[[pa.Table, np.ndarray], pa.Table],
+                schema: str | StructType, rows: int = 100_000) -> DataFrame:
+    """``fold(table, starts)`` over whole groups, as many at a time as about ``rows`` rows hold; groups begin at ``starts``.
+
+    For groups of a bounded size (``split_hot``): a call per group costs more than the work on it. Rows are dealt out by
+    group and sorted by ``order`` inside it; a task holds one chunk and the group that goes on behind it.
+    """
+    group = list(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _group_starts(table, group)
+            last = int(starts[-1])
+            if last:
+                yield from fold(table.slice(0, last), starts[:-1]).to_batches()
+            held = table.slice(last).to_batches()
+        if sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from fold(table, _group_starts(table, group)).to_batches()
+
+    return dealt(df, group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
+def _group_starts(table: pa.Table, group: Sequence[str]) -> np.ndarray:
+    """Rows at which sorted group columns change; nulls are equal."""
+    new = np.ones(table.num_rows, dtype=bool)
+    if table.num_rows > 1:
+        new[1:] = False
+        for name in group:
+            a, b = table.column(name).slice(1), table.column(name).slice(0, table.num_rows - 1)
+            differ = pc.fill_null(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+            new[1:] |= differ.to_numpy()
+    return np.flatnonzero(new)
+
+
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row inside its group, in ``order``.
 

@@ -55,3 +55,11 @@ def test_spectral_shuffle_carries_colours_only(spark, plain_joins):
     # The sort before the window is the only one between the shuffle of pixels and the sums.
     assert "587.0" not in text[text.index("REPARTITION_BY_COL"):]
     assert got.first().n_pixels == 390 and got.first().mean_exg == pytest.approx(2 * 64.5 - 1 - 3)
+
+
+def test_tasks_follow_the_rows(spark):
+    assert scale.dealt(spark.range(1000), ["id"], 10).rdd.getNumPartitions() == 100
+    boxes = spark.createDataFrame([(i % 3, float(i), 0.0, float(i + 2), 1.0) for i in range(30)], "item_id bigint, x1 double, y1 double, x2 double, y2 double")
+    text = plan(match.union_area(boxes))
+    assert "REPARTITION_BY_NUM" in text and "hashpartitioning(item_id" in text
+    assert {r.item_id: r.union_area for r in match.union_area(boxes).collect()} == {0: 20.0, 1: 20.0, 2: 20.0}
