@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from labelloom.functions import geometry as G
 from labelloom.functions import taxonomy as T
 from labelloom.functions.text import hash_bucket, hash_fraction, hash_order
 from labelloom.operators.reward import hamilton
-from labelloom.scale import cut_to, exact_quantile, first_rows, ranked, running_total
+from labelloom.scale import GROUP_LIMIT, cut_to, exact_quantile, first_rows, fold_groups, ranked, running_total, split_hot
 from labelloom.session import cut
 
 # ---------------------------------------------------------------- splits and samples
@@ -280,6 +283,52 @@ def _components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the same order, small ones, with distances up to 2 kept and larger ones cut to 3."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return np.r_[0, np.cumsum(np.minimum(np.diff(distinct), 3))].astype(np.int64)[place]
+
+
+def _near_cells(x: np.ndarray, y: np.ndarray, owner: np.ndarray, eps: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Cells of many items at once as in ``cluster_points``: smallest connected cell, and x1, y1, x2, y2 and points, of each."""
+    side = eps / math.sqrt(2.0)
+    cx, cy = _gaps(np.floor(x / side)) + 2, _gaps(np.floor(y / side)) + 2
+    high = int(cy.max()) + 3
+    key = (owner * (int(cx.max()) + 3) + cx) * high + cy
+    order = np.lexsort((y, x, key))
+    key, x, y = key[order], x[order], y[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    cells, counts = key[first], np.diff(np.r_[first, len(key)])
+    x1, y1 = (np.minimum.reduceat(v, first) for v in (x, y))
+    x2, y2 = (np.maximum.reduceat(v, first) for v in (x, y))
+    ends = []
+    for dx, dy in ((dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)):
+        at = np.minimum(np.searchsorted(cells, cells + dx * high + dy), len(cells) - 1)
+        u = np.flatnonzero(cells[at] == cells + dx * high + dy)
+        ends.append(np.stack([u, at[u]]))
+    u, v = np.concatenate(ends, axis=1)
+    gap = np.hypot(np.maximum(0.0, np.maximum(x1[v] - x2[u], x1[u] - x2[v])), np.maximum(0.0, np.maximum(y1[v] - y2[u], y1[u] - y2[v])))
+    reach = np.hypot(np.maximum(x2[u], x2[v]) - np.minimum(x1[u], x1[v]), np.maximum(y2[u], y2[v]) - np.minimum(y1[u], y1[v]))
+    linked = reach <= eps
+    # Points meet only where the bounds do not settle a pair of cells, about a million pairs of them at a time.
+    unsure = np.flatnonzero((gap <= eps) & ~linked)
+    work = np.cumsum(counts[u[unsure]] * counts[v[unsure]])
+    for part in np.split(unsure, np.unique(np.searchsorted(work, np.arange(1_000_000, int(work[-1]) if len(work) else 0, 1_000_000)))):
+        a, b = counts[u[part]], counts[v[part]]
+        pair = np.repeat(np.arange(len(part)), a * b)
+        seat = np.arange(len(pair)) - np.repeat(np.cumsum(a * b) - a * b, a * b)
+        p, q = first[u[part]][pair] + seat // b[pair], first[v[part]][pair] + seat % b[pair]
+        near = np.hypot(x[p] - x[q], y[p] - y[q]) <= eps
+        linked[part[pair[near]]] = True
+    u, v, root = u[linked], v[linked], np.arange(len(cells))
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while not np.array_equal(root, shorter := root[root]):
+            root = shorter
+    return root, (x1, y1, x2, y2, counts, first, order)
+
+
 def cluster_points(points: DataFrame, eps: float, item: str = "item_id", margin: float = 8.0,
                    width: int | None = None, height: int | None = None) -> DataFrame:
     """Clusters of points chained by distances up to ``eps``, as padded boxes with a single/group label.
@@ -289,7 +338,44 @@ def cluster_points(points: DataFrame, eps: float, item: str = "item_id", margin:
     join when a pair of their points is near enough. Their bounds settle most
     cell pairs without looking at points; only for the rest are distinct points
     compared, and of those only the ones within ``eps`` of the other cell's bounds.
+
+    Items of up to GROUP_LIMIT points travel once, and a task connects the cells of many of them; the cells of larger ones,
+    and points without a place, are joined and connected by star steps.
     """
+    fixed = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    cold, hot = split_hot(points.select(item, "x", "y"), [item], GROUP_LIMIT)
+    small = cold.where(fixed).select(item, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def fold(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, table.num_rows]))
+        root, (x1, y1, x2, y2, counts, first, order) = _near_cells(table.column("x").to_numpy(), table.column("y").to_numpy(), owner, eps)
+        by = np.argsort(root, kind="stable")
+        at = np.flatnonzero(np.r_[True, root[by][1:] != root[by][:-1]])
+        heads = table.column(item).take(pa.array(order[first[by[at]]]))
+        ends = [np.minimum.reduceat(v[by], at) for v in (x1, y1)] + [np.maximum.reduceat(v[by], at) for v in (x2, y2)]
+        return pa.table([heads, *map(pa.array, ends), pa.array(np.add.reduceat(counts[by], at))], names=[item, "x1", "y1", "x2", "y2", "n"])
+
+    plain = StructType([points.schema[item], *[StructField(c, DoubleType()) for c in ("x1", "y1", "x2", "y2")], StructField("n", LongType())])
+    boxes = fold_groups(small, [item], [], fold, plain)
+    rest = cold.where(F.coalesce(~fixed, F.lit(True)))
+    rest = rest if hot is None else rest.unionByName(hot)
+    if not rest.isEmpty():
+        boxes = boxes.unionByName(_joined_clusters(rest, eps, item))
+
+    def edge(name: str, sign: int, limit: int | None) -> Column:
+        if sign < 0:
+            return F.greatest(F.lit(0), F.floor(F.col(name) - margin)).cast("double")
+        top = F.ceil(F.col(name) + margin)
+        return (top if limit is None else F.least(F.lit(limit), top)).cast("double")
+
+    return boxes.select(
+        item, edge("x1", -1, None).alias("x1"), edge("y1", -1, None).alias("y1"),
+        edge("x2", 1, width).alias("x2"), edge("y2", 1, height).alias("y2"), "n",
+        F.when(F.col("n") == 1, "tree").otherwise("tree_group").alias("label"))
+
+
+def _joined_clusters(points: DataFrame, eps: float, item: str) -> DataFrame:
+    """Bounds and number of points of the clusters of items of any size, by joins of cells."""
     side = eps / math.sqrt(2.0)
     cell = F.struct(F.col(item).alias("i"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
     nodes = points.groupBy(cell.alias("node")).agg(
@@ -329,14 +415,4 @@ def cluster_points(points: DataFrame, eps: float, item: str = "item_id", margin:
     boxes = tagged.groupBy("root").agg(
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
         F.sum("n").alias("n"))
-
-    def edge(name: str, sign: int, limit: int | None) -> Column:
-        if sign < 0:
-            return F.greatest(F.lit(0), F.floor(F.col(name) - margin)).cast("double")
-        top = F.ceil(F.col(name) + margin)
-        return (top if limit is None else F.least(F.lit(limit), top)).cast("double")
-
-    return boxes.select(
-        F.col("root.i").alias(item), edge("x1", -1, None).alias("x1"), edge("y1", -1, None).alias("y1"),
-        edge("x2", 1, width).alias("x2"), edge("y2", 1, height).alias("y2"), "n",
-        F.when(F.col("n") == 1, "tree").otherwise("tree_group").alias("label"))
+    return boxes.select(F.col("root.i").alias(item), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "n")

@@ -63,3 +63,32 @@ def test_tasks_follow_the_rows(spark):
     text = plan(match.union_area(boxes))
     assert "REPARTITION_BY_NUM" in text and "hashpartitioning(item_id" in text
     assert {r.item_id: r.union_area for r in match.union_area(boxes).collect()} == {0: 20.0, 1: 20.0, 2: 20.0}
+
+
+def test_fold_groups_keeps_groups_whole(spark):
+    import pyarrow as pa
+
+    def sums(table, starts):
+        return pa.table([table.column("k").take(pa.array(starts)), pa.array(np.add.reduceat(table.column("v").to_numpy(), starts))], names=["k", "s"])
+
+    data = [(None if i % 17 == 0 else i % 17, i) for i in range(1000)]
+    df = spark.createDataFrame(data, "k int, v bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.k: r.s for r in scale.fold_groups(df, ["k"], ["v"], sums, "k int, s bigint", rows=20).collect()}
+        none = scale.fold_groups(df.limit(0), ["k"], ["v"], sums, "k int, s bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: sum(v for x, v in data if x == k) for k in {x for x, _ in data}} and none == []
+
+
+def test_small_items_cluster_like_large_ones(spark):
+    rng = random.Random(9)
+    pts = [(k, float(rng.randrange(300)), float(rng.randrange(300)) + rng.choice([0.0, 0.5])) for k in range(12) for _ in range(10 * k + 1)]
+    pts += [(None, 5.0, 5.0), (None, 6.0, 6.0), (3, None, 4.0), (3, -1e9, 1e9), (4, 50.0, 50.0), (4, 50.0, 50.0)]
+    df = spark.createDataFrame(pts, "item_id bigint, x double, y double")
+    whole = prepare._joined_clusters(df, 22.0, "item_id")
+    small = prepare.cluster_points(df, 22.0, margin=0.0)
+    assert sorted(map(str, (r.n for r in small.collect()))) == sorted(map(str, (r.n for r in whole.collect())))
+    assert "ArrowEvalPython" not in plan(small) and "MapInArrow" in plan(small)
