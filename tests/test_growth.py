@@ -83,6 +83,21 @@ def test_fold_groups_keeps_groups_whole(spark):
     assert got == {k: sum(v for x, v in data if x == k) for k in {x for x, _ in data}} and none == []
 
 
+def test_merge_of_many_items_in_step():
+    rng = np.random.default_rng(5)
+    for threshold in (0.05, 0.2, 0.6):
+        sizes = rng.integers(1, 40, 60)
+        starts = np.cumsum(sizes) - sizes
+        low = rng.integers(0, 60, (sizes.sum(), 2)).astype(float)
+        boxes = np.c_[low, low + rng.integers(0, 40, low.shape)]
+        boxes[::97] = np.nan
+        counts = rng.integers(1, 5, len(boxes))
+        owner, found, sums = match._merge_groups(boxes, counts, starts, threshold)
+        for i, (a, n) in enumerate(zip(starts, sizes)):
+            want = sorted(map(str, match._merge_group(boxes[a:a + n], counts[a:a + n], threshold)))
+            assert sorted(str((*map(float, b), int(s))) for b, s in zip(found[owner == i], sums[owner == i])) == want
+
+
 def test_small_items_cluster_like_large_ones(spark):
     rng = random.Random(9)
     pts = [(k, float(rng.randrange(300)), float(rng.randrange(300)) + rng.choice([0.0, 0.5])) for k in range(12) for _ in range(10 * k + 1)]
