@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.plans import sqltext as Q
 from labelloom.plans.registry import query
 from labelloom.plans.scoring import R6
+from labelloom.session import cut
 from labelloom.sources import sinks as K
 from labelloom.streaming import jobs as J
 
@@ -103,7 +104,8 @@ EMA_SQL = f"""{Q.with_tables('round_scores')}, grid AS (SELECT a.annotator_id, d
 
 
 def _score_rows(t, reset="false"):
-    return t.round_scores.select("annotator_id", F.dayofmonth("round").alias("round"), "reward", F.expr(reset).alias("reset"))
+    # Kept, so that events are aggregated once and not for every part of a stream.
+    return cut(t.round_scores.select("annotator_id", F.dayofmonth("round").alias("round"), "reward", F.expr(reset).alias("reset")))
 
 
 def _averages(stream, name, **kw):

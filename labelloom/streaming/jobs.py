@@ -48,7 +48,8 @@ def staged(frames: list[DataFrame], name: str) -> DataFrame:
     """Write frames one after the other into one folder and read them as a stream, a file per batch in that order."""
     path = stream_folder(frames[0].sparkSession, name)
     for df in frames:
-        df.coalesce(1).write.mode("append").parquet(path)
+        # One file, but only its write is one task.
+        df.repartition(1).write.mode("append").parquet(path)
     return open_stream(frames[0].sparkSession, path, files_per_batch=1)
 
 
@@ -240,19 +241,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _Averages(StatefulProcessor):
-    """Moving average of one annotator: the closed past as one value, and the rounds that are still open as a list."""
+    """Moving average of one annotator: the closed past, and the rounds that are still open."""
 
     def __init__(self, alpha: float, open_rounds: int, idle_ms: int | None):
         self.alpha, self.open_rounds, self.idle_ms = alpha, open_rounds, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # A state that nobody touches for the idle time expires by itself.
-        self.past = handle.getValueState("past", "closed int, ema double, last double, at int, seen boolean", self.idle_ms)
-        self.open = handle.getListState("open", "round int, reward double, reset boolean", self.idle_ms)
+        # One value holds all of it: every access to the store is a round trip, one read and one write per annotator and batch.
+        self.state = handle.getValueState("state", "closed int, ema double, last double, at int, seen boolean, "
+                                          "rounds array<int>, rewards array<double>, resets array<boolean>", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        closed, *state = self.past.get() if self.past.exists() else (-1, 0.0, 0.0, -1, False)
-        pending = {r: (v, x) for r, v, x in self.open.get()} if self.open.exists() else {}
+        closed, *state, rounds, rewards, resets = self.state.get() or (-1, 0.0, 0.0, -1, False, [], [], [])
+        pending = {r: (v, x) for r, v, x in zip(rounds, rewards, resets)}
         out = []
         for pdf in rows:
             for number, reward, reset in zip(pdf["round"].tolist(), pdf["reward"].tolist(), pdf["reset"].tolist()):
@@ -273,11 +275,8 @@ class _Averages(StatefulProcessor):
             if number <= closed:
                 state = ahead
                 del pending[number]
-        self.past.update((closed, *state))
-        if pending:
-            self.open.put([(n, *v) for n, v in sorted(pending.items())])
-        elif self.open.exists():
-            self.open.clear()
+        rounds = sorted(pending)
+        self.state.update((closed, *state, rounds, [pending[n][0] for n in rounds], [pending[n][1] for n in rounds]))
         yield pd.DataFrame(out, columns=["annotator_id", "round", "ema", "delta", "reward", "late"]).astype({"late": bool})
 
     def close(self) -> None:

@@ -107,3 +107,28 @@ def test_small_items_cluster_like_large_ones(spark):
     small = prepare.cluster_points(df, 22.0, margin=0.0)
     assert sorted(map(str, (r.n for r in small.collect()))) == sorted(map(str, (r.n for r in whole.collect())))
     assert "ArrowEvalPython" not in plan(small) and "MapInArrow" in plan(small)
+
+
+def test_averages_read_and_write_their_state_once():
+    import pandas as pd
+
+    from labelloom.streaming import jobs
+
+    class Store:
+        value, reads, writes = None, 0, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.writes, self.value = self.writes + 1, value
+
+    store, averages = Store(), jobs._Averages(0.25, 3, None)
+    averages.init(store)
+    out = [pd.concat(averages.handleInputRows((7,), iter([pd.DataFrame({"round": [n], "reward": [0.8], "reset": [False]})]), None)) for n in (1, 2, 9, 4)]
+    assert (store.reads, store.writes) == (4, 4)
+    assert out[1].ema.tolist() == pytest.approx([0.2, 0.35]) and out[3].late.tolist() == [True]
