@@ -131,4 +131,4 @@ def test_averages_read_and_write_their_state_once():
     averages.init(store)
     out = [pd.concat(averages.handleInputRows((7,), iter([pd.DataFrame({"round": [n], "reward": [0.8], "reset": [False]})]), None)) for n in (1, 2, 9, 4)]
     assert (store.reads, store.writes) == (4, 4)
-    assert out[1].ema.tolist() == pytest.approx([0.2, 0.35]) and out[3].late.tolist() == [True]
+    assert out[1].ema.tolist() == pytest.approx([0.2, 0.35]) and out[3].late.tolist() == [True, False]
