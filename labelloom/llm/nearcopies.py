@@ -11,14 +11,15 @@ there are so many of them that at most MISS of such pairs collide in none; close
 
 A variant may be shared by any number of sets, so its group is read as a sorted stream. Up to NEAR members are compared with each
 other, further ones with the first HEAD. Of the members whose check bits are near, each is paired with the PARTNERS smallest, so that
-copies of one text share hubs and need no pairs among themselves. Where there were more, the members go into a table, and those that do not end in the class
-of the most are compared with all the others again: no colliding pair is left out.
+copies of one text share hubs and need no pairs among themselves. Where there were more, the members go into a table, and once the classes
+are known, all colliding pairs of two classes in it are compared, inside tasks that get blocks of such a group with their sets: no colliding pair
+is left out, and none of them is a row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ FILL = 4
 CHECK_BITS = 16
 # Of all bits such a pair differs in 15 %, unrelated sets in 50 %; with 150 bits the deviations are 3 % and 4 %.
 ALL_BITS = 0.28
+# Partial fingerprints meet if they differ in so many bits.
+RADIUS = 2
+# Shingles in a block of a crowded group, where a set counts as ROW more: about 2,000 sets at most, and a task holds two blocks.
+BLOCK, ROW = 1 << 20, 512
 # Bits of a key above the variant, and the flip number that means none.
 _TABLE, _FLIP, _NONE = 40, 6, 63
 _PAIRS = "a long, b long"
@@ -147,7 +152,9 @@ def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream of (key, node, check) sorted by variant and node to pairs (a < b), and members (key, node, check) of crowded groups.
+    """Stream of (key, node, check) sorted by variant and node to pairs (a < b), and members (key, node) of crowded groups.
+
+    Pairs of a crowded group are marked as full.
 
     Between chunks only the first members of a group that may go on are held.
     """
@@ -164,7 +171,8 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Where members are no longer held, the held ones alone reach NEAR; so places up to there are right.
         seat = np.arange(len(key)) - start
         partners, lonely = np.zeros(len(key), dtype=np.int64), np.ones(len(key), dtype=bool)
-        left, right = [], []
+        left, right, whose = [], [], []
+        number = np.repeat(np.arange(len(first)), length)
 
         def pair(at: np.ndarray, back: np.ndarray) -> None:
             near = (_distance(check[at], check[back]) <= CHECK_BITS) & _first_meeting(key[at], key[back])
@@ -174,6 +182,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             partners[at] += 1
             left.append(node[back[wanted]])
             right.append(node[at[wanted]])
+            whose.append(number[at[wanted]])
 
         fresh = np.arange(old, len(key))
         inner = fresh[seat[fresh] < NEAR]
@@ -191,9 +200,10 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         goes_on = (first == 0) & (old > 0)
         crowded = (np.maximum.reduceat(partners, first) > PARTNERS) | (total > NEAR) | (goes_on & was_crowded)
         many = np.repeat(crowded, length) & (~lonely | np.repeat(goes_on | (total > NEAR), length))
-        pad, nulls = pa.nulls(len(a := np.concatenate([*left, node[:0]])), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([*right, node[:0]])), pad, pad, pad], names=["a", "b", "key", "node", "check"])
-        yield pa.RecordBatch.from_arrays([nulls, nulls, *[pa.array(r[many]) for r in rows]], names=["a", "b", "key", "node", "check"])
+        a, b, full = (np.concatenate([*x, node[:0]]) for x in (left, right, [crowded[g] for g in whose]))
+        names, pad, nulls = ["a", "b", "key", "node", "full"], pa.nulls(len(a), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pad, pad, pa.array(full.astype(bool))], names=names)
+        yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(key[many]), pa.array(node[many]), pa.nulls(len(nulls), pa.bool_())], names=names)
         held, count, was_crowded = rows[:, first[-1]: first[-1] + NEAR], int(total[-1]), bool(crowded[-1])
 
 
@@ -234,9 +244,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_batches(both, compare, _PAIRS)
 
 
-def _sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, set) of all nodes in pairs, from one document of each."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of the wanted nodes, from one document of each."""
+    need = wanted.join(nodes.select("node", "first"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text"))
     rows = texts.join(need, texts["_id"].eqNullSafe(need["first.id"]) & (texts["_hash"] == need["first.hash"])).select("node", "text")
 
@@ -248,19 +262,79 @@ def _sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) ->
     return map_batches(rows.dropDuplicates(["node"]), run, "node long, set binary")
 
 
-def _meet_again(members: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of crowded groups that are left: every member outside the class of the most with all others of the group."""
-    flip = F.expr(f"CAST(IF(key & {_NONE} = {_NONE}, -1, key & {_NONE}) AS INT)")
+def _tile(similarity: float, bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Links between the sets of two blocks of a group, or of one: a forest over the classes."""
+    def run(where: tuple, table: pa.Table) -> pa.Table:
+        group, i, j = (x.as_py() for x in where)
+        key, node, check, root, block = (table.column(c).to_numpy() for c in ("key", "node", "check", "root", "block"))
+        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), "<i8").reshape(len(node), -1)
+        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in found])
+        shingles, code = np.unique(np.concatenate(found), return_inverse=True)
+        codes = np.split(code, np.cumsum(size)[:-1])
+        # Classes as labels; a link gives two of them one label.
+        label = np.unique(root, return_inverse=True)[1]
+        mark = np.zeros(len(shingles), dtype=bool)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for k, at in enumerate(left):
+            to = right[k + 1:] if i == j else right
+            to = to[(label[to] != label[at]) & (np.minimum(size[to], size[at]) / np.maximum(np.maximum(size[to], size[at]), 1) >= similarity)]
+            apart = _distance(check[to], check[at])
+            near = (apart <= CHECK_BITS) & _first_meeting(key[to], key[at])
+            to, apart = to[near], apart[near]
+            differ = _distance(prints[to], prints[at])
+            # A pair is taken at the first of all tables in which it collides.
+            to = to[((differ <= RADIUS).argmax(axis=1) == group >> _TABLE) & (differ.sum(axis=1) + apart <= ALL_BITS * bits)]
+            if not len(to):
+                continue
+            mark[codes[at]] = True
+            both = np.array([np.count_nonzero(mark[codes[x]]) for x in to])
+            mark[codes[at]] = False
+            for x in to[both / (size[to] + size[at] - both) >= similarity]:
+                if label[x] != label[at]:
+                    label[label == label[x]] = label[at]
+                    a.append(min(node[x], node[at]))
+                    b.append(max(node[x], node[at]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _met_again(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, bits: int, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between classes of crowded groups: all colliding pairs of two classes are compared, inside tasks, and none is a row.
+
+    Only sets of which enough shingles occur in others can be linked to one. What is left of a group is cut into blocks of about BLOCK;
+    a task gets two blocks, or one, so a set travels once per group and block of it, and fewer links than sets come out.
+    """
     # A group that goes over several chunks may hand on a member twice.
-    classed = members.distinct().join(roots, "node", "left").select(
-        "node", "check", F.shiftright("key", _FLIP).alias("group"), flip.alias("flip"), F.coalesce("root", "node").alias("root"))
-    sizes = classed.groupBy("group", "root").agg(F.count("*").alias("n"))
-    hubs = sizes.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("hub"))
-    apart = classed.join(hubs, "group").where("root != hub").select("group", *[F.col(c).alias(f"_{c}") for c in ("node", "check", "flip", "root")])
-    # As in _first_meeting: a pair is taken at one variant of a table.
-    near = F.expr(f"root != _root AND bit_count(check ^ _check) <= {CHECK_BITS} AND IF(flip = _flip, flip = -1, shiftright(group, greatest(flip, _flip)) % 2 = 0)")
-    pairs = classed.join(apart, "group").where(near).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+    classed = members.distinct().join(roots, "node", "left").select("key", "node", F.shiftright("key", _FLIP).alias("group"), F.coalesce("root", "node").alias("root"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("group")
+        return rows.join(several, "group", "left_semi")
+
+    rows = stored(mixed(classed), "crowds")
+    sets = stored(_sets(rows.select("node").distinct(), nodes, docs, shingle), "crowd-sets")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*found, node[:0]]))], names=["node", "shingle"])
+
+    alone = map_batches(sets, spell, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where(
+        "n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    # Quotients, as in the similarity itself: a bound of a quotient is not below it when rounded.
+    size = F.greatest(F.length("set") / 8, F.lit(1.0))
+    able = sets.join(alone, "node", "left").where((size - F.coalesce("alone", F.lit(0))) / size >= similarity).select("node", "set")
+    able = stored(able.join(nodes.select("node", "check", "prints"), "node"), "crowd-nodes")
+    rows = mixed(rows.join(able.select("node", F.length("set").alias("bytes")), "node"))
+    blocks = rows.groupBy("group").agg(F.ceil(F.sum(F.col("bytes") / 8 + ROW) / BLOCK).alias("blocks"))
+    placed = rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    tile = F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j))"))
+    dealt = placed.select("key", "node", "root", "group", "block", tile.alias("t")).select("key", "node", "root", "group", "block", "t.i", "t.j")
+    return dealt.join(able, "node").groupBy("group", "i", "j").applyInArrow(_tile(similarity, bits), _PAIRS)
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,14 +342,14 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
     rows = variants(nodes, width, tables)
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * tables * (width + 1) // 4_000_000))
     sorted_rows = rows.repartition(tasks, F.shiftright("key", _FLIP)).sortWithinPartitions(F.shiftright("key", _FLIP), "node")
-    met = stored(sorted_rows.mapInArrow(_collide, "a long, b long, key long, node long, check long"), "collisions")
+    met = stored(sorted_rows.mapInArrow(_collide, "a long, b long, key long, node long, full boolean"), "collisions")
     bits = 64 + width * tables
-    met_pairs = met.where("a is not null").select("a", "b")
+    met_pairs = met.where("a is not null").select("a", "b", "full")
     # A variant writes at most PARTNERS pairs per member, so a list is as long as a set has variants.
-    listed = stored(met_pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all")), "partners")
+    listed = stored(met_pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"), F.collect_set(F.when(~F.col("full"), F.col("a"))).alias("plain")), "partners")
     first = listed.select(F.explode(F.slice("all", 1, FIRST)).alias("a"), "b")
     pairs = stored(_near_prints(first, nodes, bits), "near-pairs")
-    sets = stored(_sets(pairs, nodes, docs, shingle), "shingle-sets")
+    sets = stored(_sets(_ends(pairs), nodes, docs, shingle), "shingle-sets")
     # First one pair per node, with the smallest it met; members of a dense group then share a hub and need no further pairs.
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     star = stored(_verified(best, sets, similarity), "near-stars")
@@ -284,15 +358,15 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
         "coalesce(ha, a) != coalesce(hb, b)").select("a", "b")
     edges = stored(star.union(_verified(rest, sets, similarity)), "near-links")
     roots = stored(components(edges, name="near-copies"), "near-classes")
-    # What waited and is not one class by now, and what crowded groups still have to compare.
+    # What waited and is not one class by now, but for pairs of crowded groups, which are all compared again.
     waiting = listed.where(F.size("all") > FIRST).join(roots.toDF("b", "rb"), "b", "left").select(
-        F.explode(F.slice("all", FIRST + 1, F.size("all"))).alias("a"), "b", "rb").join(roots.toDF("a", "ra"), "a", "left").where(
+        F.explode(F.array_except("plain", F.slice("all", 1, FIRST))).alias("a"), "b", "rb").join(roots.toDF("a", "ra"), "a", "left").where(
         "coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
-    members = met.where("key is not null").select("key", "node", "check")
-    more = stored(_near_prints(_meet_again(members, roots, first).union(waiting).distinct(), nodes, bits), "near-pairs")
-    if more.isEmpty():
+    more = stored(_near_prints(waiting, nodes, bits), "near-pairs")
+    late = _verified(more, _sets(_ends(more), nodes, docs, shingle), similarity)
+    late = stored(late.union(_met_again(met.where("key is not null").select("key", "node"), roots, nodes, docs, bits, shingle, similarity)), "near-links")
+    if late.isEmpty():
         return roots
-    late = _verified(more, _sets(more, nodes, docs, shingle), similarity)
     return stored(components(edges.union(late), name="near-copies"), "near-classes")
 
 

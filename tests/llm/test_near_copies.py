@@ -107,6 +107,32 @@ def test_every_colliding_pair_is_linked(spark):
     assert sorted(map(sorted, classes.values())) == sorted(sorted(c) for c in expected if len(c) > 1)
 
 
+@pytest.mark.parametrize("block", [15_000, 1 << 20])
+def test_pairs_of_a_crowded_group_are_not_rows(spark, monkeypatch, block):
+    """Copies of one text that are mostly a little less alike than asked: their pairs are compared in tasks, in blocks of any size."""
+    rng = random.Random(11)
+    base = [f"c{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, base, rng.choice([2, 2, 2, 3]))), "s") for i in range(200)]
+    # Two classes that only few of their members link, and texts of their own.
+    for i in range(200, 240):
+        words = list(base)
+        words[20:20 + i % 4 * 6] = [f"d{i % 4}x{j}" for j in range(i % 4 * 6)]
+        rows.append((i, " ".join(changed(rng, words, 1)), "s"))
+    rows += [(i, " ".join(f"w{rng.getrandbits(30)}" for _ in range(100)), "s") for i in range(240, 260)]
+    seen, stored = {}, nearcopies.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "stored", counted)
+    monkeypatch.setattr(nearcopies, "BLOCK", block, raising=False)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, make(spark, rows), "").collect()) == walk(rows)
+    assert seen["near-pairs"] <= nearcopies.FIRST * len(rows)
+
+
 def run_stream(rows, size, monkeypatch, **limits):
     """_collide over batches of ``size`` rows, each read as a chunk of its own, with smaller limits."""
     chunks = nearcopies._chunks
