@@ -207,6 +207,42 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, was_crowded = rows[:, first[-1]: first[-1] + NEAR], int(total[-1]), bool(crowded[-1])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_collide`` finds as (key, node, full, plain), at most one row per row read: members of crowded groups, and smaller partners of a set.
+
+    The partners that a set has in a chunk are on its first row there, with a null key where no member of a crowded group is the set. Of
+    partners in crowded groups only the FIRST smallest are looked at before the group is compared again; the others are not handed on.
+    """
+    def lists(at: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+        ends = np.r_[0, np.cumsum(np.bincount(at, minlength=rows))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.argsort(at, kind="stable")]))
+
+    found = _collide(batches)
+    for pairs, members in zip(found, found):
+        a, b, full = (pairs.column(name).to_numpy(zero_copy_only=False) for name in ("a", "b", "full"))
+        key, node = members.column("key").to_numpy(), members.column("node").to_numpy()
+        order = np.lexsort((a, full, b))
+        a, b, full = a[order], b[order], full[order]
+        once = np.ones(len(a), dtype=bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (full[1:] != full[:-1])
+        a, b, full = a[once], b[once], full[once]
+        group = np.cumsum(np.r_[False, (b[1:] != b[:-1]) | (full[1:] != full[:-1])]) if len(a) else a
+        wanted = ~full | (np.arange(len(a)) - np.searchsorted(group, group) < FIRST)
+        a, b, full = a[wanted], b[wanted], full[wanted]
+        # Sets that are no members get rows behind them.
+        names, whose = np.unique(b, return_inverse=True)
+        known, first = np.unique(node, return_index=True)
+        at = np.searchsorted(known, names)
+        new = ~np.isin(names, known)
+        row = np.r_[first, 0][at]
+        row[new] = len(node) + np.arange(new.sum())
+        rows = len(node) + int(new.sum())
+        at = row[whose]
+        arrays = [pa.array(np.r_[key, names[new]], mask=np.arange(rows) >= len(key)), pa.array(np.r_[node, names[new]])]
+        arrays += [lists(at[part], a[part], rows) for part in (full, ~full)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "full", "plain"])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[np.ndarray]:
     """Columns of several small batches at a time."""
     waiting: list[np.ndarray] = []
@@ -308,14 +344,10 @@ def _met_again(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Dat
     a task gets two blocks, or one, so a set travels once per group and block of it, and fewer links than sets come out.
     """
     # A group that goes over several chunks may hand on a member twice.
-    classed = members.distinct().join(roots, "node", "left").select("key", "node", F.shiftright("key", _FLIP).alias("group"), F.coalesce("root", "node").alias("root"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("group")
-        return rows.join(several, "group", "left_semi")
-
-    rows = stored(mixed(classed), "crowds")
-    sets = stored(_sets(rows.select("node").distinct(), nodes, docs, shingle), "crowd-sets")
+    classed = stored(members.distinct().join(roots, "node", "left").select(
+        "key", "node", F.shiftright("key", _FLIP).alias("group"), F.coalesce("root", "node").alias("root")), "crowds")
+    several = classed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("group")
+    sets = stored(_sets(classed.join(several, "group", "left_semi").select("node").distinct(), nodes, docs, shingle), "crowd-sets")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +361,10 @@ def _met_again(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Dat
     size = F.greatest(F.length("set") / 8, F.lit(1.0))
     able = sets.join(alone, "node", "left").where((size - F.coalesce("alone", F.lit(0))) / size >= similarity).select("node", "set")
     able = stored(able.join(nodes.select("node", "check", "prints"), "node"), "crowd-nodes")
-    rows = mixed(rows.join(able.select("node", F.length("set").alias("bytes")), "node"))
-    blocks = rows.groupBy("group").agg(F.ceil(F.sum(F.col("bytes") / 8 + ROW) / BLOCK).alias("blocks"))
+    # Written, as both sides of the next join read it. Groups with one class by now end there too.
+    rows = stored(classed.join(able.select("node", F.length("set").alias("bytes")), "node"), "crowd-members")
+    blocks = rows.groupBy("group").agg(F.ceil(F.sum(F.col("bytes") / 8 + ROW) / BLOCK).alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(
+        "lo != hi").select("group", "blocks")
     placed = rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     tile = F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j))"))
     dealt = placed.select("key", "node", "root", "group", "block", tile.alias("t")).select("key", "node", "root", "group", "block", "t.i", "t.j")
@@ -342,12 +376,14 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
     rows = variants(nodes, width, tables)
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * tables * (width + 1) // 4_000_000))
     sorted_rows = rows.repartition(tasks, F.shiftright("key", _FLIP)).sortWithinPartitions(F.shiftright("key", _FLIP), "node")
-    met = stored(sorted_rows.mapInArrow(_collide, "a long, b long, key long, node long, full boolean"), "collisions")
+    met = stored(sorted_rows.mapInArrow(_gathered, "key long, node long, full array<long>, plain array<long>"), "collisions")
     bits = 64 + width * tables
-    met_pairs = met.where("a is not null").select("a", "b", "full")
-    # A variant writes at most PARTNERS pairs per member, so a list is as long as a set has variants.
-    listed = stored(met_pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"), F.collect_set(F.when(~F.col("full"), F.col("a"))).alias("plain")), "partners")
-    first = listed.select(F.explode(F.slice("all", 1, FIRST)).alias("a"), "b")
+    # A variant has at most PARTNERS partners of a member, so a list is as long as a set has variants.
+    lists = met.where("size(full) + size(plain) > 0").groupBy(F.col("node").alias("b")).agg(
+        F.flatten(F.collect_list("full")).alias("full"), F.flatten(F.collect_list("plain")).alias("plain"))
+    smallest = F.slice(F.array_sort(F.array_distinct(F.concat("full", "plain"))), 1, FIRST)
+    listed = stored(lists.select("b", smallest.alias("first"), F.array_except("plain", smallest).alias("later")), "partners")
+    first = listed.select(F.explode("first").alias("a"), "b")
     pairs = stored(_near_prints(first, nodes, bits), "near-pairs")
     sets = stored(_sets(_ends(pairs), nodes, docs, shingle), "shingle-sets")
     # First one pair per node, with the smallest it met; members of a dense group then share a hub and need no further pairs.
@@ -359,8 +395,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, tables: int, shing
     edges = stored(star.union(_verified(rest, sets, similarity)), "near-links")
     roots = stored(components(edges, name="near-copies"), "near-classes")
     # What waited and is not one class by now, but for pairs of crowded groups, which are all compared again.
-    waiting = listed.where(F.size("all") > FIRST).join(roots.toDF("b", "rb"), "b", "left").select(
-        F.explode(F.array_except("plain", F.slice("all", 1, FIRST))).alias("a"), "b", "rb").join(roots.toDF("a", "ra"), "a", "left").where(
+    waiting = listed.where(F.size("later") > 0).join(roots.toDF("b", "rb"), "b", "left").select(
+        F.explode("later").alias("a"), "b", "rb").join(roots.toDF("a", "ra"), "a", "left").where(
         "coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
     more = stored(_near_prints(waiting, nodes, bits), "near-pairs")
     late = _verified(more, _sets(_ends(more), nodes, docs, shingle), similarity)

@@ -165,6 +165,49 @@ def test_stream_of_collisions(monkeypatch, size):
     assert len({node for k, node in members if k == 4}) >= 28
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_partners_of_a_set_are_on_its_rows(monkeypatch, size):
+    """The pairs and members of the stream of collisions, with no more rows than were read."""
+    rng = random.Random(12)
+    kinds = [0, 2**62 - 1]
+    # The same sets meet in several groups, small and crowded ones.
+    rows = sorted((g << 6 | 63, 100 + i, kinds[i % 2]) for g, n in enumerate([2, 50, 6, 30, 1, 40]) for i in rng.sample(range(60), n))
+    pairs, members = run_stream(rows, size, monkeypatch)
+    chunks = nearcopies._chunks
+    monkeypatch.setattr(nearcopies, "_chunks", lambda batches: chunks(batches, 1))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i: i + size])], names=["key", "node", "check"]) for i in range(0, len(rows), size)]
+    out = [r for b in nearcopies._gathered(iter(batches)) for r in b.to_pylist()]
+    assert {(r["key"] >> 6, r["node"]) for r in out if r["key"] is not None} == members
+    assert {(a, r["node"]) for r in out for a in r["full"] + r["plain"]} <= pairs
+    for node in {b for _, b in pairs}:
+        got = sorted({a for r in out if r["node"] == node for a in r["full"] + r["plain"]})
+        assert got[:nearcopies.FIRST] == sorted(a for a, b in pairs if b == node)[:nearcopies.FIRST]
+    if size >= len(rows):
+        assert len(out) <= len(rows)
+
+
+def test_rows_of_crowded_groups_are_made_once(spark, monkeypatch):
+    """A set has at most one row per variant among the collisions, and its rows are compared by class in one join only."""
+    rng = random.Random(13)
+    base = [f"c{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, base, rng.choice([2, 3, 4]))), "s") for i in range(250)]
+    rows += [(i, " ".join(f"w{rng.getrandbits(30)}" for _ in range(60)), "s") for i in range(250, 260)]
+    seen, joins, stored = {}, 0, nearcopies.stored
+
+    def counted(df, name):
+        nonlocal joins
+        joins += df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi")
+        seen[name] = stored(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(nearcopies, "stored", counted)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, make(spark, rows), "").collect()) == walk(rows)
+    width, tables = nearcopies.layout(len(rows))
+    assert seen["collisions"].count() <= len(rows) * tables * (width + 1)
+    assert joins == 1
+
+
 def test_empty_texts_nulls_and_no_rows(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert stage(spark, make(spark, []), "").count() == 0
